@@ -5,8 +5,11 @@ Design rules used throughout:
 * top-1 per group is an aggregate (``min``/``max`` of a struct whose leading
   fields are the sort keys), not a window: the aggregate combines map-side, so a
   group holding a third of all rows never lands whole in one task;
-* rows whose join key is NULL can never match an equi-join, so they bypass the
-  shuffle instead of piling up in the partition that NULL hashes to;
+* rows whose join key is NULL can never match an equi-join; they get a salt
+  column (1..NULL_SPREAD, from a hash of the row and its input partition, so it is
+  the same on a task retry) while every other row and the other side get 0, and
+  the join runs on (key, salt): NULL-key rows spread over many tasks instead of
+  all hashing to one partition, and the input is read once;
 * one-row global aggregates are attached as scalar subqueries (run once, inlined
   as a literal), never through a single-partition window or a cross join.
 """
@@ -51,44 +54,48 @@ def top1_per_group(
     )
 
 
+NULL_SPREAD = 1024
+
+
+def _null_salt(df: DataFrame, null_cond: Column, offset: int = 0) -> Column:
+    """0 for rows with a usable key; 1+offset .. NULL_SPREAD+offset for NULL keys."""
+    h = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    return F.when(null_cond, F.pmod(h, F.lit(NULL_SPREAD)) + (1 + offset)).otherwise(F.lit(0))
+
+
 def left_join_split_nulls(
     left: DataFrame,
     right: DataFrame,
     left_keys: Sequence[str],
     right_keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``left LEFT JOIN right ON l.k = r.k`` (plain ``=``). Left rows with a NULL
-    key skip the shuffle and get NULL right-hand columns. Output: the left columns
-    plus the right's non-key columns."""
+    """``left LEFT JOIN right ON l.k = r.k`` (plain ``=``). NULL-key rows of the
+    left are salted so they do not all land in one task; they get NULL right-hand
+    columns. Output: the left columns plus the right's non-key columns."""
     right_keys = list(right_keys or left_keys)
-    renamed = right
     tmp = [f"_rk{i}" for i in range(len(right_keys))]
+    r = right.where(~_any_null(right_keys))
     for rk, t in zip(right_keys, tmp):
-        renamed = renamed.withColumnRenamed(rk, t)
+        r = r.withColumnRenamed(rk, t)
+    r = r.withColumn("_rsalt", F.lit(0))
+    l = left.withColumn("_salt", _null_salt(left, _any_null(left_keys)))
     cond = reduce(
         lambda a, b: a & b,
         [F.col(lk) == F.col(t) for lk, t in zip(left_keys, tmp)],
-    )
-    matched = left.where(~_any_null(left_keys)).join(renamed, cond, "left").drop(*tmp)
-    unmatched = left.where(_any_null(left_keys))
-    for f in right.schema.fields:
-        if f.name not in right_keys:
-            unmatched = unmatched.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return matched.unionByName(unmatched)
+    ) & (F.col("_salt") == F.col("_rsalt"))
+    return l.join(r, cond, "left").drop(*tmp, "_salt", "_rsalt")
 
 
 def exclude_existing(
     new: DataFrame, existing: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """``NOT EXISTS (SELECT 1 FROM existing e WHERE n.k1 = e.k1 AND ...)`` with plain
-    ``=``: a row with a NULL in any key never matches, so it is always kept (and
-    skips the shuffle)."""
+    ``=``: a row with a NULL in any key never matches, so it is always kept (and is
+    salted so such rows spread over many tasks)."""
     keys = list(keys)
-    sure = new.where(_any_null(keys))
-    probe = new.where(~_any_null(keys)).join(
-        existing.where(~_any_null(keys)).select(*keys), keys, "left_anti"
-    )
-    return probe.unionByName(sure)
+    l = new.withColumn("_salt", _null_salt(new, _any_null(keys)))
+    r = existing.where(~_any_null(keys)).select(*keys).distinct().withColumn("_salt", F.lit(0))
+    return l.join(r, keys + ["_salt"], "left_anti").drop("_salt")
 
 
 def not_in(
@@ -133,14 +140,14 @@ def full_outer_coalesce(
 ) -> DataFrame:
     """``SELECT COALESCE(l.c, r.c) ... FROM l FULL OUTER JOIN r ON l.key = r.key``.
 
-    NULL-key rows of either side cannot match, so they are appended unjoined
-    instead of being shuffled into one partition.
+    NULL-key rows of either side cannot match; they are salted (disjoint salt
+    ranges per side) so they spread over many tasks.
     """
-    l_null = left.where(F.col(key).isNull()).select(*cols)
-    r_null = right.where(F.col(key).isNull()).select(*cols)
-    l = left.where(F.col(key).isNotNull()).select(*cols).alias("l")
-    r = right.where(F.col(key).isNotNull()).select(*cols).alias("r")
-    joined = l.join(r, F.col(f"l.{key}") == F.col(f"r.{key}"), "full").select(
+    l = left.select(*cols)
+    r = right.select(*cols)
+    l = l.withColumn("_salt", _null_salt(l, F.col(key).isNull())).alias("l")
+    r = r.withColumn("_salt", _null_salt(r, F.col(key).isNull(), NULL_SPREAD)).alias("r")
+    cond = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._salt") == F.col("r._salt"))
+    return l.join(r, cond, "full").select(
         *[F.coalesce(F.col(f"l.{c}"), F.col(f"r.{c}")).alias(c) for c in cols]
     )
-    return union_all([joined, l_null, r_null])

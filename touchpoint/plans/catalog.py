@@ -227,7 +227,7 @@ def q_attribute_by_phone(spark, d):
 def q_attribute_brochure(spark, d):
     inp = _inputs(spark, d, FX.brochure_leads(spark, d))
     inp = A.AttributionInputs(inp.leads, inp.events, inp.phone_map,
-                              FX.matched_sink(spark, d, FX.brochure_leads(spark, d)))
+                              FX.matched_sink(spark, d, "brochure"))
     return A.attribute_brochure(inp, AS_OF, BROCHURE_LOOKBACK_DAYS)
 
 

@@ -13,11 +13,12 @@ modular rules on the ids; no row is dropped.
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import datetime as dt
-
 from touchpoint.functions.timeutil import ntz_lit, ntz_to_micros
 
 # Fixture rule lists (our own test-data design, shared with the DuckDB views).
@@ -57,45 +58,62 @@ LEAD_TYPE_EVENTS = [  # matched-lead tables for lead counts, by event_type
 
 
 def _pick(idx: Column, values: list) -> Column:
-    expr = None
-    for i, v in enumerate(values):
-        val = F.lit(v).cast("string")
-        expr = F.when(idx == i, val) if expr is None else expr.when(idx == i, val)
-    return expr
+    """``values[idx]`` (idx in range): one array-literal lookup."""
+    return F.element_at(F.lit(list(values)).cast("array<string>"), (idx + 1).cast("int"))
 
 
 def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def _memo(fn):
+    """Adapters are immutable lazy plans: build each once per (session, folder, args)
+    instead of re-listing files and re-analysing the projection on every call."""
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        key = (id(spark), sf_dir, args)
+        hit = cache.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = cache[key] = (spark, fn(spark, sf_dir, *args))
+        return hit[1]
+
+    return wrapper
+
+
+@_memo
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --------------------------------------------------------------------- events
 def page_url(event_id: Column, user_id: Column, event_type: Column) -> Column:
+    """Page URL: no UTM for errors and every 7th event, else source only (id % 5 = 0),
+    source + medium (id % 5 = 1) or all four fields plus a click id."""
     base = F.concat(
         F.lit("https://www.example.com/"), _pick(user_id % 5, CARS), F.lit("/"), event_type
     )
-    src = _pick(event_id % 4, UTM_SOURCES)
-    med = _pick(user_id % 3, UTM_MEDIUMS)
-    full = F.concat(
-        base, F.lit("?utm_source="), src, F.lit("&utm_medium="), med,
-        F.lit("&utm_campaign=camp_"), _s(user_id % 6),
-        F.lit("&utm_content=ad"), _s(event_id % 3), F.lit("&gclid="), _s(event_id),
-    )
-    return (
-        F.when(event_type == "error", base)
-        .when(event_id % 7 == 0, F.concat(base, F.lit("?ref=home")))
-        .when(event_id % 5 == 0, F.concat(base, F.lit("?utm_source="), src))
-        .when(
-            event_id % 5 == 1,
-            F.concat(base, F.lit("?utm_source="), src, F.lit("&utm_medium="), med),
+    med = F.concat(F.lit("&utm_medium="), _pick(user_id % 3, UTM_MEDIUMS))
+    tail = (
+        F.when(event_id % 5 == 0, F.lit(""))
+        .when(event_id % 5 == 1, med)
+        .otherwise(
+            F.concat(
+                med, F.lit("&utm_campaign=camp_"), _s(user_id % 6),
+                F.lit("&utm_content=ad"), _s(event_id % 3), F.lit("&gclid="), _s(event_id),
+            )
         )
-        .otherwise(full)
     )
+    query = (
+        F.when(event_type == "error", F.lit(""))
+        .when(event_id % 7 == 0, F.lit("?ref=home"))
+        .otherwise(F.concat(F.lit("?utm_source="), _pick(event_id % 4, UTM_SOURCES), tail))
+    )
+    return F.concat(base, query)
 
 
+@_memo
 def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web-analytics export shape (``touchpoint.sources.schemas.EVENTS``)."""
     e = read(spark, sf_dir, "events")
@@ -142,6 +160,7 @@ def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def phone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user -> phone for every web user; users ``% 10 == 7`` have no known phone,
     users ``% 9 == 0`` carry the country code twice."""
@@ -159,10 +178,8 @@ def phone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------- leads
 def _lead_phone(key: Column) -> Column:
     digits = F.lpad(_s(key), 7, "0")
-    expr = F.when(key % 29 == 28, F.lit(None).cast("string"))
-    for i, prefix in enumerate(PHONE_PREFIXES):
-        expr = expr.when(key % 8 == i, F.concat(F.lit(prefix), digits))
-    return expr
+    shaped = F.concat(_pick(key % 8, PHONE_PREFIXES), digits)
+    return F.when(key % 29 == 28, F.lit(None).cast("string")).otherwise(shaped)
 
 
 def _lead_customer(key: Column, name: Column, nation: Column, segment: Column,
@@ -185,6 +202,7 @@ def _lead_time(key: Column, mult: int) -> Column:
     return F.timestamp_add("MINUTE", (key * mult) % LEAD_SPREAD_MIN, ntz_lit(LEAD_EPOCH))
 
 
+@_memo
 def test_drive_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead forms: every customer submits twice; the second copy names another
     dealer for ``c_custkey % 3 == 0`` and is an exact duplicate otherwise."""
@@ -208,6 +226,7 @@ def test_drive_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy(False).unionByName(copy(True))
 
 
+@_memo
 def brochure_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brochure downloads: every customer twice (exact duplicates), no dealer."""
     c = read(spark, sf_dir, "customer")
@@ -224,6 +243,7 @@ def brochure_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(one)
 
 
+@_memo
 def offer_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offer requests, one per order."""
     o = read(spark, sf_dir, "orders")
@@ -246,12 +266,14 @@ def offer_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOADED_CUTOFF_LOCAL = dt.datetime(2024, 1, 20)
 
 
-def matched_sink(spark: SparkSession, sf_dir: str, leads: DataFrame | None = None) -> DataFrame:
-    """Already-loaded attributed leads (the sink): the normalized test-drive leads
-    created before the cutoff (local time), attributed 'Non-Paid'."""
+@_memo
+def matched_sink(spark: SparkSession, sf_dir: str, kind: str = "test_drive") -> DataFrame:
+    """Already-loaded attributed leads (the sink): the normalized leads of ``kind``
+    ('test_drive' or 'brochure') created before the cutoff (local time),
+    attributed 'Non-Paid'."""
     from touchpoint.operators.attribution import flatten_leads
 
-    src = leads if leads is not None else test_drive_leads(spark, sf_dir)
+    src = test_drive_leads(spark, sf_dir) if kind == "test_drive" else brochure_leads(spark, sf_dir)
     flat = flatten_leads(src)
     return (
         flat.where(F.col("created_at") < ntz_lit(LOADED_CUTOFF_LOCAL))
@@ -267,6 +289,7 @@ def matched_sink(spark: SparkSession, sf_dir: str, leads: DataFrame | None = Non
     )
 
 
+@_memo
 def matched_by_type(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     """A matched-lead table per lead type (for lead counts), from one event type."""
     e = read(spark, sf_dir, "events").where(F.col("event_type") == event_type)
@@ -278,6 +301,7 @@ def matched_by_type(spark: SparkSession, sf_dir: str, event_type: str) -> DataFr
 
 
 # ------------------------------------------------------------ journey / audience
+@_memo
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     et, eid = F.col("event_type"), F.col("event_id")
@@ -293,6 +317,7 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def user_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bridge table user -> customer; ``c_custkey % 5 == 0`` has no user id."""
     c = read(spark, sf_dir, "customer")
@@ -303,6 +328,7 @@ def user_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def sign_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").where(F.col("event_type") == "signup")
     return e.select(
@@ -311,6 +337,7 @@ def sign_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def active_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(customer, story) of customers with an open order; story = order priority."""
     o = read(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "O")
@@ -320,6 +347,7 @@ def active_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def activity(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     """Customer activity source (sign-in / product view / click) from events."""
     e = read(spark, sf_dir, "events").where(F.col("event_type") == event_type)
@@ -328,6 +356,7 @@ def activity(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
     )
 
 
+@_memo
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -341,6 +370,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- ad tables
+@_memo
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(
@@ -351,6 +381,7 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def daily_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     return li.groupBy(F.to_date("l_shipdate").alias("date")).agg(
@@ -358,6 +389,7 @@ def daily_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
     return p.select(
@@ -366,6 +398,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(
@@ -379,6 +412,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def shop_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     return c.select(
@@ -387,6 +421,7 @@ def shop_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return o.select(
@@ -396,6 +431,7 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").where(F.col("event_type") == "view")
     return e.select(_s(F.col("user_id")).alias("user_id"))
