@@ -1 +1 @@
-"""touchpoint.operators."""
+"""DataFrame-level operators."""

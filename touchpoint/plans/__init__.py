@@ -1 +1 @@
-"""touchpoint.plans."""
+"""Registered queries and their DuckDB oracles."""

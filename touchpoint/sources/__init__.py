@@ -1 +1 @@
-"""touchpoint.sources."""
+"""Logical table schemas, production readers and the driver-table adapters."""

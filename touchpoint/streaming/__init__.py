@@ -1 +1,5 @@
-"""touchpoint.streaming."""
+"""Structured Streaming wrapper around the incremental lead attribution."""
+
+from touchpoint.streaming.lead_stream import attribute_batch, start_lead_stream
+
+__all__ = ["attribute_batch", "start_lead_stream"]
