@@ -80,10 +80,9 @@ class LoadWindow:
         """Event shard range: the lower bound's day .. the day before ``upper``."""
         if self.lower is None:
             return None
+        first = (self.lower + dt.timedelta(microseconds=1)).date()
         last = (self.upper - dt.timedelta(microseconds=1)).date()
-        if self.upper.time() == dt.time(0):
-            last = self.upper.date() - dt.timedelta(days=1)
-        return day_text(self.lower.date()), day_text(last)
+        return day_text(first), day_text(last)
 
 
 def lookback_window(as_of: dt.date, days: int) -> LoadWindow:
@@ -429,36 +428,49 @@ class AttributionInputs:
 
 
 def _ga_utm(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
-            strict_utm: bool) -> DataFrame:
+            strict_utm: bool, conversions: str = "in") -> DataFrame:
     days = window.event_days()
     if days is None:
         raise ValueError("window has no lower bound")
     reg = registered_events(inp.events, inp.phone_map, *days, conversion_event=conversion_event)
-    return flag_conversion_sessions(reg, strict_utm=strict_utm)
+    if conversions == "in":
+        return flag_conversion_sessions(reg, strict_utm=strict_utm)
+    if conversions == "join":
+        joined = conversion_sessions_join(inp.events, reg, *days, conversion_event)
+        return ga_utm_from_sessions(joined, strict_utm=strict_utm)
+    raise ValueError(f"unknown conversions mode {conversions!r}")
 
 
-def attribute_test_drive(
+def attribute(
     inp: AttributionInputs,
-    as_of: dt.date,
-    lookback_days: int = 18,
+    window: LoadWindow,
     method: str = "first_paid_touch",
+    conversions: str = "in",
     conversion_event: str = TEST_DRIVE_CONVERSION,
     exclude: bool = True,
 ) -> DataFrame:
-    """Test-drive leads of the lookback window with their campaign.
+    """Test-drive leads of ``window`` with their campaign.
 
     ``method``: 'first_paid_touch' (first paid click of a converting session),
-    'best_per_session' (alphabetically last source of a converting session) or
-    'best_per_phone' (alphabetically last source of the phone, no session logic,
-    no DISTINCT and no sink check).
+    'best_per_session' (alphabetically last source of a converting session),
+    'best_per_session_all' (same, any session) or 'best_per_phone' (alphabetically
+    last source of the phone; no DISTINCT and no sink check).
+    ``conversions``: 'in' flags every event of a session holding a conversion;
+    'join' right-joins one row per conversion event of any user (fan-out).
+    ``exclude``: drop leads already in ``inp.sink``.
     """
-    window = lookback_window(as_of, lookback_days)
+    if window.lower is None:
+        return load_leads(inp.leads, window).select(*LEAD_COLS, *[
+            F.lit(None).cast("string").alias(c) for c in UTM_COLS
+        ])
     leads = load_leads(inp.leads, window)
-    ga_utm = _ga_utm(inp, window, conversion_event, strict_utm=True)
+    ga_utm = _ga_utm(inp, window, conversion_event, True, conversions)
     if method == "first_paid_touch":
         phone_utm = first_paid_touch(ga_utm)
     elif method == "best_per_session":
         phone_utm = best_source_per_session(ga_utm, require_conversion=True)
+    elif method == "best_per_session_all":
+        phone_utm = best_source_per_session(ga_utm, require_conversion=False)
     elif method == "best_per_phone":
         return attribute_leads(leads, best_source_per_phone(ga_utm), distinct=False)
     else:
@@ -469,6 +481,20 @@ def attribute_test_drive(
     return mapped
 
 
+def attribute_test_drive(
+    inp: AttributionInputs,
+    as_of: dt.date,
+    lookback_days: int = 18,
+    method: str = "first_paid_touch",
+    conversion_event: str = TEST_DRIVE_CONVERSION,
+    exclude: bool = True,
+    conversions: str = "in",
+) -> DataFrame:
+    """``attribute`` over the lookback window ending at ``as_of``."""
+    return attribute(inp, lookback_window(as_of, lookback_days), method, conversions,
+                     conversion_event, exclude)
+
+
 def attribute_brochure(
     inp: AttributionInputs,
     as_of: dt.date,

@@ -67,14 +67,9 @@ def load_new_leads(
     inp = A.AttributionInputs(inputs.leads, inputs.events, inputs.phone_map, sink)
     if lookback_days is None:
         window = A.watermark_bounds(sink, as_of, bootstrap)
-        if window.lower is None:
-            return spark.createDataFrame([], MATCHED_LEADS)
-        days = (as_of - window.lower.date()).days
-        result = A.attribute_test_drive(inp, as_of, days, method=method)
-        # the watermark is exclusive at the exact newest instant, not at midnight
-        result = result.where(F.col("created_at") > F.lit(window.lower).cast("timestamp_ntz"))
     else:
-        result = A.attribute_test_drive(inp, as_of, lookback_days, method=method)
+        window = A.lookback_window(as_of, lookback_days)
+    result = A.attribute(inp, window, method)
     if write:
         append_matched(result, sink_path)
     return result

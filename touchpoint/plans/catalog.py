@@ -30,6 +30,7 @@ from touchpoint.sources import fixtures as FX
 # ---- operator parameters used by the registered queries
 AS_OF = dt.date(2024, 1, 31)
 LOOKBACK_DAYS = 18
+SHORT_LOOKBACK_DAYS = 17
 BROCHURE_LOOKBACK_DAYS = 1000
 JOURNEY_STORY = FX.MAIN_STORY
 JOURNEY_START = dt.datetime(2024, 1, 10)
@@ -221,7 +222,25 @@ def q_attribute_by_session(spark, d):
 
 
 def q_attribute_by_phone(spark, d):
-    return A.attribute_test_drive(_inputs(spark, d), AS_OF, LOOKBACK_DAYS, "best_per_phone")
+    inp = _inputs(spark, d)
+    window = A.watermark_bounds(inp.sink, AS_OF)
+    return A.attribute(inp, window, "best_per_phone", exclude=False)
+
+
+def q_attribute_since_watermark(spark, d):
+    inp = _inputs(spark, d)
+    window = A.watermark_bounds(inp.sink, AS_OF)
+    return A.attribute(inp, window, "best_per_session_all", conversions="join", exclude=False)
+
+
+def q_attribute_by_session_unchecked(spark, d):
+    return A.attribute_test_drive(_inputs(spark, d), AS_OF, SHORT_LOOKBACK_DAYS,
+                                  "best_per_session", exclude=False)
+
+
+def q_attribute_joined_conversions(spark, d):
+    return A.attribute_test_drive(_inputs(spark, d), AS_OF, SHORT_LOOKBACK_DAYS,
+                                  "best_per_session", exclude=False, conversions="join")
 
 
 def q_attribute_brochure(spark, d):

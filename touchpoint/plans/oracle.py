@@ -345,8 +345,9 @@ def _window(days: int):
     return lower, lower_sql, upper_sql
 
 
-def _lead_ctes(leads: str, days: int, dedupe_keys: list[str], prefix: str) -> str:
-    _, lo, hi = _window(days)
+def _lead_ctes(leads: str, days: int | None, dedupe_keys: list[str], prefix: str,
+               bounds: tuple[str, str] | None = None) -> str:
+    lo, hi = bounds if bounds else _window(days)[1:]
     part = ", ".join(dedupe_keys)
     return f"""
 {prefix}_1 AS (
@@ -368,10 +369,15 @@ _TD_KEYS = ["dealer_name", "car_name", "fullname", "phone", "email", "city",
 _BR_KEYS = [k for k in _TD_KEYS if k != "dealer_name"]
 
 
-def _ga_ctes(days: int, conv_event: str) -> str:
+def _days(days: int | None, days_sql: tuple[str, str] | None) -> tuple[str, str]:
+    if days_sql:
+        return days_sql
     lower, _, _ = _window(days)
-    d_from = _day(lower.date())
-    d_to = _day(C.AS_OF - dt.timedelta(days=1))
+    return f"'{_day(lower.date())}'", f"'{_day(C.AS_OF - dt.timedelta(days=1))}'"
+
+
+def _ga_1(days: int | None, conv_event: str, days_sql=None) -> str:
+    d_from, d_to = _days(days, days_sql)
     return f"""
 ga_1 AS (
   SELECT GA.user_pseudo_id, {_mapped_phone('PH.phone_no')} AS phone_no,
@@ -382,8 +388,13 @@ ga_1 AS (
          GA.event_name
   FROM ga_events AS GA
   RIGHT JOIN phone_map AS PH ON PH.user_pseudo_id = GA.user_pseudo_id
-  WHERE GA.event_date BETWEEN '{d_from}' AND '{d_to}'
-),
+  WHERE GA.event_date BETWEEN {d_from} AND {d_to}
+)"""
+
+
+def _ga_ctes(days: int | None, conv_event: str, days_sql=None) -> str:
+    """ga_1 + ga_utm with the session flag from an IN subquery."""
+    return _ga_1(days, conv_event, days_sql) + f""",
 ga_utm AS (
   SELECT user_pseudo_id, phone_no, log_time, ga_session_id,
          CASE WHEN ga_session_id IN (SELECT ga_session_id FROM ga_1 WHERE conv_flag = 'conv')
@@ -393,6 +404,25 @@ ga_utm AS (
 )"""
 
 
+def _ga_join_ctes(days: int | None, conv_event: str, days_sql=None) -> str:
+    """ga_1 + ga_utm with the flag from a right join to every conversion event."""
+    d_from, d_to = _days(days, days_sql)
+    return _ga_1(days, conv_event, days_sql) + f""",
+ga_session AS (
+  SELECT {_param('ga_session_id', 'int_value')} AS ga_session_id, 'conv' AS conv_flag
+  FROM ga_events WHERE event_date BETWEEN {d_from} AND {d_to} AND event_name = {_q(conv_event)}
+),
+phone_session_id AS (
+  SELECT ga_1.user_pseudo_id, ga_1.phone_no, ga_1.log_time, ga_1.ga_session_id, ga_1.page_location,
+         ga_session.conv_flag
+  FROM ga_session RIGHT JOIN ga_1 ON ga_1.ga_session_id = ga_session.ga_session_id
+),
+ga_utm AS (
+  SELECT user_pseudo_id, phone_no, log_time, ga_session_id, conv_flag, {_utm_select('page_location')}
+  FROM phone_session_id
+)"""
+
+
 _FIRST_PAID_CTES = """
 first_click_contribution AS (
   SELECT ga_session_id, phone_no, utm_source, log_time,
@@ -494,9 +524,19 @@ WHERE NOT EXISTS (
 )"""
 
 
-def _td_chain(method_ctes: str, days: int = C.LOOKBACK_DAYS,
-              conv: str = "dax_testdrive_beforedealer_conversion") -> list[str]:
-    return [_lead_ctes("td_leads", days, _TD_KEYS, "td"), _ga_ctes(days, conv), method_ctes]
+_WM = "(SELECT MAX(created_at) FROM td_sink)"
+_WM_BOUNDS = (f"({_WM} + INTERVAL 1 MICROSECOND)", _ts(C.AS_OF))
+_WM_DAYS = (f"strftime({_WM} + INTERVAL 1 MICROSECOND, '%Y%m%d')",
+            f"'{_day(C.AS_OF - dt.timedelta(days=1))}'")
+
+
+def _td_chain(method_ctes: str, days: int | None = C.LOOKBACK_DAYS,
+              conv: str = "dax_testdrive_beforedealer_conversion", join: bool = False,
+              watermark: bool = False) -> list[str]:
+    bounds = _WM_BOUNDS if watermark else None
+    days_sql = _WM_DAYS if watermark else None
+    ga = (_ga_join_ctes if join else _ga_ctes)(days, conv, days_sql)
+    return [_lead_ctes("td_leads", days, _TD_KEYS, "td", bounds), ga, method_ctes]
 
 
 def _br_chain() -> list[str]:
@@ -620,18 +660,10 @@ SELECT max_time_ + INTERVAL 1 MICROSECOND AS lower_bound, {_ts(C.AS_OF)} AS uppe
 FROM (SELECT MAX(created_at) AS max_time_ FROM td_sink)""")
     o["registered_events"] = _with(_ga_ctes(C.LOOKBACK_DAYS, "dax_testdrive_beforedealer_conversion"),
                                    body="SELECT user_pseudo_id, phone_no, log_time, page_location, ga_session_id, conv_flag FROM ga_1")
-    lower, _, _ = _window(C.LOOKBACK_DAYS)
-    d_from, d_to = _day(lower.date()), _day(C.AS_OF - dt.timedelta(days=1))
     o["conversion_sessions_join"] = _with(
-        _ga_ctes(C.LOOKBACK_DAYS, "dax_testdrive_beforedealer_conversion"),
-        f"""ga_session AS (
-  SELECT {_param('ga_session_id', 'int_value')} AS ga_session_id, 'conv' AS conv_flag
-  FROM ga_events WHERE event_date BETWEEN '{d_from}' AND '{d_to}'
-    AND event_name = 'dax_testdrive_beforedealer_conversion'
-)""",
-        body="""SELECT ga_1.user_pseudo_id, ga_1.phone_no, ga_1.log_time, ga_1.ga_session_id,
-       ga_1.page_location, ga_session.conv_flag
-FROM ga_session RIGHT JOIN ga_1 ON ga_1.ga_session_id = ga_session.ga_session_id""",
+        _ga_join_ctes(C.LOOKBACK_DAYS, "dax_testdrive_beforedealer_conversion"),
+        body="SELECT user_pseudo_id, phone_no, log_time, ga_session_id, page_location, conv_flag "
+             "FROM phone_session_id",
     )
     ga = _ga_ctes(C.LOOKBACK_DAYS, "dax_testdrive_beforedealer_conversion")
     o["flag_conversion_sessions"] = _with(ga, body="SELECT * FROM ga_utm")
@@ -653,9 +685,22 @@ FROM ga_session RIGHT JOIN ga_1 ON ga_1.ga_session_id = ga_session.ga_session_id
                              f"{_TD_LEAD_OUT}, utm_source, utm_medium, utm_campaign, utm_content"),
         )
     o["attribute_by_phone"] = _with(
-        *_td_chain(_BEST_PHONE_CTES), _mapping_result("td_2", _TD_LEAD_OUT, distinct=False),
+        *_td_chain(_BEST_PHONE_CTES, None, watermark=True),
+        _mapping_result("td_2", _TD_LEAD_OUT, distinct=False),
         body="SELECT * FROM mapping_result",
     )
+    o["attribute_since_watermark"] = _with(
+        *_td_chain(_BEST_SESSION_ALL_CTES, None, join=True, watermark=True),
+        _mapping_result("td_2", _TD_LEAD_OUT), body="SELECT * FROM mapping_result",
+    )
+    o["attribute_by_session_unchecked"] = _with(
+        *_td_chain(_BEST_SESSION_CTES, C.SHORT_LOOKBACK_DAYS),
+        _mapping_result("td_2", _TD_LEAD_OUT), body="SELECT * FROM mapping_result",
+    )
+    o["attribute_joined_conversions"] = _with(
+        *_td_chain(_BEST_SESSION_CTES, C.SHORT_LOOKBACK_DAYS, join=True),
+        _mapping_result("td_2", _TD_LEAD_OUT), body="SELECT * FROM mapping_result",
+    )
     o["attribute_brochure"] = _with(
         *_br_chain(), _mapping_result("br_2", _BR_LEAD_OUT, extra=", log_time"), _LAST_TOUCH,
         body=_not_loaded("br_sink", C.BROCHURE_LOOKBACK_DAYS,
