@@ -283,13 +283,20 @@ def ga_utm_from_sessions(sessions: DataFrame, strict_utm: bool = True) -> DataFr
 
 
 # ------------------------------------------------------- phone -> UTM choice
-def best_source_per_phone(ga_utm: DataFrame) -> DataFrame:
+def _conv_sessions(touches: DataFrame, conv: DataFrame | None) -> DataFrame:
+    """Distinct converting session ids: given, or read off ``conv_flag``."""
+    if conv is not None:
+        return conv.select("ga_session_id").where(F.col("ga_session_id").isNotNull()).distinct()
+    return conversion_sessions(touches)
+
+
+def best_source_per_phone(touches: DataFrame) -> DataFrame:
     """Per phone the alphabetically last source ('!Non-Paid' loses to any paid
     source), left-joined to every distinct (medium, campaign, content) seen with
     that phone and source."""
-    best = ga_utm.groupBy("phone_no").agg(F.max("utm_source").alias("utm_source"))
+    best = touches.groupBy("phone_no").agg(F.max("utm_source").alias("utm_source"))
     rows = (
-        ga_utm.where(F.col("phone_no").isNotNull() & F.col("utm_source").isNotNull())
+        touches.where(F.col("phone_no").isNotNull() & F.col("utm_source").isNotNull())
         .select("phone_no", *UTM_COLS)
         .distinct()
     )
@@ -297,45 +304,54 @@ def best_source_per_phone(ga_utm: DataFrame) -> DataFrame:
     return left_join_split_nulls(best, rows, keys).select("phone_no", *UTM_COLS)
 
 
-def best_source_per_session(ga_utm: DataFrame, require_conversion: bool = True) -> DataFrame:
+def best_source_per_session(
+    touches: DataFrame, require_conversion: bool = True, conv: DataFrame | None = None
+) -> DataFrame:
     """Per (session, phone) the alphabetically last source, left-joined to the
     distinct UTM rows of that session, phone and source; with
-    ``require_conversion`` only rows of sessions flagged 'conv' are kept (which
-    makes the left join an inner join)."""
+    ``require_conversion`` only converting sessions are kept (the left join becomes
+    an inner join). The conversion test is a semi join on the aggregated
+    (session, phone) rows, not on every event."""
     keys = ["ga_session_id", "phone_no"]
-    best = ga_utm.groupBy(*keys).agg(F.max("utm_source").alias("utm_source"))
+    best = touches.groupBy(*keys).agg(F.max("utm_source").alias("utm_source"))
     rows = (
-        ga_utm.where(
+        touches.where(
             F.col("ga_session_id").isNotNull()
             & F.col("phone_no").isNotNull()
             & F.col("utm_source").isNotNull()
         )
-        .select(*keys, *UTM_COLS, "conv_flag")
+        .select(*keys, *UTM_COLS)
         .distinct()
     )
     join_keys = keys + ["utm_source"]
     if require_conversion:
-        out = best.join(rows.where(F.col("conv_flag") == CONV), join_keys, "inner")
+        best = best.where(F.col("phone_no").isNotNull()).join(
+            _conv_sessions(touches, conv), "ga_session_id", "left_semi"
+        )
+        out = best.join(rows, join_keys, "inner")
     else:
         out = left_join_split_nulls(best, rows, join_keys)
     return out.select("phone_no", *UTM_COLS)
 
 
-def first_paid_touch(ga_utm: DataFrame) -> DataFrame:
+def first_paid_touch(touches: DataFrame, conv: DataFrame | None = None) -> DataFrame:
     """Per (session, phone): the earliest paid event, else the earliest event
-    (ties: lowest source), ranked over all events; then only sessions flagged
-    'conv'; the choice is re-joined to every distinct (medium, campaign, content)
-    with the same session, phone, source and log_time."""
+    (ties: lowest source), ranked over all events; then only converting sessions;
+    the choice is re-joined to every distinct (medium, campaign, content) with the
+    same session, phone, source and log_time.
+
+    The ranking is an aggregate (map-side combined, skew-proof); the conversion
+    test is a semi join on its one-row-per-(session, phone) output; the re-join
+    uses the full 4-column key, so one hot session or phone spreads over tasks."""
     keys = ["ga_session_id", "phone_no"]
-    keyed = ga_utm.where(F.col("ga_session_id").isNotNull() & F.col("phone_no").isNotNull())
+    keyed = touches.where(F.col("ga_session_id").isNotNull() & F.col("phone_no").isNotNull())
     best = top1_per_group(
         keyed.withColumn("_np", is_non_paid("utm_source")),
         keys,
         order=["_np", "log_time", "utm_source"],
-        payload=["conv_flag"],
-    ).where(F.col("conv_flag") == CONV)
+    ).join(_conv_sessions(touches, conv), "ga_session_id", "left_semi")
     rejoin = ["ga_session_id", "utm_source", "phone_no", "log_time"]
-    rows = keyed.where(F.col("conv_flag") == CONV).select(*rejoin, *UTM_COLS[1:])
+    rows = keyed.select(*rejoin, *UTM_COLS[1:])
     joined = best.select(*rejoin).join(rows, rejoin, "inner")
     return (
         joined.dropDuplicates(rejoin + UTM_COLS[1:])
@@ -343,16 +359,16 @@ def first_paid_touch(ga_utm: DataFrame) -> DataFrame:
     )
 
 
-def first_paid_touch_converted(ga_utm: DataFrame) -> DataFrame:
-    """Conversion sessions first, then per (session, phone) the earliest paid
+def first_paid_touch_converted(touches: DataFrame, conv: DataFrame | None = None) -> DataFrame:
+    """Converting sessions first, then per (session, phone) the earliest paid
     event (else earliest; ties broken by the UTM fields). Medium, campaign and
     content are kept only when session, phone, log_time and all four UTM fields
     are non-NULL (the reference re-joins on all of them with ``=``).
     Columns: phone_no, utm_*, log_time."""
     keys = ["ga_session_id", "phone_no"]
-    conv = ga_utm.where(F.col("conv_flag") == CONV)
+    converting = touches.join(_conv_sessions(touches, conv), "ga_session_id", "left_semi")
     best = top1_per_group(
-        conv.withColumn("_np", is_non_paid("utm_source")),
+        converting.withColumn("_np", is_non_paid("utm_source")),
         keys,
         order=["_np", "log_time", *UTM_COLS],
     )
@@ -427,18 +443,41 @@ class AttributionInputs:
     sink: DataFrame | None = None
 
 
-def _ga_utm(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
-            strict_utm: bool, conversions: str = "in") -> DataFrame:
+def touches_of(registered: DataFrame, strict_utm: bool = True) -> DataFrame:
+    """Registered events reduced to what touch selection needs, with UTM fields."""
+    return registered.select(
+        "user_pseudo_id", "phone_no", "log_time", "ga_session_id",
+        *extract_utm("page_location", strict=strict_utm),
+    )
+
+
+def all_conversion_sessions(events: DataFrame, day_from: str, day_to: str,
+                            conversion_event: str) -> DataFrame:
+    """Session ids with a conversion event of *any* user in the shard range."""
+    return (
+        events.where(F.col("event_date").between(day_from, day_to))
+        .where(F.col("event_name") == conversion_event)
+        .select(event_param("ga_session_id", "int").alias("ga_session_id"))
+        .where(F.col("ga_session_id").isNotNull())
+        .distinct()
+    )
+
+
+def _touches(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
+             strict_utm: bool, conversions: str = "in") -> tuple[DataFrame, DataFrame]:
+    """(touches, converting sessions) of the window's event shards. The 'join'
+    mode's fan-out repeats rows only, which no touch choice depends on."""
     days = window.event_days()
     if days is None:
         raise ValueError("window has no lower bound")
     reg = registered_events(inp.events, inp.phone_map, *days, conversion_event=conversion_event)
     if conversions == "in":
-        return flag_conversion_sessions(reg, strict_utm=strict_utm)
-    if conversions == "join":
-        joined = conversion_sessions_join(inp.events, reg, *days, conversion_event)
-        return ga_utm_from_sessions(joined, strict_utm=strict_utm)
-    raise ValueError(f"unknown conversions mode {conversions!r}")
+        conv = conversion_sessions(reg)
+    elif conversions == "join":
+        conv = all_conversion_sessions(inp.events, *days, conversion_event)
+    else:
+        raise ValueError(f"unknown conversions mode {conversions!r}")
+    return touches_of(reg, strict_utm), conv
 
 
 def attribute(
@@ -464,15 +503,15 @@ def attribute(
             F.lit(None).cast("string").alias(c) for c in UTM_COLS
         ])
     leads = load_leads(inp.leads, window)
-    ga_utm = _ga_utm(inp, window, conversion_event, True, conversions)
+    touches, conv = _touches(inp, window, conversion_event, True, conversions)
     if method == "first_paid_touch":
-        phone_utm = first_paid_touch(ga_utm)
+        phone_utm = first_paid_touch(touches, conv)
     elif method == "best_per_session":
-        phone_utm = best_source_per_session(ga_utm, require_conversion=True)
+        phone_utm = best_source_per_session(touches, True, conv)
     elif method == "best_per_session_all":
-        phone_utm = best_source_per_session(ga_utm, require_conversion=False)
+        phone_utm = best_source_per_session(touches, False, conv)
     elif method == "best_per_phone":
-        return attribute_leads(leads, best_source_per_phone(ga_utm), distinct=False)
+        return attribute_leads(leads, best_source_per_phone(touches), distinct=False)
     else:
         raise ValueError(f"unknown method {method!r}")
     mapped = attribute_leads(leads, phone_utm)
@@ -507,8 +546,8 @@ def attribute_brochure(
     window = lookback_window(as_of, lookback_days)
     lead_cols = [c for c in LEAD_COLS if c != "dealer_name"]
     leads = load_leads(inp.leads, window, BROCHURE_DEDUPE_KEYS, out_cols=lead_cols)
-    ga_utm = _ga_utm(inp, window, conversion_event, strict_utm=False)
-    phone_utm = first_paid_touch_converted(ga_utm)
+    touches, conv = _touches(inp, window, conversion_event, strict_utm=False)
+    phone_utm = first_paid_touch_converted(touches, conv)
     mapped = attribute_leads(leads, phone_utm, lead_cols, extra_cols=["log_time"])
     result = last_touch_per_lead(mapped)
     if exclude and inp.sink is not None:

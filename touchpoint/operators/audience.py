@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from touchpoint.functions.classify import CLICK_TYPES, classify_click_url
 from touchpoint.functions.timeutil import ntz_lit
-from touchpoint.operators.relational import any_of, full_outer_coalesce
+from touchpoint.operators.relational import any_of, full_outer_coalesce, left_join_split_nulls
 
 MULTIPLE = "Multiple Visit"  # fixed value: label of multi-touch customers
 
@@ -89,13 +89,15 @@ def touch_segments(
     clicked more than one listed type. Equal to the five ``NOT IN`` single-type
     segments plus the multi-visit count, including their NULL behaviour, in one pass."""
     types = list(types)
-    prof = _touch_profile(journey, active, types)
+    prof = _touch_profile(journey, active, types).withColumn(
+        "_nulls", _null_customer_types(journey)
+    )
     n_listed = sum((F.col(f"_has{i}") for i in range(len(types))), F.lit(0))
     the_type = F.coalesce(
         *[F.when(F.col(f"_has{i}") == 1, F.lit(x)) for i, x in enumerate(types)]
     )
-    nulls = _null_customer_types(journey)
-    blocked = (nulls["n"] > 1) | ((nulls["n"] == 1) & (nulls["t"] != the_type))
+    n_null, t_null = F.col("_nulls.n"), F.col("_nulls.t")
+    blocked = (n_null > 1) | ((n_null == 1) & (t_null != the_type))
     single = (n_listed == 1) & (F.col("_other") == 0) & ~blocked
     seg = F.when(single, the_type).when(n_listed > 1, F.lit(MULTIPLE))
     return prof.select("customer_id", seg.alias("tracking_type")).where(
@@ -116,10 +118,8 @@ def multi_touch_users(journey: DataFrame, active: DataFrame,
 def segment_counts(journey: DataFrame, active: DataFrame,
                    types: Sequence[str] = CLICK_TYPES) -> DataFrame:
     """Distinct active customers per segment (segments with no customer are absent)."""
-    seg = touch_segments(journey, active, types)
-    return seg.groupBy("tracking_type").agg(
-        F.count_distinct("customer_id").alias("total_active_user")
-    )
+    seg = touch_segments(journey, active, types)  # one row per customer already
+    return seg.groupBy("tracking_type").agg(F.count(F.lit(1)).alias("total_active_user"))
 
 
 # ---------------------------------------------------------------- audiences
@@ -145,10 +145,15 @@ def signed_in_emails(sign_ins: DataFrame, product_views: DataFrame, customers: D
     the email comes through the product-view audience (NULL for customers who did
     not view a product in the range)."""
     si = source_audience(sign_ins, start, end)
-    pv = source_audience(product_views, start, end).withColumnRenamed("customer_id", "_pv")
+    pv = source_audience(product_views, start, end).select(
+        F.col("customer_id").alias("_pv"), F.lit(True).alias("_viewed")
+    )
     c = customers.select(F.col("customer_id").alias("_c"), "email")
-    j = si.join(pv, si["customer_id"] == pv["_pv"], "left")
-    j = j.join(c, j["_pv"] == c["_c"], "left")
+    # sign-ins without a product view carry a NULL key into the second join:
+    # both joins use the NULL-salted left join so those rows do not pile up.
+    j = left_join_split_nulls(si, pv, ["customer_id"], ["_pv"])
+    j = j.withColumn("_k", F.when(F.col("_viewed"), F.col("customer_id")))
+    j = left_join_split_nulls(j, c, ["_k"], ["_c"])
     return j.select("customer_id", "email").distinct()
 
 

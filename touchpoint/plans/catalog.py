@@ -78,13 +78,13 @@ def _ga_utm(spark, d, strict=True, conversion=A.TEST_DRIVE_CONVERSION):
     return A.flag_conversion_sessions(_registered(spark, d, conversion), strict_utm=strict)
 
 
-def _brochure_ga_utm(spark, d):
-    w = A.lookback_window(AS_OF, BROCHURE_LOOKBACK_DAYS)
-    reg = A.registered_events(
-        FX.ga_events(spark, d), FX.phone_map(spark, d), *w.event_days(),
-        conversion_event=A.BROCHURE_CONVERSION,
-    )
-    return A.flag_conversion_sessions(reg, strict_utm=False)
+def _touches(spark, d, days=LOOKBACK_DAYS, conversion=A.TEST_DRIVE_CONVERSION, strict=True):
+    inp = A.AttributionInputs(None, FX.ga_events(spark, d), FX.phone_map(spark, d))
+    return A._touches(inp, A.lookback_window(AS_OF, days), conversion, strict)
+
+
+def _brochure_touches(spark, d):
+    return _touches(spark, d, BROCHURE_LOOKBACK_DAYS, A.BROCHURE_CONVERSION, strict=False)
 
 
 def _journey(spark, d):
@@ -165,7 +165,7 @@ def q_last_touch_per_lead(spark, d):
     w = A.lookback_window(AS_OF, BROCHURE_LOOKBACK_DAYS)
     cols = [c for c in A.LEAD_COLS if c != "dealer_name"]
     leads = A.load_leads(FX.brochure_leads(spark, d), w, A.BROCHURE_DEDUPE_KEYS, out_cols=cols)
-    mapped = A.attribute_leads(leads, A.first_paid_touch_converted(_brochure_ga_utm(spark, d)),
+    mapped = A.attribute_leads(leads, A.first_paid_touch_converted(*_brochure_touches(spark, d)),
                                cols, extra_cols=["log_time"])
     return A.last_touch_per_lead(mapped)
 
@@ -189,28 +189,30 @@ def q_flag_conversion_sessions(spark, d):
 
 
 def q_best_source_per_phone(spark, d):
-    return A.best_source_per_phone(_ga_utm(spark, d))
+    return A.best_source_per_phone(_touches(spark, d)[0])
 
 
 def q_best_source_per_session(spark, d):
-    return A.best_source_per_session(_ga_utm(spark, d), require_conversion=True)
+    touches, conv = _touches(spark, d)
+    return A.best_source_per_session(touches, True, conv)
 
 
 def q_best_source_per_session_all(spark, d):
-    return A.best_source_per_session(_ga_utm(spark, d), require_conversion=False)
+    touches, conv = _touches(spark, d)
+    return A.best_source_per_session(touches, False, conv)
 
 
 def q_first_paid_touch(spark, d):
-    return A.first_paid_touch(_ga_utm(spark, d))
+    return A.first_paid_touch(*_touches(spark, d))
 
 
 def q_first_paid_touch_converted(spark, d):
-    return A.first_paid_touch_converted(_brochure_ga_utm(spark, d))
+    return A.first_paid_touch_converted(*_brochure_touches(spark, d))
 
 
 def q_attribute_leads(spark, d):
     leads = A.load_leads(FX.test_drive_leads(spark, d), _window())
-    return A.attribute_leads(leads, A.first_paid_touch(_ga_utm(spark, d)))
+    return A.attribute_leads(leads, A.first_paid_touch(*_touches(spark, d)))
 
 
 def q_attribute_test_drive(spark, d):
