@@ -34,3 +34,12 @@ def event_param(
             F.raise_error(F.lit(f"event_params: key {key!r} occurs more than once")),
         ).otherwise(value)
     return value
+
+
+def param_column(df, key: str, kind: str = "string") -> Column:
+    """``key`` from a flattened ("silver") events table when it has that column,
+    else looked up in ``event_params``. Flat columns are pruned at the scan; the
+    nested list is read whole."""
+    if key in df.columns:
+        return F.col(key)
+    return event_param(key, kind)

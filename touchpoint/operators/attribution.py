@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchpoint.functions.params import event_param
+from touchpoint.functions.params import event_param, param_column
 from touchpoint.functions.phone import normalize_mapped_phone, normalize_phone
 from touchpoint.functions.timeutil import (
     LEAD_TZ,
@@ -197,8 +197,8 @@ def registered_events(
         "user_pseudo_id",
         "event_timestamp",
         "event_name",
-        event_param("page_location").alias("page_location"),
-        event_param("ga_session_id", "int").alias("ga_session_id"),
+        param_column(events, "page_location").alias("page_location"),
+        param_column(events, "ga_session_id", "int").alias("ga_session_id"),
     )
     pm = phone_map.select("user_pseudo_id", "phone_no")
     return ev.join(pm, "user_pseudo_id", "inner").select(
@@ -258,7 +258,7 @@ def conversion_sessions_join(
     counts = (
         events.where(F.col("event_date").between(day_from, day_to))
         .where(F.col("event_name") == conversion_event)
-        .select(event_param("ga_session_id", "int").alias("_sid"))
+        .select(param_column(events, "ga_session_id", "int").alias("_sid"))
         .where(F.col("_sid").isNotNull())
         .groupBy("_sid")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -457,7 +457,7 @@ def all_conversion_sessions(events: DataFrame, day_from: str, day_to: str,
     return (
         events.where(F.col("event_date").between(day_from, day_to))
         .where(F.col("event_name") == conversion_event)
-        .select(event_param("ga_session_id", "int").alias("ga_session_id"))
+        .select(param_column(events, "ga_session_id", "int").alias("ga_session_id"))
         .where(F.col("ga_session_id").isNotNull())
         .distinct()
     )

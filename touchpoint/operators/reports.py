@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchpoint.functions.classify import channel_grouping, page_class
-from touchpoint.functions.params import event_param
+from touchpoint.functions.params import param_column
 from touchpoint.functions.timeutil import LEAD_TZ, micros_to_ntz, ntz_lit, to_local
 from touchpoint.operators.relational import union_all
 
@@ -106,7 +106,7 @@ def event_log_between(events: DataFrame, ranges: Sequence[tuple[str, str]],
 def traffic_sources(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("traffic_source.medium").alias("traffic_source_medium"),
-        event_param("medium").alias("medium_param"),
+        param_column(events, "medium").alias("medium_param"),
         F.col("collected_traffic_source.manual_medium").alias("manual_medium"),
         F.col("collected_traffic_source.gclid").alias("source_gclid"),
         F.col("collected_traffic_source.dclid").alias("source_dclid"),
@@ -149,7 +149,7 @@ def first_user_per_page(events: DataFrame, prefixes: Sequence[str], sort: bool =
         return df.groupBy(
             F.date_format(F.to_date("event_date", "yyyyMMdd"), "yyyy-MM-dd").alias("event_date"),
             "event_name",
-            event_param(PAGE_KEY).alias(PAGE_KEY),
+            param_column(df, PAGE_KEY).alias(PAGE_KEY),
         ).agg(F.min("user_pseudo_id").alias("user_id"))
 
     disjoint = all(
@@ -170,7 +170,7 @@ def daily_page_class(events: DataFrame, prefix: str) -> DataFrame:
     """Per day the highest car-type class (text order) among the pages seen."""
     pages = events.where(F.col("event_date").startswith(prefix)).select(
         F.date_format(F.to_date("event_date", "yyyyMMdd"), "yyyy-MM-dd").alias("event_date"),
-        event_param(PAGE_KEY).alias(PAGE_KEY),
+        param_column(events, PAGE_KEY).alias(PAGE_KEY),
     )
     return (
         pages.groupBy("event_date")
