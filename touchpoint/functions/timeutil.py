@@ -29,11 +29,11 @@ def to_local(col: Column | str, tz: str = LEAD_TZ) -> Column:
 
 def micros_to_ntz(col: Column | str) -> Column:
     """Microseconds since the epoch -> UTC wall clock."""
-    return F.timestamp_add("MICROSECOND", _c(col), F.lit(EPOCH).cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", _c(col), ntz_lit(EPOCH))
 
 
 def ntz_to_micros(col: Column | str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), _c(col))
+    return F.timestamp_diff("MICROSECOND", ntz_lit(EPOCH), _c(col))
 
 
 def local_to_utc(value: dt.datetime, tz: str = LEAD_TZ) -> dt.datetime:
@@ -43,9 +43,11 @@ def local_to_utc(value: dt.datetime, tz: str = LEAD_TZ) -> dt.datetime:
 
 
 def ntz_lit(value: dt.datetime | dt.date) -> Column:
+    """A zone-less timestamp literal. Built from text: a Python ``datetime``
+    literal would be converted through the Python and the session time zones."""
     if isinstance(value, dt.date) and not isinstance(value, dt.datetime):
         value = dt.datetime(value.year, value.month, value.day)
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def day_text(d: dt.date) -> str:
