@@ -50,6 +50,13 @@ def ntz_lit(value: dt.datetime | dt.date) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def day_range(col: Column | str, day: dt.date) -> Column:
+    """``DATE(col) = day`` written as a half-open range on the raw column, so the
+    predicate is pushed to the scan (a cast of the column would not be)."""
+    start = dt.datetime(day.year, day.month, day.day)
+    return (_c(col) >= ntz_lit(start)) & (_c(col) < ntz_lit(start + dt.timedelta(days=1)))
+
+
 def day_text(d: dt.date) -> str:
     """Date -> ``yyyyMMdd`` partition value."""
     return d.strftime("%Y%m%d")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchpoint.functions.classify import CLICK_TYPES, classify_click_url
-from touchpoint.functions.timeutil import ntz_lit
+from touchpoint.functions.timeutil import day_range, ntz_lit
 from touchpoint.operators.relational import any_of, full_outer_coalesce, left_join_split_nulls
 
 MULTIPLE = "Multiple Visit"  # fixed value: label of multi-touch customers
@@ -139,6 +139,11 @@ def source_audience(activity: DataFrame, start: dt.datetime, end: dt.datetime,
     ).distinct()
 
 
+def activity_on_day(activity: DataFrame, day: dt.date) -> DataFrame:
+    """Distinct customer ids active on one calendar day."""
+    return activity.where(day_range("tracked_time", day)).select("customer_id").distinct()
+
+
 def signed_in_emails(sign_ins: DataFrame, product_views: DataFrame, customers: DataFrame,
                      start: dt.datetime, end: dt.datetime) -> DataFrame:
     """Distinct (customer_id, email) of customers who signed in during the range;

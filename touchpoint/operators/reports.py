@@ -87,20 +87,26 @@ def channel_users(events: DataFrame) -> DataFrame:
 
 
 def event_log_between(events: DataFrame, ranges: Sequence[tuple[str, str]],
-                      sort: bool = True) -> DataFrame:
+                      sort: bool = True, sort_by: str = "text") -> DataFrame:
     """(day dd-MM-yyyy, user, event) of every event in the shard ``prefix`` with
     ``event_date >= lower``, for each (prefix, lower); one scan with a disjunctive
-    partition filter instead of one scan per year. Sorted by the day *text*."""
+    partition filter instead of one scan per year. The filter reads the raw
+    ``event_date`` before it is re-formatted under the same name. ``sort_by='text'``
+    orders by the day-first text (as specified), ``'date'`` by the calendar day."""
     cond = None
     for prefix, lower in ranges:
         c = F.col("event_date").startswith(prefix) & (F.col("event_date") >= lower)
         cond = c if cond is None else (cond | c)
+    day = F.to_date("event_date", "yyyyMMdd")
     out = events.where(cond).select(
-        F.date_format(F.to_date("event_date", "yyyyMMdd"), "dd-MM-yyyy").alias("event_date"),
+        F.date_format(day, "dd-MM-yyyy").alias("event_date"),
         "user_pseudo_id",
         "event_name",
+        day.alias("_day"),
     )
-    return out.orderBy("event_date") if sort else out
+    if sort:
+        out = out.orderBy("_day" if sort_by == "date" else "event_date")
+    return out.drop("_day")
 
 
 def traffic_sources(events: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ JOURNEY_AS_OF = dt.datetime(2024, 1, 11, 9, 30)
 AUD_START, AUD_END = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 12)
 ANY_START, ANY_END = dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 8)
 INACTIVE_START, INACTIVE_END = dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 9)
+ACTIVITY_DAY = dt.date(2024, 1, 22)
 EVENT_LOG_RANGES = [("2024", "20240101"), ("2023", "20230301")]
 FIRST_USER_PREFIXES = ["202401", "202312"]
 PAGE_CLASS_PREFIX = "202401"
@@ -277,6 +278,10 @@ def q_source_audience(spark, d):
     return AU.source_audience(FX.activity(spark, d, "signup"), AUD_START, AUD_END, "[]")
 
 
+def q_activity_on_day(spark, d):
+    return AU.activity_on_day(FX.activity(spark, d, "signup"), ACTIVITY_DAY)
+
+
 def q_signed_in_emails(spark, d):
     return AU.signed_in_emails(FX.activity(spark, d, "signup"), FX.activity(spark, d, "view"),
                                FX.customers(spark, d), AUD_START, AUD_END)

@@ -722,6 +722,7 @@ SELECT all_active_customer_id.tracking_type, COUNT(DISTINCT all_active_customer_
 FROM all_active_customer_id JOIN customer_active_d ON customer_active_d.customer_id = all_active_customer_id.customer_id
 GROUP BY 1""")
     o["source_audience"] = _with(body=f"SELECT DISTINCT customer_id FROM membership_sign_in WHERE {_range('tracked_time', C.AUD_START, C.AUD_END, '[]')}")
+    o["activity_on_day"] = _with(body=f"SELECT DISTINCT customer_id FROM membership_sign_in WHERE CAST(tracked_time AS DATE) = DATE '{C.ACTIVITY_DAY}'")
     o["signed_in_emails"] = _with(_three_ctes(C.AUD_START, C.AUD_END, "[]"), body="""
 SELECT DISTINCT sign_in.customer_id, c.email FROM sign_in
 LEFT JOIN product_view AS pv ON pv.customer_id = sign_in.customer_id
