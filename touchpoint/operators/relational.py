@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _any_null(cols: Sequence[str]) -> Column:
@@ -57,9 +58,21 @@ def top1_per_group(
 NULL_SPREAD = 1024
 
 
+def _has_map(t: T.DataType) -> bool:
+    """Map values cannot be hashed; such columns are left out of the salt hash."""
+    if isinstance(t, T.MapType):
+        return True
+    if isinstance(t, T.ArrayType):
+        return _has_map(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t.fields)
+    return False
+
+
 def _null_salt(df: DataFrame, null_cond: Column, offset: int = 0) -> Column:
     """0 for rows with a usable key; 1+offset .. NULL_SPREAD+offset for NULL keys."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    hashable = [f.name for f in df.schema.fields if not _has_map(f.dataType)]
+    h = F.xxhash64(*[F.col(c) for c in hashable], F.spark_partition_id())
     return F.when(null_cond, F.pmod(h, F.lit(NULL_SPREAD)) + (1 + offset)).otherwise(F.lit(0))
 
 
@@ -74,10 +87,10 @@ def left_join_split_nulls(
     columns. Output: the left columns plus the right's non-key columns."""
     right_keys = list(right_keys or left_keys)
     tmp = [f"_rk{i}" for i in range(len(right_keys))]
-    r = right.where(~_any_null(right_keys))
-    for rk, t in zip(right_keys, tmp):
-        r = r.withColumnRenamed(rk, t)
-    r = r.withColumn("_rsalt", F.lit(0))
+    renames = dict(zip(right_keys, tmp))
+    r = right.where(~_any_null(right_keys)).select(
+        *[F.col(c).alias(renames.get(c, c)) for c in right.columns], F.lit(0).alias("_rsalt")
+    )
     l = left.withColumn("_salt", _null_salt(left, _any_null(left_keys)))
     cond = reduce(
         lambda a, b: a & b,

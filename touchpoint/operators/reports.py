@@ -105,7 +105,10 @@ def event_log_between(events: DataFrame, ranges: Sequence[tuple[str, str]],
         day.alias("_day"),
     )
     if sort:
-        out = out.orderBy("_day" if sort_by == "date" else "event_date")
+        # trailing keys only refine the order; they let the range partitioner split
+        # a day that holds a large share of the events over several tasks
+        first = "_day" if sort_by == "date" else "event_date"
+        out = out.orderBy(first, "user_pseudo_id", "event_name")
     return out.drop("_day")
 
 
@@ -169,7 +172,8 @@ def first_user_per_page(events: DataFrame, prefixes: Sequence[str], sort: bool =
         out = agg(events.where(cond))
     else:
         out = union_all([agg(events.where(F.col("event_date").startswith(p))) for p in prefixes])
-    return out.orderBy("user_id") if sort else out
+    # secondary keys split a hot user id over several range partitions
+    return out.orderBy("user_id", "event_date", "event_name", PAGE_KEY) if sort else out
 
 
 def daily_page_class(events: DataFrame, prefix: str) -> DataFrame:
@@ -208,7 +212,7 @@ def campaign_totals_on_rows(ads: DataFrame, start: dt.date, end: dt.date) -> Dat
         .join(totals, "campaign_name", "inner")
         .select("date", "campaign_name", "impressions", "clicks_all",
                 "sum_impressions", "count_impressions")
-        .orderBy("date", "campaign_name")
+        .orderBy("date", "campaign_name", "impressions", "clicks_all")
     )
 
 
