@@ -24,10 +24,13 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_no_python_udf_in_plan(spark, name):
+def test_plan_invariants(spark, name):
+    """No Python UDF, no window (top-1 and totals are aggregates / scalar
+    subqueries), no cross or nested-loop join, in any registered query."""
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
-        assert node not in plan
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
+                 "Window", "BroadcastNestedLoopJoin", "CartesianProduct"):
+        assert node not in plan, node
 
 
 def test_production_events_read_prunes_partitions(spark, scratch):
