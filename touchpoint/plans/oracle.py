@@ -93,11 +93,11 @@ ga_events AS (
 
 PHONE_MAP = """
 phone_map AS (
-  SELECT CAST(user_id AS VARCHAR) AS user_pseudo_id,
-         CASE WHEN user_id % 10 = 7 THEN NULL
-              WHEN user_id % 9 = 0 THEN '6262812' || lpad(CAST(user_id AS VARCHAR), 7, '0')
-              ELSE '62812' || lpad(CAST(user_id AS VARCHAR), 7, '0') END AS phone_no
-  FROM (SELECT DISTINCT user_id FROM events)
+  SELECT CAST(c_custkey AS VARCHAR) AS user_pseudo_id,
+         CASE WHEN c_custkey % 10 = 7 THEN NULL
+              WHEN c_custkey % 9 = 0 THEN '6262812' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')
+              ELSE '62812' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS phone_no
+  FROM customer
 )"""
 
 

@@ -162,17 +162,19 @@ def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def phone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user -> phone for every web user; users ``% 10 == 7`` have no known phone,
-    users ``% 9 == 0`` carry the country code twice."""
-    u = read(spark, sf_dir, "events").select("user_id").distinct()
-    uid = F.col("user_id")
+    """user -> phone mapping table, one row per registered customer (the web user
+    id of customer k is k); keys ``% 10 == 7`` have no known phone, keys
+    ``% 9 == 0`` carry the country code twice."""
+    uid = F.col("c_custkey")
     digits = F.lpad(_s(uid), 7, "0")
     phone = (
         F.when(uid % 10 == 7, F.lit(None).cast("string"))
         .when(uid % 9 == 0, F.concat(F.lit("6262812"), digits))
         .otherwise(F.concat(F.lit("62812"), digits))
     )
-    return u.select(_s(uid).alias("user_pseudo_id"), phone.alias("phone_no"))
+    return read(spark, sf_dir, "customer").select(
+        _s(uid).alias("user_pseudo_id"), phone.alias("phone_no")
+    )
 
 
 # ---------------------------------------------------------------------- leads
