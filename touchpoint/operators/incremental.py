@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,14 @@ PARTITION_COL = "created_date"
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
     """The sink (empty with the right schema when it does not exist yet)."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    try:
+        df = spark.read.schema(MATCHED_LEADS).parquet(path)
+        df.schema  # resolves the path: fails here when it does not exist
+        return df.select(*[f.name for f in MATCHED_LEADS.fields])
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
         return spark.createDataFrame([], MATCHED_LEADS)
-    return spark.read.parquet(path).select(*[f.name for f in MATCHED_LEADS.fields])
 
 
 def append_matched(df: DataFrame, path: str) -> None:
