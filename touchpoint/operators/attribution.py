@@ -10,8 +10,10 @@ Flow (each step is a function; the ``attribute_*`` functions compose them):
    -> ``ga_utm`` rows;
 5. one of ``best_source_per_phone``, ``best_source_per_session``,
    ``first_paid_touch``, ``first_paid_touch_converted`` -> phone -> UTM rows;
-6. ``attribute_leads``: leads LEFT JOIN phone UTM rows;
-7. ``exclude_loaded``: drop leads already in the sink; ``last_touch_per_lead``.
+6. ``attribute_leads``: leads LEFT JOIN phone UTM rows (``last_touch_per_lead``
+   for the brochure flow);
+7. ``exclude_loaded``: drop leads already in the sink. The test reads lead columns
+   only, so ``attribute`` applies it right after step 2, before the joins.
 
 Scale notes: the events scan is pruned by ``event_date`` and projected to five
 columns; top-1 choices are map-side-combined aggregates, re-joins use the full
@@ -503,6 +505,12 @@ def attribute(
             F.lit(None).cast("string").alias(c) for c in UTM_COLS
         ])
     leads = load_leads(inp.leads, window)
+    if exclude and inp.sink is not None and method != "best_per_phone":
+        # The "already loaded" test reads lead columns only and the UTM join keeps
+        # every lead, so excluding first gives the same rows; in a daily run with
+        # a long lookback most of the window is already loaded, so the join and
+        # the DISTINCT only see the new leads.
+        leads = exclude_loaded(leads, inp.sink, window)
     touches, conv = _touches(inp, window, conversion_event, True, conversions)
     if method == "first_paid_touch":
         phone_utm = first_paid_touch(touches, conv)
@@ -514,10 +522,7 @@ def attribute(
         return attribute_leads(leads, best_source_per_phone(touches), distinct=False)
     else:
         raise ValueError(f"unknown method {method!r}")
-    mapped = attribute_leads(leads, phone_utm)
-    if exclude and inp.sink is not None:
-        mapped = exclude_loaded(mapped, inp.sink, window)
-    return mapped
+    return attribute_leads(leads, phone_utm)
 
 
 def attribute_test_drive(
@@ -546,10 +551,10 @@ def attribute_brochure(
     window = lookback_window(as_of, lookback_days)
     lead_cols = [c for c in LEAD_COLS if c != "dealer_name"]
     leads = load_leads(inp.leads, window, BROCHURE_DEDUPE_KEYS, out_cols=lead_cols)
+    if exclude and inp.sink is not None:
+        # lead-column test; commutes with the UTM join and the per-lead last touch
+        leads = exclude_loaded(leads, inp.sink, window)
     touches, conv = _touches(inp, window, conversion_event, strict_utm=False)
     phone_utm = first_paid_touch_converted(touches, conv)
     mapped = attribute_leads(leads, phone_utm, lead_cols, extra_cols=["log_time"])
-    result = last_touch_per_lead(mapped)
-    if exclude and inp.sink is not None:
-        result = exclude_loaded(result, inp.sink, window)
-    return result
+    return last_touch_per_lead(mapped)
