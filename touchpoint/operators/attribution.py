@@ -465,16 +465,49 @@ def all_conversion_sessions(events: DataFrame, day_from: str, day_to: str,
     )
 
 
+def registered_conversion_sessions(events: DataFrame, phone_map: DataFrame, day_from: str,
+                                   day_to: str, conversion_event: str) -> DataFrame:
+    """Distinct session ids holding a conversion event of a registered user (one
+    in the phone map). The event-name filter runs at the scan, so this pass reads
+    only the conversion events."""
+    conv = (
+        events.where(F.col("event_date").between(day_from, day_to))
+        .where(F.col("event_name") == conversion_event)
+        .select("user_pseudo_id",
+                param_column(events, "ga_session_id", "int").alias("ga_session_id"))
+        .where(F.col("ga_session_id").isNotNull())
+    )
+    users = phone_map.select("user_pseudo_id")
+    return conv.join(users, "user_pseudo_id", "left_semi").select("ga_session_id").distinct()
+
+
 def _touches(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
-             strict_utm: bool, conversions: str = "in") -> tuple[DataFrame, DataFrame]:
-    """(touches, converting sessions) of the window's event shards. The 'join'
-    mode's fan-out repeats rows only, which no touch choice depends on."""
+             strict_utm: bool, conversions: str = "in",
+             leads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(touches, converting sessions) of the window's event shards.
+
+    With ``leads``, the phone map is first cut to the phones of those leads: touch
+    choices are per (session, phone) and only lead phones reach the result, so the
+    events of every other user are dropped right after the scan (a semi-join
+    filter through a small, usually broadcast, phone list). The conversion test
+    still sees every registered user. The 'join' mode's fan-out repeats rows only,
+    which no touch choice depends on."""
     days = window.event_days()
     if days is None:
         raise ValueError("window has no lower bound")
-    reg = registered_events(inp.events, inp.phone_map, *days, conversion_event=conversion_event)
+    pm = inp.phone_map
+    if leads is not None:
+        wanted = leads.select(F.col("phone").alias("_lead_phone")).where(
+            F.col("_lead_phone").isNotNull()
+        ).distinct()
+        pm = (
+            pm.withColumn("_mapped", normalize_mapped_phone("phone_no"))
+            .join(wanted, F.col("_mapped") == F.col("_lead_phone"), "left_semi")
+            .drop("_mapped")
+        )
+    reg = registered_events(inp.events, pm, *days, conversion_event=conversion_event)
     if conversions == "in":
-        conv = conversion_sessions(reg)
+        conv = registered_conversion_sessions(inp.events, inp.phone_map, *days, conversion_event)
     elif conversions == "join":
         conv = all_conversion_sessions(inp.events, *days, conversion_event)
     else:
@@ -511,7 +544,7 @@ def attribute(
         # a long lookback most of the window is already loaded, so the join and
         # the DISTINCT only see the new leads.
         leads = exclude_loaded(leads, inp.sink, window)
-    touches, conv = _touches(inp, window, conversion_event, True, conversions)
+    touches, conv = _touches(inp, window, conversion_event, True, conversions, leads)
     if method == "first_paid_touch":
         phone_utm = first_paid_touch(touches, conv)
     elif method == "best_per_session":
@@ -554,7 +587,7 @@ def attribute_brochure(
     if exclude and inp.sink is not None:
         # lead-column test; commutes with the UTM join and the per-lead last touch
         leads = exclude_loaded(leads, inp.sink, window)
-    touches, conv = _touches(inp, window, conversion_event, strict_utm=False)
+    touches, conv = _touches(inp, window, conversion_event, False, "in", leads)
     phone_utm = first_paid_touch_converted(touches, conv)
     mapped = attribute_leads(leads, phone_utm, lead_cols, extra_cols=["log_time"])
     return last_touch_per_lead(mapped)
