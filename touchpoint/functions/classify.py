@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 # Channel grouping of a traffic medium, in order; regex "contains",
 # case-sensitive. After the list: NULL medium -> 'Null Medium', else 'Unassigned'.
 CHANNEL_RULES = [
-    ("none", "Direct"),
-    ("organic", "Organic"),
-    ("referral", "Referral"),
-    ("cpc|ppc|cpm", "Paid Search/Display"),
-    ("email", "Email"),
-    ("social", "Organic Social"),
-    ("video", "Organic Video"),
+    ("(none)", "Direct"),
+    ("(organic)", "Organic"),
+    ("(referral)", "Referral"),
+    ("(cpc|ppc|cpm)", "Paid Search/Display"),
+    ("(email)", "Email"),
+    ("(social)", "Organic Social"),
+    ("(video)", "Organic Video"),
 ]
 CHANNEL_NULL = "Null Medium"
 CHANNEL_OTHER = "Unassigned"
@@ -36,8 +36,8 @@ CLICK_TYPES = [name for name, _ in CLICK_RULES] + [CLICK_OTHER]
 
 # Car type of a page URL, in order; regex "contains".
 PAGE_CLASS_RULES = [
-    ("serena|terra", "Type 1"),
-    ("magnite|kicks", "Type 2"),
+    ("(serena|terra)", "Type 1"),
+    ("(magnite|kicks)", "Type 2"),
 ]
 PAGE_CLASS_OTHER = "Type 3"
 
