@@ -276,14 +276,6 @@ def conversion_sessions_join(
     )
 
 
-def ga_utm_from_sessions(sessions: DataFrame, strict_utm: bool = True) -> DataFrame:
-    """UTM fields on top of ``conversion_sessions_join`` rows."""
-    return sessions.select(
-        "user_pseudo_id", "phone_no", "log_time", "ga_session_id", "conv_flag",
-        *extract_utm("page_location", strict=strict_utm),
-    )
-
-
 # ------------------------------------------------------- phone -> UTM choice
 def _conv_sessions(touches: DataFrame, conv: DataFrame | None) -> DataFrame:
     """Distinct converting session ids: given, or read off ``conv_flag``."""

@@ -28,12 +28,6 @@ def _any_null(cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 
 
-def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per distinct ``keys`` (``ROW_NUMBER() OVER (PARTITION BY keys) = 1``
-    when every kept column is a function of the keys). Hash aggregate, map-side combine."""
-    return df.dropDuplicates(list(keys))
-
-
 def top1_per_group(
     df: DataFrame,
     keys: Sequence[str],
