@@ -41,15 +41,21 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t
 
+    failed: dict[str, str] = {}
     for n in names:  # warm-up: JIT, codegen caches, file listing
-        run(n)
-    times = {n: round(statistics.median(run(n) for _ in range(runs)), 3) for n in names}
+        try:
+            run(n)
+        except Exception as exc:  # noqa: BLE001 - reported, not hidden
+            failed[n] = f"{type(exc).__name__}: {str(exc)[:200]}"
+    ok = [n for n in names if n not in failed]
+    times = {n: round(statistics.median(run(n) for _ in range(runs)), 3) for n in ok}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "total_median_sec",
         "value": round(sum(times.values()), 3),
         "unit": "sec",
         "queries": times,
+        "failed": failed,
         "headline_sec": round(sum(times[n] for n in HEADLINE if n in times), 3),
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
