@@ -44,16 +44,15 @@ def main(argv):
     from touchpoint.session import get_session
     from touchpoint.sources import fixtures as FX
     from touchpoint.sources import schemas as S
-    from touchpoint.sources.tables import flatten_events, read_events, read_table, write_events
+    from touchpoint.sources.tables import read_events, read_table, write_events, write_silver_events
 
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     out_md = argv[2] if len(argv) > 2 else "PLANS.md"
     root = tempfile.mkdtemp(prefix="run-plans-", dir="/tmp")
     spark = get_session("local[8]", shuffle_partitions=8)
 
-    write_events(FX.ga_events(spark, sf), f"{root}/events", "overwrite")
-    silver = flatten_events(FX.ga_events(spark, sf))
-    silver.repartition("event_date").write.partitionBy("event_date").parquet(f"{root}/events_silver")
+    write_events(FX.ga_events(spark, sf), f"{root}/events", "overwrite", 4)
+    write_silver_events(FX.ga_events(spark, sf), f"{root}/events_silver", "overwrite", 4)
     FX.test_drive_leads(spark, sf).write.parquet(f"{root}/leads")
     FX.phone_map(spark, sf).write.parquet(f"{root}/phone_map")
     append_matched(FX.matched_sink(spark, sf), f"{root}/sink")

@@ -47,16 +47,27 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
-def write_events(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write events partitioned by day; rows of one day are clustered into few files."""
+def write_events(df: DataFrame, path: str, mode: str = "append",
+                 files_per_day: int = 64) -> None:
+    """Write events partitioned by day. Each day is spread over ``files_per_day``
+    writer tasks by a hash of (user, timestamp): a day holding a large share of the
+    events is not written by one task, and the hash is deterministic, so a retried
+    task writes the same rows."""
+    bucket = F.pmod(F.xxhash64("user_pseudo_id", "event_timestamp"), F.lit(files_per_day))
     (
-        df.repartition("event_date")
+        df.repartition("event_date", bucket)
         .write.mode(mode)
         .partitionBy("event_date")
         .parquet(path)
     )
 
 
+def write_silver_events(events: DataFrame, path: str, mode: str = "append",
+                        files_per_day: int = 64) -> None:
+    """Write the flattened copy of the events (see ``flatten_events``)."""
+    write_events(flatten_events(events), path, mode, files_per_day)
+
+
 def flatten_events(events: DataFrame) -> DataFrame:
     """Events with the used parameters as flat columns (keeps ``event_params``
     out of later scans)."""
