@@ -39,7 +39,7 @@ def tree(plan: str) -> str:
 def main(argv):
     from touchpoint.operators import attribution as A
     from touchpoint.operators import audience as AU
-    from touchpoint.operators.incremental import append_matched
+    from touchpoint.operators.incremental import append_matched, read_sink
     from touchpoint.plans import catalog as C
     from touchpoint.session import get_session
     from touchpoint.sources import fixtures as FX
@@ -59,7 +59,7 @@ def main(argv):
 
     leads = read_table(spark, f"{root}/leads", S.LEADS)
     pm = read_table(spark, f"{root}/phone_map", S.PHONE_MAP)
-    sink = read_table(spark, f"{root}/sink", S.MATCHED_LEADS)
+    sink = read_sink(spark, f"{root}/sink")
     raw_events = read_events(spark, f"{root}/events")
     silver_events = spark.read.parquet(f"{root}/events_silver")
 

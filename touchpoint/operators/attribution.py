@@ -418,6 +418,10 @@ def exclude_loaded(
             (F.col("created_at") > ntz_lit(window.lower))
             & (F.col("created_at") < ntz_lit(window.upper))
         )
+        if "created_date" in sink.columns:  # sink partitioned by local day: prune folders
+            loaded = loaded.where(
+                F.col("created_date").between(F.lit(window.lower.date()), F.lit(window.upper.date()))
+            )
     return exclude_existing(new, loaded, keys)
 
 

@@ -16,35 +16,39 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchpoint.operators import attribution as A
 from touchpoint.sources.schemas import MATCHED_LEADS
 
 PARTITION_COL = "created_date"
+SINK_SCHEMA = T.StructType(MATCHED_LEADS.fields + [T.StructField(PARTITION_COL, T.DateType())])
 
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
     """The sink (empty with the right schema when it does not exist yet)."""
     try:
-        df = spark.read.schema(MATCHED_LEADS).parquet(path)
-        df.schema  # resolves the path: fails here when it does not exist
-        return df.select(*[f.name for f in MATCHED_LEADS.fields])
+        # created_date is the partition column: day filters on it prune folders
+        return spark.read.schema(SINK_SCHEMA).parquet(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
             raise
-        return spark.createDataFrame([], MATCHED_LEADS)
+        return spark.createDataFrame([], SINK_SCHEMA)
 
 
-def append_matched(df: DataFrame, path: str) -> None:
-    """Append attributed leads, partitioned by local creation date."""
+def append_matched(df: DataFrame, path: str, files_per_day: int = 8) -> None:
+    """Append attributed leads, partitioned by local creation date; each day is
+    spread over ``files_per_day`` writers by a deterministic hash."""
     cols = [f.name for f in MATCHED_LEADS.fields]
     out = df
     for f in MATCHED_LEADS.fields:
         if f.name not in df.columns:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(files_per_day))
     (
         out.select(*cols)
         .withColumn(PARTITION_COL, F.to_date("created_at"))
+        .repartition(PARTITION_COL, bucket)
         .write.mode("append")
         .partitionBy(PARTITION_COL)
         .parquet(path)
