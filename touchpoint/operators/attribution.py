@@ -157,7 +157,10 @@ def filter_window(leads: DataFrame, window: LoadWindow, tz: str = LEAD_TZ,
         return leads.where(F.lit(False))
     lo = local_to_utc(window.lower, tz)
     hi = local_to_utc(window.upper, tz)
-    return leads.where((F.col(col) > ntz_lit(lo)) & (F.col(col) < ntz_lit(hi)))
+    out = leads.where((F.col(col) > ntz_lit(lo)) & (F.col(col) < ntz_lit(hi)))
+    if "created_date" in leads.columns:  # lead table partitioned by UTC day
+        out = out.where(F.col("created_date").between(F.lit(lo.date()), F.lit(hi.date())))
+    return out
 
 
 def load_leads(
