@@ -37,7 +37,17 @@ def test_production_events_read_prunes_partitions(spark, scratch):
     from touchpoint.sources import fixtures as FX
     from touchpoint.sources.tables import flatten_events, read_events, write_events
 
-    write_events(FX.ga_events(spark, SF), f"{scratch}/events", "overwrite")
+    # AQE merges small shuffle partitions (at scale it keeps ~64 MB ones); switch
+    # the merging off here to see that one day is spread over several writers
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_events(FX.ga_events(spark, SF), f"{scratch}/events", "overwrite", files_per_day=8)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    day_files = [f for f in os.listdir(f"{scratch}/events/event_date=20240105")
+                 if f.endswith(".parquet")]
+    assert len(day_files) > 1  # a day is written by several tasks
+    assert read_events(spark, f"{scratch}/events").count() == FX.ga_events(spark, SF).count()
     df = read_events(spark, f"{scratch}/events", "20240105", "20240106")
     plan = df.select("user_pseudo_id")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
