@@ -93,6 +93,20 @@ def lookback_window(as_of: dt.date, days: int) -> LoadWindow:
     return LoadWindow(lower=start, upper=dt.datetime.combine(as_of, dt.time(0)))
 
 
+def window_summary(leads: DataFrame, window: LoadWindow, tz: str = LEAD_TZ) -> DataFrame:
+    """One row: the window's bounds (local), its event-day range and how many lead
+    submissions (before de-duplication) it selects."""
+    days = window.event_days() or (None, None)
+    n = filter_window(leads, window, tz).agg(F.count(F.lit(1)).alias("leads_in_window"))
+    return n.select(
+        F.timestamp_add("MICROSECOND", F.lit(1), ntz_lit(window.lower)).alias("lower_bound"),
+        ntz_lit(window.upper).alias("upper_bound"),
+        F.lit(days[0]).alias("event_day_from"),
+        F.lit(days[1]).alias("event_day_to"),
+        "leads_in_window",
+    )
+
+
 def watermark_bounds(sink: DataFrame, as_of: dt.date,
                      bootstrap: dt.datetime | None = None) -> LoadWindow:
     """Lower bound = newest ``created_at`` already in the sink (exclusive).

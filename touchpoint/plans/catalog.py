@@ -172,6 +172,10 @@ def q_last_touch_per_lead(spark, d):
 
 
 # ------------------------------------------------------------------ attribution
+def q_lookback_window(spark, d):
+    return A.window_summary(FX.test_drive_leads(spark, d), _window())
+
+
 def q_watermark_window(spark, d):
     return A.watermark_window(FX.matched_sink(spark, d), AS_OF)
 

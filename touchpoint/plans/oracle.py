@@ -655,6 +655,12 @@ FROM td_leads WHERE {_local('created_utc')} >= {lo} AND {_local('created_utc')}
     )
 
     # ---- attribution steps
+    _lo_dt, _lo, _hi = _window(C.LOOKBACK_DAYS)
+    o["lookback_window"] = _with(body=f"""
+SELECT {_lo} AS lower_bound, {_hi} AS upper_bound,
+       '{_day(_lo_dt.date())}' AS event_day_from, '{_day(C.AS_OF - dt.timedelta(days=1))}' AS event_day_to,
+       COUNT(*) AS leads_in_window
+FROM td_leads WHERE {_local('created_utc')} >= {_lo} AND {_local('created_utc')} < {_hi}""")
     o["watermark_window"] = _with(body=f"""
 SELECT max_time_ + INTERVAL 1 MICROSECOND AS lower_bound, {_ts(C.AS_OF)} AS upper_bound
 FROM (SELECT MAX(created_at) AS max_time_ FROM td_sink)""")
