@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from check_oracle import duck_connect, rows_of  # noqa: E402
+from check_oracle import duck_connect, rows_of, type_diff  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(E.queries())
@@ -69,4 +69,5 @@ def test_matches_duckdb_oracle(spark, duck, name):
     d_cols = [c[0] for c in rel.description]
     d_rows = rel.fetchall()
     assert sorted(c.lower() for c in df.columns) == sorted(c.lower() for c in d_cols)
+    assert not type_diff(df.schema, duck, E.oracle_sql()[name])
     assert rows_of(df.columns, s_rows) == rows_of(d_cols, d_rows)
