@@ -70,3 +70,30 @@ def test_null_key_joins_on_skewed_input(spark):
     assert rows(left_join_split_nulls(left, right, ["k"]).select("k", "v", "w")) == want
     kept = exclude_existing(left, right.select("k"), ["k"])
     assert kept.count() == 2000  # every NULL-key row survives, every matched key leaves
+
+
+def test_segments_on_skewed_input(spark):
+    """One customer with a third of all clicks, many NULL-customer clicks of one
+    type: the one-pass segments equal the literal NOT IN form."""
+    from test_audience import literal_sql
+    from touchpoint.operators.audience import segment_counts
+
+    types = ["Forget password", "Homepage", "Download Catalogue", "Log-in page", "Social Media"]
+    j = []
+    for i in range(3000):
+        if i % 3 == 0:
+            j.append(("hot", types[i % 2]))
+        elif i % 3 == 1:
+            j.append((None, "Homepage"))
+        else:
+            j.append((f"c{i % 40}", types[(i // 3) % 5] if i % 7 else "Homepage"))
+    jd = spark.createDataFrame(j, "customer_id string, tracking_type string")
+    ad = spark.createDataFrame([("hot", "s")] + [(f"c{i}", "s") for i in range(0, 40, 2)],
+                               "customer_id string, story_id string")
+    jd.createOrReplaceTempView("j")
+    ad.createOrReplaceTempView("act")
+    want = rows(spark.sql(literal_sql()))
+    got = rows(segment_counts(jd, ad))
+    assert got == want
+    plan = segment_counts(jd, ad)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan  # per-customer flags combine map-side
