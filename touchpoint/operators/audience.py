@@ -26,17 +26,10 @@ def identity_bridge(links: DataFrame, sign_ins: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ journey
-def journey_clicks(
-    clicks: DataFrame,
-    bridge: DataFrame,
-    story_id: str,
-    start: dt.datetime,
-    as_of: dt.datetime,
-) -> DataFrame:
-    """Classified clicks of one story from ``start`` to the start of ``as_of``'s day
-    (both ends included), day-truncated, with the customer id of the clicking user."""
+def _story_clicks(clicks: DataFrame, story_id: str, start: dt.datetime,
+                  as_of: dt.datetime) -> DataFrame:
     end = dt.datetime.combine(as_of.date(), dt.time(0))
-    c = clicks.where(
+    return clicks.where(
         F.col("tracked_time").between(ntz_lit(start), ntz_lit(end))
         & (F.col("story_id") == story_id)
     ).select(
@@ -47,12 +40,48 @@ def journey_clicks(
         F.col("click_url").alias("location_url"),
         F.date_trunc("day", "tracked_time").cast("timestamp_ntz").alias("tracked_date"),
     )
+
+
+def _with_customer(c: DataFrame, bridge: DataFrame) -> DataFrame:
     b = bridge.where(F.col("user_id").isNotNull()).select("user_id", "customer_id")
     return c.join(b, "user_id", "inner").select(
         "customer_id", "event_id", "story_id", "tracking_type", "location_url", "tracked_date"
     )
 
 
+def journey_clicks(
+    clicks: DataFrame,
+    bridge: DataFrame,
+    story_id: str,
+    start: dt.datetime,
+    as_of: dt.datetime,
+) -> DataFrame:
+    """Classified clicks of one story from ``start`` to the start of ``as_of``'s day
+    (both ends included), day-truncated, with the customer id of the clicking user."""
+    return _with_customer(_story_clicks(clicks, story_id, start, as_of), bridge)
+
+
+def journey_clicks_linked(
+    clicks: DataFrame,
+    links: DataFrame,
+    sign_ins: DataFrame,
+    story_id: str,
+    start: dt.datetime,
+    as_of: dt.datetime,
+) -> DataFrame:
+    """``journey_clicks`` with the identity bridge built only for the users who
+    clicked: the link table and the sign-ins are semi-joined with those user ids
+    before the full outer join. A bridge row can only meet a click through its
+    user id, so the result is the same while the outer join sees a story's users
+    instead of every customer."""
+    c = _story_clicks(clicks, story_id, start, as_of)
+    users = c.select("user_id").where(F.col("user_id").isNotNull()).distinct()
+    bridge = identity_bridge(
+        links.join(users, "user_id", "left_semi"), sign_ins.join(users, "user_id", "left_semi")
+    )
+    return _with_customer(c, bridge)
+
+
 # ----------------------------------------------------------------- segments
 def _touch_profile(journey: DataFrame, active: DataFrame, types: Sequence[str]) -> DataFrame:
     """Per active customer: which listed types were clicked, whether an unlisted

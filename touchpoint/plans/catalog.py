@@ -89,9 +89,9 @@ def _brochure_touches(spark, d):
 
 
 def _journey(spark, d):
-    bridge = AU.identity_bridge(FX.user_links(spark, d), FX.sign_ins(spark, d))
-    return AU.journey_clicks(FX.clicks(spark, d), bridge, JOURNEY_STORY, JOURNEY_START,
-                             JOURNEY_AS_OF)
+    return AU.journey_clicks_linked(FX.clicks(spark, d), FX.user_links(spark, d),
+                                    FX.sign_ins(spark, d), JOURNEY_STORY, JOURNEY_START,
+                                    JOURNEY_AS_OF)
 
 
 # ------------------------------------------------------------ column functions
