@@ -97,3 +97,17 @@ def test_segments_on_skewed_input(spark):
     assert got == want
     plan = segment_counts(jd, ad)._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan  # per-customer flags combine map-side
+
+
+def test_approximate_distinct_users_opt_in(spark):
+    from touchpoint.operators.reports import channel_users, monthly_users
+    from touchpoint.sources import fixtures as FX
+
+    ev = FX.ga_events(spark, "/root/testdata/sf0.01")
+    exact = {r.month_year: r.total_users for r in monthly_users(ev).collect()}
+    approx = {r.month_year: r.total_users for r in monthly_users(ev, approx_rsd=0.02).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert abs(approx[k] - exact[k]) <= max(2, 0.1 * exact[k])
+    plan = channel_users(ev, approx_rsd=0.02)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan

@@ -16,6 +16,14 @@ from touchpoint.operators.relational import union_all
 PAGE_KEY = "page_location"
 
 
+def _distinct_users(approx_rsd: float | None):
+    """Exact distinct users (two-phase aggregation), or a HyperLogLog++ estimate
+    with relative standard deviation ``approx_rsd`` (one phase, fixed-size state)."""
+    if approx_rsd is None:
+        return F.count_distinct("user_pseudo_id")
+    return F.approx_count_distinct("user_pseudo_id", rsd=approx_rsd)
+
+
 def page_users_by_instant(events: DataFrame) -> DataFrame:
     """Distinct users per (event instant, host, page) *and user* (so 1 per row,
     0 for a NULL user)."""
@@ -34,7 +42,7 @@ def page_users_by_instant(events: DataFrame) -> DataFrame:
     )
 
 
-def page_users_by_day(events: DataFrame) -> DataFrame:
+def page_users_by_day(events: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """Distinct users per (day as dd-MM-yyyy, host, page)."""
     rows = events.select(
         F.date_format(F.to_date("event_date", "yyyyMMdd"), "dd-MM-yyyy").alias("timestamp_date"),
@@ -44,26 +52,27 @@ def page_users_by_day(events: DataFrame) -> DataFrame:
     )
     return rows.groupBy(
         "timestamp_date", "hostname", F.col("p.value.string_value").alias(PAGE_KEY)
-    ).agg(F.count_distinct("user_pseudo_id").alias("total_users"))
+    ).agg(_distinct_users(approx_rsd).alias("total_users"))
 
 
-def monthly_users(events: DataFrame, tz: str = LEAD_TZ) -> DataFrame:
+def monthly_users(events: DataFrame, tz: str = LEAD_TZ,
+                  approx_rsd: float | None = None) -> DataFrame:
     """Distinct users per local month (yyyy-MM), newest first."""
     month = F.date_format(to_local(micros_to_ntz("event_timestamp"), tz), "yyyy-MM")
     return (
         events.groupBy(month.alias("month_year"))
-        .agg(F.count_distinct("user_pseudo_id").alias("total_users"))
+        .agg(_distinct_users(approx_rsd).alias("total_users"))
         .orderBy(F.desc("month_year"))
     )
 
 
-def channel_users(events: DataFrame) -> DataFrame:
+def channel_users(events: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """Per day, event and default channel: users, paid / non-paid users and the
     same for registrations. Users are counted distinct per traffic medium and then
     summed per channel (a user seen with two media of one channel counts twice)."""
     per_medium = events.groupBy(
         "event_date", "event_name", F.col("traffic_source.medium").alias("medium")
-    ).agg(F.count_distinct("user_pseudo_id").alias("users"))
+    ).agg(_distinct_users(approx_rsd).alias("users"))
     ch = per_medium.select(
         "event_date", "event_name",
         channel_grouping("medium").alias("default_channel_grouping"), "users",
