@@ -108,14 +108,22 @@ def window_summary(leads: DataFrame, window: LoadWindow, tz: str = LEAD_TZ) -> D
 
 
 def watermark_bounds(sink: DataFrame, as_of: dt.date,
-                     bootstrap: dt.datetime | None = None) -> LoadWindow:
+                     bootstrap: dt.datetime | None = None,
+                     horizon_days: int = 31) -> LoadWindow:
     """Lower bound = newest ``created_at`` already in the sink (exclusive).
 
     Runs one tiny aggregate job and returns literals, so the bound is pushed to
-    the lead scan. Empty sink: ``bootstrap`` (None loads nothing, like the
-    reference's NULL bound).
+    the lead scan. When the sink is partitioned by ``created_date`` the newest row
+    is looked for in the last ``horizon_days`` day folders first (pruned scan) and
+    in the whole sink only if those are empty, which gives the same maximum.
+    Empty sink: ``bootstrap`` (None loads nothing, like the reference's NULL bound).
     """
-    latest = sink.agg(F.max("created_at")).first()[0]
+    latest = None
+    if "created_date" in sink.columns:
+        recent = sink.where(F.col("created_date") >= F.lit(as_of - dt.timedelta(days=horizon_days)))
+        latest = recent.agg(F.max("created_at")).first()[0]
+    if latest is None:
+        latest = sink.agg(F.max("created_at")).first()[0]
     return LoadWindow(lower=latest or bootstrap, upper=dt.datetime.combine(as_of, dt.time(0)))
 
 
