@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchpoint.llm import bpe, decontaminate, language, quality, sharding, token_counts, toxicity
+from touchpoint.llm import bpe, decontaminate, language, near_dedup, quality, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_digests(bpe.encode_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern()))
@@ -71,6 +75,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_quality_rules": op6_quality_rules,

@@ -7,8 +7,11 @@ numbers per coordinate: an adaptive learning rate falls where gradients were lar
 the L1 term leaves every coordinate at exactly zero whose evidence stays small. What is
 broadcast is the list of non-zero weights: a few thousand pairs, at most 2**BITS.
 
-Training takes a bounded sample: at most ``TRAIN_ROWS`` labelled rows, those with the
-smallest hashes of their id among rows of at most ``TRAIN_BYTES`` bytes of text, whole.
+Training takes a bounded sample: of either label at most ``TRAIN_ROWS`` rows, those with
+the smallest hashes of their id among rows of at most ``TRAIN_BYTES`` bytes of text, whole.
+Where the bound cuts a label's rows, the rest count for those left out (importance
+weights). The boundary (score 0.5) is placed on a fifth of the sample kept aside from a
+first fit; the final fit uses the whole sample. Coordinates seen in fewer than ``MIN_ROWS`` rows of the sample get no weight.
 Scoring reads whole texts of any length.
 """
 
@@ -25,10 +28,14 @@ from pyspark.sql import functions as F
 from touchpoint.llm.batches import mix64, prefix_hashes, span_hashes, text_blocks
 
 BITS = 20
-TRAIN_ROWS, TRAIN_BYTES = 6000, 1 << 15
-EPOCHS, SEED = 4, 11
+TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 15
+MIN_ROWS = 4
+EPOCHS, SEED = 6, 11
 #: FTRL-proximal: rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.0
+#: One row in so many is kept aside to place the boundary, where a wrong alarm costs as
+#: much as so many misses (both as shares of their label).
+ASIDE_ONE_IN, ALARM_COST = 5, 6.0
 
 U = np.uint64
 
@@ -76,34 +83,66 @@ class Model:
         return out
 
 
-def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
-    rows = []
-    for t in texts:
-        data = np.frombuffer(t.lower().encode(), np.uint8)
-        rows.append(np.unique(features(data, np.array([0, len(data)]))[1]).astype(np.int32))
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    bias_z = bias_n = 0.0
+def row_features(text: str) -> np.ndarray:
+    data = np.frombuffer(text.lower().encode(), np.uint8)
+    return np.unique(features(data, np.array([0, len(data)]))[1]).astype(np.int32)
 
-    def weights(zs, ns):
-        return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
-    def bias_of() -> float:
-        return -bias_z / ((BETA + bias_n**0.5) / ALPHA)
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+    """(weights, bias) after ``EPOCHS`` passes, one row at a time; ``counts``: what each row counts."""
+    seen = np.zeros(1 << BITS, np.int32)
+    for at in rows:
+        seen[at] += 1
+    rows = [at[seen[at] >= MIN_ROWS] for at in rows]
+    # the last place of z and n is the bias, which every row has; L1 does not hold it
+    bias_at = np.array([1 << BITS])
+    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+
+    def weights(at) -> np.ndarray:
+        l1 = np.where(at == 1 << BITS, 0.0, L1)
+        return np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(rows)):
-            at = rows[i]
-            w, b = weights(z[at], n[at]), bias_of()
-            g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - labels[i]
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - step * w
+            at = np.concatenate((rows[i], bias_at))
+            w = weights(at)
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]) * counts[i]
+            z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
-            bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / ALPHA * b
-            bias_n += g * g
-    w = weights(z, n)
+    w = weights(np.arange(len(z)))
+    return w[:-1], float(w[-1])
+
+
+def boundary(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The logit that parts the labels best; 0 where a label is missing."""
+    low, high = np.sort(logits[labels == 0]), np.sort(logits[labels == 1])
+    if not len(low) or not len(high):
+        return 0.0
+    at = np.unique(logits)
+    cuts = np.concatenate((at[:1] - 1, (at[1:] + at[:-1]) / 2, at[-1:] + 1))
+    alarms = 1 - np.searchsorted(low, cuts) / len(low)
+    misses = np.searchsorted(high, cuts) / len(high)
+    cost = misses + ALARM_COST * alarms
+    best = cuts[cost <= cost.min() + 1e-9]
+    return float((best[0] + best[-1]) / 2)
+
+
+def fit(texts: list[str], labels: list[int], weights_of: tuple[float, float] = (1.0, 1.0), seed: int = SEED) -> Model:
+    """``weights_of``: what a row of label 0 and of label 1 counts."""
+    rows = [row_features(t) for t in texts]
+    y = np.array(labels, np.int64)
+    counts = np.array(weights_of)[y] if len(y) else np.empty(0)
+    aside = np.zeros(len(rows), bool)
+    for k in (0, 1):
+        aside[np.flatnonzero(y == k)[::ASIDE_ONE_IN]] = True
+    shift = 0.0
+    if len(rows) >= 50:
+        first, bias = ftrl([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], counts[~aside], seed)
+        shift = boundary(np.array([first[rows[i]].sum() + bias for i in np.flatnonzero(aside)]), y[aside])
+    w, bias = ftrl(rows, y, counts, seed)
     at = np.flatnonzero(w)
-    return Model(at, w[at].astype(np.float32), float(bias_of()))
+    return Model(at, w[at].astype(np.float32), bias - shift)
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -114,13 +153,18 @@ def held_out(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns ``toxic`` from the labelled rows that are not held out. Rows without id,
     text or label are left out; an id with several labels gives several rows."""
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    marked = marked.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")))
-    # about one in twenty labelled rows has no text of the right size; join twice the bound
-    chosen = marked.orderBy("h", "doc_id", "toxic").limit(2 * rows)
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "toxic", "text").limit(rows).collect()
-    return fit([r["text"] for r in sample], [int(r["toxic"] != 0) for r in sample])
+    marked = labels.select("doc_id", F.when(F.col("toxic").cast("int") != 0, 1).otherwise(0).alias("toxic"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")).alias("h"))
+    marked = marked.where(labels["toxic"].isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    texts = docs.select(F.col("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # twice the bound, as some labelled rows may have no text of the right size
+    chosen = [marked.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(2 * rows) for k in (0, 1)]
+    found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    picked: dict[int, list[str]] = {}
+    for k in (0, 1):
+        picked[k] = [r["text"] for r in found.where(F.col("toxic") == k).orderBy("h", "doc_id", "text").limit(rows).select("text").collect()]
+    weights_of = tuple(max(1.0, sizes.get(k, 0) / len(picked[k])) if len(picked[k]) >= rows else 1.0 for k in (0, 1))
+    return fit(picked[0] + picked[1], [0] * len(picked[0]) + [1] * len(picked[1]), weights_of)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
