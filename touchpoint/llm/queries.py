@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchpoint.llm import bpe, decontaminate, language, near_dedup, quality, sharding, token_counts, toxicity
+from touchpoint.llm import bpe, decontaminate, language, near_dedup, quality, secrets, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings without the secret itself."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_digests(bpe.encode_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_pattern()))
@@ -76,6 +82,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_quality_rules": op6_quality_rules,
