@@ -1,18 +1,19 @@
 """Benchmark decontamination (op10): a distributed positional inverted index.
 
-1. Test items are cut into windows of ten words (a shorter item is one window).
-2. The training text is scanned once for the frequencies of the words that occur in any
-   window. A window with a word of frequency zero cannot occur and is dropped.
-3. Postings (document, position) are stored for the *rarest* words of each window only:
-   the lists of frequent words, which hold most positions, are never built.
-4. A posting at position p of the word at offset o puts the window's start at p - o. A
-   start named by the lists of all rarest words of the window is a candidate.
-5. Candidates are confirmed word by word against the document, which gives exact
-   phrase matches. Rarest words near each other, in any order, are proximity matches.
-
-Only DataFrame functions are used. What is broadcast (window words, and the rarest
-words with their offsets) comes from the test items alone; their size is measured
-first, and beyond ``BROADCAST_BYTES`` the joins shuffle instead.
+1. Test items are cut into windows of ten words (a shorter item is one window). The terms
+   of a window are its pairs of neighbouring words (of a one-word item, the word).
+2. The training text is scanned once for the frequencies of the windows' terms. A window
+   with a term of frequency zero cannot occur and is dropped.
+3. Postings (document, position) are stored for the *rarest* terms of each window only:
+   the lists of frequent terms, which hold most positions, are never built.
+4. A posting at position p of the term at offset o puts the window's start at p - o. A
+   start named by the lists of all rarest terms of the window is a candidate.
+5. Candidates are confirmed word by word against the document, which gives exact phrase
+   matches. Rarest terms near each other, in any order, are proximity matches.
+
+Only DataFrame functions are used. What is broadcast (the windows' terms) comes from the
+test items alone; their size is measured first, and beyond ``BROADCAST_BYTES`` the joins
+shuffle instead. So do the ids of documents with candidates beyond ``BROADCAST_IDS``.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ RAREST = 2
 NEAR_TERMS, NEAR_SPAN = 3, 20
 #: Bytes of test items up to which tables derived from them are broadcast.
 BROADCAST_BYTES = 4 << 20
+#: Documents with candidates up to which their keys (16 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,6 +54,24 @@ def bounded(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+def pair_term(first: Column, second: Column) -> Column:
+    return F.xxhash64(first, second)
+
+
+def word_term(word: Column) -> Column:
+    return F.xxhash64(F.lit("one word"), word)
+
+
+def terms_of(rows: DataFrame, keys: list[str], words: Column, pairs: bool) -> DataFrame:
+    """(keys, pos, term): a row per pair of neighbours, or per word."""
+    if not pairs:
+        return rows.select(*keys, F.posexplode(words).alias("pos", "word")).select(*keys, "pos", word_term(F.col("word")).alias("term"))
+    split = rows.select(*keys, words.alias("words"))
+    zipped = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.size("words")).alias("b"))
+    each = split.where(F.size("words") > 1).select(*keys, F.posexplode(zipped).alias("pos", "p"))
+    return each.where(F.col("p.b").isNotNull()).select(*keys, "pos", pair_term(F.col("p.a"), F.col("p.b")).alias("term"))
+
+
 class TestIndex:
     """The windows of a test set, matched against one corpus."""
 
@@ -61,58 +82,66 @@ class TestIndex:
         size_of = items.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0)).alias("b")).first()["b"]
         self.small = size_of <= BROADCAST_BYTES
         # a null or repeated doc_id is no key: the text's hash tells rows apart, and equal rows have equal results
-        self.docs = docs.select(F.col("doc_id"), words_of().alias("words"), F.xxhash64(text_or_empty()).alias("text_hash"))
-        self.item_windows = written(item_windows(items, size), "item-windows")
-        windows = self.item_windows.select("window").distinct()
-        self.windows = written(windows.select(F.xxhash64("window").alias("w"), F.sha2(F.concat_ws(" ", "window"), 256).alias("digest"), "window"), "windows")
+        self.docs = docs.select(F.col("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("text_hash"))
+        self.item_windows = written(item_windows(items, size).withColumn("w", F.xxhash64("window")), "item-windows")
+        self.windows = written(self.item_windows.select("w", "window").dropDuplicates(["w"]), "windows")
+        one = F.size("window") == 1
+        self.has_one_word = bool(self.windows.where(one).limit(1).count())
+        terms = terms_of(self.windows.where(~one), ["w"], F.col("window"), True)
+        if self.has_one_word:
+            terms = terms.unionByName(terms_of(self.windows.where(one), ["w"], F.col("window"), False))
+        self.terms = written(terms.withColumnRenamed("pos", "offset"), "terms")
         self.anchors = written(self._anchors(), "anchors")
         self.starts = written(self._starts(), "postings")
 
+    def _corpus_terms(self, keys: list[str]) -> DataFrame:
+        found = terms_of(self.docs, keys, words_of(), True)
+        return found.unionByName(terms_of(self.docs, keys, words_of(), False)) if self.has_one_word else found
+
     def _anchors(self) -> DataFrame:
-        """(digest, size, word, offset, rank, lists): the rarest words of each window that can occur."""
-        terms = self.windows.select("digest", F.size("window").alias("size"), F.posexplode("window").alias("offset", "word"))
-        vocabulary = terms.select("word").distinct()
-        found = self.docs.select(F.explode("words").alias("word")).join(bounded(vocabulary, self.small), "word", "left_semi")
-        frequency = found.groupBy("word").agg(F.count("*").alias("n"))
-        by_rarity = Window.partitionBy("digest").orderBy("n", "offset")
-        ranked = terms.join(bounded(frequency, self.small), "word").withColumn("rank", F.row_number().over(by_rarity)).withColumn("known", F.count("*").over(Window.partitionBy("digest")))
-        keep = max(self.rarest, self.near_terms)
-        return ranked.where((F.col("known") == F.col("size")) & (F.col("rank") <= keep)).select("digest", "size", "word", "offset", "rank")
+        """(w, terms, term, offset, rank): the rarest terms of each window that can occur."""
+        found = self._corpus_terms([]).join(bounded(self.terms.select("term").distinct(), self.small), "term", "left_semi")
+        frequency = found.groupBy("term").agg(F.count("*").alias("n"))
+        each = Window.partitionBy("w")
+        ranked = self.terms.withColumn("terms", F.count("*").over(each)).join(bounded(frequency, self.small), "term")
+        ranked = ranked.withColumn("rank", F.row_number().over(each.orderBy("n", "offset"))).withColumn("known", F.count("*").over(each))
+        return ranked.where((F.col("known") == F.col("terms")) & (F.col("rank") <= max(self.rarest, self.near_terms))).select("w", "terms", "term", "offset", "rank")
 
     def _starts(self) -> DataFrame:
-        """The index: postings of the rarest words, with the window starts they stand for."""
-        postings = self.docs.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "word"))
-        return postings.join(bounded(self.anchors, self.small), "word").select("doc_id", "text_hash", "digest", "size", "rank", "pos", (F.col("pos") - F.col("offset")).alias("start"))
+        """The index: postings of the rarest terms, with the window starts they stand for."""
+        postings = self._corpus_terms(["doc_id", "text_hash"])
+        return postings.join(bounded(self.anchors, self.small), "term").select("doc_id", "text_hash", "w", "terms", "rank", "pos", (F.col("pos") - F.col("offset")).alias("start"))
 
     def candidates(self) -> DataFrame:
-        """(doc_id, text_hash, digest, start): starts on which the lists of all rarest words agree."""
+        """(doc_id, text_hash, w, start): starts on which the lists of all rarest terms agree."""
         lists = self.starts.where((F.col("rank") <= self.rarest) & (F.col("start") >= 0))
-        agreed = lists.groupBy("doc_id", "text_hash", "digest", "start").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        return agreed.where(F.col("n") >= F.least(F.col("size"), F.lit(self.rarest))).select("doc_id", "text_hash", "digest", "start")
+        agreed = lists.groupBy("doc_id", "text_hash", "w", "start").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
+        return agreed.where(F.col("n") >= F.least(F.col("terms"), F.lit(self.rarest))).select("doc_id", "text_hash", "w", "start")
 
     def phrase_matches(self) -> DataFrame:
-        """One row per document row: doc_id, text_hash, n_words, ``found`` (array of
-        confirmed (start, size, digest))."""
-        named = self.candidates().join(bounded(self.windows.select("digest", "window"), self.small), "digest")
-        by_doc = named.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "window", "digest")).alias("maybe"))
+        """(doc_id, text_hash, found): confirmed matches of the rows that have any, as an
+        array of (start, size, w)."""
+        named = written(self.candidates().join(bounded(self.windows, self.small), "w"), "candidates")
+        by_doc = named.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "window", "w")).alias("maybe"))
+        ids = named.select("doc_id", "text_hash").distinct()
+        few = ids.count() <= BROADCAST_IDS
+        chosen = self.docs.join(bounded(ids.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), few), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left_semi")
         c = by_doc.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "maybe")
-        joined = self.docs.join(c, self.docs["doc_id"].eqNullSafe(c["c_id"]) & (self.docs["text_hash"] == c["c_hash"]), "left")
+        joined = chosen.dropDuplicates(["doc_id", "text_hash"]).join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")))
+        split = joined.select("doc_id", "text_hash", words_of().alias("words"), "maybe")
         confirmed = F.filter("maybe", lambda m: F.slice("words", m["start"] + 1, F.size(m["window"])) == m["window"])
-        spans = F.transform(confirmed, lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("size"), m["digest"].alias("digest")))
-        empty = F.array().cast("array<struct<start:int,size:int,digest:string>>")
-        return joined.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.coalesce(spans, empty).alias("found"))
+        return split.select("doc_id", "text_hash", F.transform(confirmed, lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("size"), m["w"].alias("w"))).alias("found"))
 
     def proximity_matches(self, span: int = NEAR_SPAN) -> DataFrame:
-        """(doc_id, text_hash, item_id): the rarest words of one of the item's windows lie
+        """(doc_id, text_hash, item_id): the rarest terms of one of the item's windows lie
         within ``span`` words of each other, in any order."""
-        near = Window.partitionBy("doc_id", "text_hash", "digest").orderBy("pos").rangeBetween(0, span - 1)
+        near = Window.partitionBy("doc_id", "text_hash", "w").orderBy("pos").rangeBetween(0, span - 1)
         lists = self.starts.where(F.col("rank") <= self.near_terms).withColumn("seen", F.size(F.collect_set("rank").over(near)))
-        hit = lists.where(F.col("seen") >= F.least(F.col("size"), F.lit(self.near_terms))).select("doc_id", "text_hash", "digest").distinct()
+        hit = lists.where(F.col("seen") >= F.least(F.col("terms"), F.lit(self.near_terms))).select("doc_id", "text_hash", "w").distinct()
         return self.with_items(hit)
 
     def with_items(self, hit: DataFrame) -> DataFrame:
-        owners = self.item_windows.select("item_id", F.sha2(F.concat_ws(" ", "window"), 256).alias("digest"))
-        return hit.join(bounded(owners, self.small), "digest").select("doc_id", "text_hash", "item_id").distinct()
+        return hit.join(bounded(self.item_windows.select("item_id", "w"), self.small), "w").select("doc_id", "text_hash", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
@@ -125,25 +154,30 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -
     empty table of items leaves every document clean.
     """
     index = TestIndex(docs, items, size)
-    matches = written(index.phrase_matches(), "matches")
+    key = ["doc_id", "text_hash"]
+    matches = written(index.phrase_matches().where(F.size("found") > 0), "matches")
     positions = F.flatten(F.transform("found", lambda m: F.sequence(m["start"], m["start"] + m["size"] - 1)))
-    per_doc = matches.select("doc_id", "text_hash", "n_words", F.size(F.array_distinct(positions)).cast("long").alias("n_hit"))
-    exact = index.with_items(matches.select("doc_id", "text_hash", F.explode("found").alias("m")).select("doc_id", "text_hash", F.col("m.digest").alias("digest")).distinct())
+    hits = matches.select(*key, F.size(F.array_distinct(positions)).cast("long").alias("n_hit"))
+    exact = index.with_items(matches.select(*key, F.explode("found.w").alias("w")).distinct())
     listed = exact.withColumn("near", F.lit(False)).unionByName(index.proximity_matches().withColumn("near", F.lit(True)))
-    by_doc = listed.groupBy("doc_id", "text_hash").agg(
+    found = listed.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.when(~F.col("near"), F.coalesce(F.col("item_id").cast("string"), F.lit(""))))).alias("items"),
         F.count(F.when(F.col("near"), 1)).alias("near"),
     )
-    k = by_doc.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "items", "near")
-    out = per_doc.join(k, per_doc["doc_id"].eqNullSafe(k["k_id"]) & (per_doc["text_hash"] == k["k_hash"]), "left")
+    per_doc = found.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "items", "near")
+    per_hit = hits.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), "n_hit")
+    rows = index.docs.select("doc_id", "text_hash", F.size(words_of()).cast("long").alias("n_words"))
+    out = rows.join(per_hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left")
+    out = out.join(per_doc, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        n_hit.alias("n_hit"),
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
         F.coalesce("near", F.lit(0)).cast("long").alias("n_near_items"),
     )
 
@@ -162,12 +196,18 @@ win AS (
 p AS (SELECT win, len(win) AS size, sha256(array_to_string(win, ' ')) AS digest FROM (SELECT DISTINCT win FROM win)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
 w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM d),
-term AS (SELECT digest, size, unnest(win) AS word, generate_subscripts(win, 1) AS o FROM p),
-df AS (SELECT word, count(*) AS n FROM w WHERE word IN (SELECT word FROM term) GROUP BY word),
+one AS (SELECT digest, size, unnest(win) AS word, generate_subscripts(win, 1) AS o FROM p),
+term AS (
+  SELECT a.digest, a.o, CASE WHEN a.size = 1 THEN a.word ELSE a.word || ' ' || b.word END AS term,
+         greatest(a.size - 1, 1) AS terms
+  FROM one a LEFT JOIN one b ON b.digest = a.digest AND b.o = a.o + 1 WHERE a.size = 1 OR b.word IS NOT NULL
+),
+seen AS (SELECT r, k, unnest([word, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY k)]) AS term FROM w),
+df AS (SELECT term, count(*) AS n FROM seen WHERE term IN (SELECT term FROM term) GROUP BY term),
 rare AS (
-  SELECT digest, size, word, row_number() OVER (PARTITION BY digest ORDER BY n, o) AS rk,
+  SELECT digest, terms, term, row_number() OVER (PARTITION BY digest ORDER BY n, o) AS rk,
          count(*) OVER (PARTITION BY digest) AS known
-  FROM term JOIN df USING (word)
+  FROM term JOIN df USING (term)
 ),
 hit AS (
   SELECT r, f.k, p.digest, p.size
@@ -179,12 +219,12 @@ owner AS (SELECT item_id, sha256(array_to_string(win, ' ')) AS digest FROM win),
 found AS (SELECT DISTINCT r, item_id FROM hit JOIN owner USING (digest)),
 items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS h FROM found GROUP BY r),
 spot AS (
-  SELECT r, digest, size, count(DISTINCT rk) OVER (PARTITION BY r, digest ORDER BY k RANGE BETWEEN CURRENT ROW AND {span - 1} FOLLOWING) AS seen
-  FROM rare JOIN w USING (word) WHERE known = size AND rk <= {near_terms}
+  SELECT r, digest, terms, count(DISTINCT rk) OVER (PARTITION BY r, digest ORDER BY k RANGE BETWEEN CURRENT ROW AND {span - 1} FOLLOWING) AS seen
+  FROM rare JOIN seen USING (term) WHERE known = terms AND rk <= {near_terms}
 ),
 near AS (
   SELECT r, count(DISTINCT item_id) AS n_near FROM spot JOIN owner USING (digest)
-  WHERE seen >= least(size, {near_terms}) GROUP BY r
+  WHERE seen >= least(terms, {near_terms}) GROUP BY r
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items
