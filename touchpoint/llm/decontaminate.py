@@ -182,6 +182,14 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no window of an item."""
+    matches = TestIndex(docs, items, size, near_terms=0).phrase_matches().where(F.size("found") > 0)
+    hit = written(matches.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "hit")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
+    return docs.join(bounded(hit, hit.count() <= BROADCAST_IDS), same, "left_anti")
+
+
 def oracle_sql(size: int = WINDOW_WORDS, near_terms: int = NEAR_TERMS, span: int = NEAR_SPAN) -> str:
     """The result of ``contamination`` in DuckDB SQL: every run of words of the corpus is
     compared with every window of that length, and no index is used."""

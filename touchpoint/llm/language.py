@@ -31,7 +31,7 @@ TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 15
 EPOCHS, RATE, SEED = 4, 0.5, 7
 REJECT_ONE_IN = 1000
 UNKNOWN = "und"
-ADDED = ["lang_pred", "lang_score", "lang_rejected"]
+ADDED = ("lang_pred", "lang_score", "lang_rejected")
 INPUT = "__text"
 #: Texts per pass of the scorer stay below so many bytes.
 PIECE_BYTES = 1 << 18
@@ -146,24 +146,25 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
-def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, names: tuple[str, str, str] = ADDED) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all, if None) plus lang_pred, lang_score and
     lang_rejected; one row per row.
 
     Only the text decides. A null, empty or letterless text is ``und`` with score 0 and
     rejected; so is any text whose score is below the model's threshold, which keeps its
-    predicted language. Input columns of the added names are replaced.
+    predicted language. ``names`` are those of the added columns; input columns of these
+    names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in ADDED]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
     cut = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(INPUT))
-    schema = T.StructType([*cut.drop(INPUT).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
+    schema = T.StructType([*cut.drop(INPUT).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column(INPUT)]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < own.threshold for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*kept, *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*kept, *names])
 
     return cut.mapInArrow(run, schema)

@@ -268,3 +268,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> Da
     out = sketched.select("doc_id", *key).join(labelled, key, "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: the one of
+    the smallest doc_id. A doc_id names a document, so of rows that repeat one, one stays;
+    rows without a doc_id all stay."""
+    judged = written(near_duplicates(docs, size).select("doc_id", "kept"), "judged").where(F.col("doc_id").isNotNull())
+    key = F.col("doc_id").cast("long")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, key == F.col("__id"), "left_anti")
+    again = written(judged.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__id"), "again")
+    if not again.limit(1).count():
+        return left
+    once = left.join(again, key == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, key == F.col("__id"), "left_anti").unionByName(once)
