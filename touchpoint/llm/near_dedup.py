@@ -147,8 +147,8 @@ def groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, as a matrix product over the
-    elements that occur more than once."""
+    """Sizes of the intersections of all pairs of different sets, as a matrix product over
+    the elements that occur in several; the diagonal means nothing."""
     n = len(sets)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
