@@ -1,28 +1,94 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from touchpoint.functions.timeutil import local_to_utc, ntz_lit
 from touchpoint.operators import attribution as A
-from touchpoint.operators.incremental import read_sink
+from touchpoint.operators.incremental import load_new_leads, read_sink
 from touchpoint.plans import catalog as C
 from touchpoint.sources import fixtures as FX
-from touchpoint.streaming import start_lead_stream
+from touchpoint.streaming import release_pending, start_lead_stream
 
 SF = "/root/testdata/sf0.001"
+DAYS = [dt.date(2024, 1, 12), dt.date(2024, 1, 20), C.AS_OF]
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return FX.test_drive_leads(spark, SF), FX.ga_events(spark, SF), FX.phone_map(spark, SF)
+
+
+def stream(spark, scratch, tables, as_of, name="ckpt"):
+    start_lead_stream(spark, f"{scratch}/leads", tables[1], tables[2], f"{scratch}/sink", as_of,
+                      C.LOOKBACK_DAYS, checkpoint=f"{scratch}/{name}").awaitTermination(300)
+    return read_sink(spark, f"{scratch}/sink")
+
+
+def distinct(df):
+    return set(map(str, df.drop("created_date").distinct().collect()))
+
+
+def loaded_by_batches(spark, scratch, tables, days):
+    for day in days:
+        load_new_leads(spark, A.AttributionInputs(*tables), f"{scratch}/batch", day, C.LOOKBACK_DAYS)
+    return read_sink(spark, f"{scratch}/batch")
+
+
+def created_between(leads, first, last):
+    """Leads created from ``first`` to before ``last`` (local days; None: open)."""
+    at = lambda d: ntz_lit(local_to_utc(dt.datetime.combine(d, dt.time(0))))
+    if first is not None:
+        leads = leads.where(F.col("created_at") >= at(first))
+    if last is not None:
+        leads = leads.where(F.col("created_at") < at(last))
+    return leads
+
+
+@pytest.mark.parametrize("days", [DAYS[1:], DAYS])
+def test_moving_dates_on_one_checkpoint_equal_the_batch_loads(spark, scratch, tables, days):
+    """The first run already finds leads of later days; each further run finds one late file
+    (leads of long ended days) and one of the day that follows."""
+    early = created_between(tables[0], None, days[1])
+    files = [early] + [created_between(tables[0], a, b) for a, b in zip(days[1:], [*days[2:], None])]
+    for day, leads in zip(days, files):
+        leads.write.mode("append").parquet(f"{scratch}/leads")
+        stream(spark, scratch, tables, day)
+    late = tables[0].limit(1).withColumn("created_at", F.expr("timestamp_ntz'2023-06-01 05:00:00'"))
+    late.write.mode("append").parquet(f"{scratch}/leads")
+    got = stream(spark, scratch, tables, days[-1])
+    batch = loaded_by_batches(spark, scratch, tables, days)
+    assert distinct(batch) <= distinct(got)
+    # every lead of an ended day is there, the late one too, and no other
+    ever = A.LoadWindow(dt.datetime(2000, 1, 1), dt.datetime.combine(days[-1], dt.time(0)))
+    want = A.load_leads(tables[0].unionByName(late), ever)
+    assert distinct(got.select(*A.LEAD_COLS)) == distinct(want.select(*A.LEAD_COLS))
+
+
+def test_one_run_equals_the_batch_and_a_replay_adds_nothing(spark, scratch, tables):
+    window = A.lookback_window(C.AS_OF, C.LOOKBACK_DAYS)
+    A.filter_window(tables[0], window).write.parquet(f"{scratch}/leads")
+    got = stream(spark, scratch, tables, C.AS_OF)
+    want = A.attribute_test_drive(A.AttributionInputs(*tables), C.AS_OF, C.LOOKBACK_DAYS)
+    assert distinct(got) == distinct(want) and got.count() == want.count()
+    assert stream(spark, scratch, tables, C.AS_OF, "other-ckpt").count() == want.count()
+
+
+def test_leads_of_an_open_day_wait_and_old_ones_are_taken(spark, scratch, tables):
+    day = dt.date(2024, 1, 25)
+    tables[0].write.parquet(f"{scratch}/leads")
+    got = stream(spark, scratch, tables, lambda: day)
+    days = [r[0] for r in got.selectExpr("min(created_date)").collect() + got.selectExpr("max(created_date)").collect()]
+    assert days[0] < day - dt.timedelta(days=C.LOOKBACK_DAYS) and days[1] < day
+    before = got.count()
+    release_pending(spark, 0, tables[1], tables[2], f"{scratch}/sink", f"{scratch}/ckpt-pending", C.AS_OF)
+    after = read_sink(spark, f"{scratch}/sink")
+    assert after.count() > before and after.selectExpr("max(created_date)").first()[0] >= day
+
 
+def test_a_checkpoint_place_is_needed(spark, monkeypatch, tables):
+    import touchpoint.streaming.lead_stream as L
 
-def test_stream_matches_batch_and_replay_adds_nothing(spark, scratch):
-    leads_dir, sink = f"{scratch}/leads", f"{scratch}/sink"
-    FX.test_drive_leads(spark, SF).write.parquet(leads_dir)
-    events, pm = FX.ga_events(spark, SF), FX.phone_map(spark, SF)
-    q = start_lead_stream(spark, leads_dir, events, pm, sink, C.AS_OF, C.LOOKBACK_DAYS,
-                          checkpoint=f"{scratch}/ckpt")
-    q.awaitTermination(300)
-    streamed = read_sink(spark, sink)
-    batch = A.attribute_test_drive(
-        A.AttributionInputs(FX.test_drive_leads(spark, SF), events, pm), C.AS_OF, C.LOOKBACK_DAYS
-    )
-    assert streamed.count() == batch.count()
-    # replaying the same files through a new checkpoint appends only NULL-key leads
-    q2 = start_lead_stream(spark, leads_dir, events, pm, sink, C.AS_OF, C.LOOKBACK_DAYS,
-                           checkpoint=f"{scratch}/ckpt2")
-    q2.awaitTermination(300)
-    keys = " OR ".join(f"{k} IS NULL" for k in A.LOADED_KEYS)
-    null_rows = batch.where(keys).count()
-    assert read_sink(spark, sink).count() == batch.count() + null_rows
+    monkeypatch.setattr(L, "checkpoint_dir", lambda spark: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        start_lead_stream(spark, "x", tables[1], tables[2], "y")

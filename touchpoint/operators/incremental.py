@@ -36,18 +36,25 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SINK_SCHEMA)
 
 
-def append_matched(df: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Append attributed leads, partitioned by local creation date; each day is
-    spread over ``files_per_day`` writers by a deterministic hash."""
-    cols = [f.name for f in MATCHED_LEADS.fields]
+def sink_rows(df: DataFrame) -> DataFrame:
+    """The rows to append: the sink's columns (missing ones NULL) and the local day."""
     out = df
     for f in MATCHED_LEADS.fields:
         if f.name not in df.columns:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return out.select(*[f.name for f in MATCHED_LEADS.fields]).withColumn(
+        PARTITION_COL, F.to_date("created_at")
+    )
+
+
+def append_matched(df: DataFrame, path: str, files_per_day: int = 8) -> None:
+    """Append attributed leads, partitioned by local creation date; each day is spread
+    over ``files_per_day`` writers by a deterministic hash. Raise it for a backfill, so
+    that a day's rows divided by it fit one writer."""
+    cols = [f.name for f in MATCHED_LEADS.fields]
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(files_per_day))
     (
-        out.select(*cols)
-        .withColumn(PARTITION_COL, F.to_date("created_at"))
+        sink_rows(df)
         .repartition(PARTITION_COL, bucket)
         .write.mode("append")
         .partitionBy(PARTITION_COL)
@@ -63,13 +70,13 @@ def load_new_leads(
     lookback_days: int | None = 18,
     bootstrap: dt.datetime | None = None,
     method: str = "first_paid_touch",
-    write: bool = True,
-) -> DataFrame:
+    null_safe: bool = False,
+) -> A.LoadWindow:
     """Attribute the leads of the window and append the ones not loaded yet.
 
-    ``lookback_days=None`` uses the sink's high watermark (``bootstrap`` when the
-    sink is empty). Returns the appended rows (as a lazy DataFrame re-reading the
-    inputs; do not rely on it after the sink changed).
+    ``lookback_days=None`` uses the sink's high watermark (``bootstrap`` when the sink
+    is empty). ``null_safe``: leads with a NULL identifying column are loaded once
+    instead of on every run. Returns the window that was loaded.
     """
     sink = read_sink(spark, sink_path)
     inp = A.AttributionInputs(inputs.leads, inputs.events, inputs.phone_map, sink)
@@ -77,7 +84,5 @@ def load_new_leads(
         window = A.watermark_bounds(sink, as_of, bootstrap)
     else:
         window = A.lookback_window(as_of, lookback_days)
-    result = A.attribute(inp, window, method)
-    if write:
-        append_matched(result, sink_path)
-    return result
+    append_matched(A.attribute(inp, window, method, null_safe=null_safe), sink_path)
+    return window

@@ -1,5 +1,5 @@
 """Structured Streaming wrapper around the incremental lead attribution."""
 
-from touchpoint.streaming.lead_stream import attribute_batch, start_lead_stream
+from touchpoint.streaming.lead_stream import load_batch, release_pending, start_lead_stream
 
-__all__ = ["attribute_batch", "start_lead_stream"]
+__all__ = ["load_batch", "release_pending", "start_lead_stream"]

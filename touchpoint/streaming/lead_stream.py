@@ -1,41 +1,117 @@
-"""Incremental lead attribution as a Structured Streaming job.
+"""Incremental lead attribution as a Structured Streaming job that loses no lead.
 
-New lead files arriving in a folder are attributed micro-batch by micro-batch with
-``foreachBatch``: each batch runs the same batch operators (phone cleanup,
-registered events, first paid touch, leads x UTM), drops leads already in the
-sink and appends the rest. The exclusion makes a replayed batch (after a failure
-between the sink write and the checkpoint commit) append nothing new, so the sink
-stays exactly-once for leads whose identifying columns are non-NULL.
+Lead files arriving in a folder are attributed micro-batch by micro-batch. The file
+source hands out each file once, so a batch may not drop a lead for its date:
 
-The checkpoint goes to the shared folder named by ``spark.checkpoint.dir`` unless a
-location is given.
+* leads of a day that has not ended at the batch's date wait in a table of pending leads,
+  which the next batch adds to its own leads;
+* leads of the lookback window are attributed as a daily batch load of that date does;
+* leads older than the window (late files) are attributed over a window that reaches
+  back from the oldest of them.
+
+The date is asked for anew in every batch. Leads already in the sink are excluded, NULL
+columns compared as equal, and each batch writes its pending leads to a folder of its own
+number, so a batch that is replayed after a failure changes nothing.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from touchpoint.functions.timeutil import LEAD_TZ, local_to_utc, ntz_lit, to_local
 from touchpoint.operators import attribution as A
 from touchpoint.operators.incremental import append_matched, read_sink
 from touchpoint.session import checkpoint_dir
 from touchpoint.sources.schemas import LEADS
 
 
-def attribute_batch(
+def today(tz: str = LEAD_TZ) -> dt.date:
+    return dt.datetime.now(ZoneInfo(tz)).date()
+
+
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """Leads held back by a batch; none if the folder does not exist."""
+    try:
+        return spark.read.schema(LEADS).parquet(path)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
+        return spark.createDataFrame([], LEADS)
+
+
+def split_by_day(leads: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+    """(leads of ended days, all others); a lead without a time waits for good."""
+    end = ntz_lit(local_to_utc(dt.datetime.combine(as_of, dt.time(0)), LEAD_TZ))
+    ended = F.coalesce(F.col("created_at") < end, F.lit(False))
+    return leads.where(ended), leads.where(~ended)
+
+
+def attribute_ready(
     spark: SparkSession,
-    batch: DataFrame,
+    leads: DataFrame,
     events: DataFrame,
     phone_map: DataFrame,
     sink_path: str,
     as_of: dt.date,
     lookback_days: int = 18,
 ) -> DataFrame:
-    """Attribution of one micro-batch of raw leads against the current sink."""
-    inp = A.AttributionInputs(batch, events, phone_map, read_sink(spark, sink_path))
-    return A.attribute_test_drive(inp, as_of, lookback_days, method="first_paid_touch")
+    """Attribution of all ``leads`` (of ended days) that the sink does not hold."""
+    inp = A.AttributionInputs(leads, events, phone_map, read_sink(spark, sink_path))
+    window = A.lookback_window(as_of, lookback_days)
+    out = A.attribute(inp, window, null_safe=True)
+    oldest = leads.agg(F.min(to_local("created_at", LEAD_TZ))).first()[0]
+    if oldest is None or oldest > window.lower:
+        return out
+    first = dt.datetime.combine(oldest.date(), dt.time(0)) - dt.timedelta(days=1)
+    late = A.LoadWindow(first, window.lower + dt.timedelta(microseconds=1))
+    events_from = A.LoadWindow(first - dt.timedelta(days=lookback_days), window.upper)
+    return out.unionByName(A.attribute(inp, late, event_window=events_from, null_safe=True))
+
+
+def load_batch(
+    spark: SparkSession,
+    batch: DataFrame,
+    batch_id: int,
+    events: DataFrame,
+    phone_map: DataFrame,
+    sink_path: str,
+    pending_path: str,
+    as_of: dt.date,
+    lookback_days: int = 18,
+) -> None:
+    """One micro-batch: pending leads of the batch before plus its own."""
+    cols = [f.name for f in LEADS.fields]
+    leads = read_pending(spark, f"{pending_path}/{batch_id - 1}").unionByName(batch.select(*cols))
+    ready, waiting = split_by_day(leads, as_of)
+    append_matched(
+        attribute_ready(spark, ready, events, phone_map, sink_path, as_of, lookback_days), sink_path
+    )
+    waiting.write.mode("overwrite").parquet(f"{pending_path}/{batch_id}")
+
+
+def release_pending(
+    spark: SparkSession,
+    batch_id: int,
+    events: DataFrame,
+    phone_map: DataFrame,
+    sink_path: str,
+    pending_path: str,
+    as_of: dt.date,
+    lookback_days: int = 18,
+) -> None:
+    """Load what has waited since batch ``batch_id`` when no new file comes to start a
+    batch. The next batch finds these leads in the sink and skips them."""
+    ready, _ = split_by_day(read_pending(spark, f"{pending_path}/{batch_id}"), as_of)
+    append_matched(
+        attribute_ready(spark, ready, events, phone_map, sink_path, as_of, lookback_days), sink_path
+    )
 
 
 def start_lead_stream(
@@ -44,20 +120,24 @@ def start_lead_stream(
     events: DataFrame,
     phone_map: DataFrame,
     sink_path: str,
-    as_of: dt.date,
+    as_of: dt.date | Callable[[], dt.date] = today,
     lookback_days: int = 18,
     checkpoint: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start the stream (``availableNow`` processes what is there and stops)."""
-    location = checkpoint or f"{checkpoint_dir(spark)}/lead_stream"
-    if location.startswith("None"):
+    """Start the stream (``availableNow`` processes what is there and stops). ``as_of``: a
+    date, or a function that gives the date of each batch. Pending leads live beside the
+    checkpoint, in ``<checkpoint>-pending``."""
+    shared = checkpoint_dir(spark)
+    if checkpoint is None and shared is None:
         raise ValueError("no checkpoint location: set spark.checkpoint.dir or pass one")
+    location = checkpoint or f"{shared}/lead_stream"
     stream = spark.readStream.schema(LEADS).parquet(leads_path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = attribute_batch(spark, batch, events, phone_map, sink_path, as_of, lookback_days)
-        append_matched(out, sink_path)
+        day = as_of() if callable(as_of) else as_of
+        load_batch(spark, batch, batch_id, events, phone_map, sink_path, f"{location}-pending",
+                   day, lookback_days)
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
