@@ -43,3 +43,32 @@ def param_column(df, key: str, kind: str = "string") -> Column:
     if key in df.columns:
         return F.col(key)
     return event_param(key, kind)
+
+
+# flat column -> place in the raw export
+RAW_LEAVES = {
+    "hostname": "device.web_info.hostname",
+    "traffic_medium": "traffic_source.medium",
+    "manual_medium": "collected_traffic_source.manual_medium",
+    "gclid": "collected_traffic_source.gclid",
+    "dclid": "collected_traffic_source.dclid",
+    "srsltid": "collected_traffic_source.srsltid",
+}
+
+
+def leaf_column(df, name: str) -> Column:
+    """A leaf of the raw export, or its column in the flat layout."""
+    return F.col(name) if name in df.columns else F.col(RAW_LEAVES[name])
+
+
+def values_column(df, key: str) -> Column:
+    """All string values of ``key``, one per entry: the flat layout's ``<key>s`` column, or
+    the entries of ``event_params``."""
+    if f"{key}s" in df.columns:
+        return F.col(f"{key}s")
+    return all_values(key)
+
+
+def all_values(key: str, params: str = "event_params") -> Column:
+    hits = F.filter(F.col(params), lambda p: p["key"] == F.lit(key))
+    return F.transform(hits, lambda p: p["value"]["string_value"])

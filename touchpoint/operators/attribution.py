@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchpoint.functions.params import param_column
 from touchpoint.functions.phone import normalize_mapped_phone, normalize_phone
@@ -51,6 +52,10 @@ from touchpoint.operators.relational import (
 TEST_DRIVE_CONVERSION = "dax_testdrive_beforedealer_conversion"
 BROCHURE_CONVERSION = "dax_downloadbrochure_conversion"
 CONV, NO_CONV = "conv", "null"  # the flag is text; 'null' is not NULL
+# the phone rule shortens every number that starts 620 to this one
+HOT_PHONES = ("62",)
+SESSION_KEYS = ("ga_session_id",)
+SESSION_SPREAD = 16
 
 LEAD_COLS = [
     "fullname", "city", "phone", "email", "estimated_buying_time",
@@ -197,12 +202,17 @@ def load_leads(
 
     The de-duplication is a plain DISTINCT on the raw key columns (hash aggregate
     with map-side combine); phone cleanup and the zone shift run afterwards, once
-    per distinct submission (every output column is a function of the keys)."""
+    per distinct submission. Every output column must be a function of the keys; others
+    raise ``ValueError``."""
+    source = {"phone": "phone_raw", "created_at": "created_raw"}
+    unknown = [c for c in out_cols if source.get(c, c) not in dedupe_keys]
+    if unknown:
+        raise ValueError(f"columns {unknown} are not settled by the keys {list(dedupe_keys)}")
     raw = raw_leads(filter_window(leads, window, tz))
     distinct = raw.select(*dedupe_keys).distinct()
-    for c in RAW_LEAD_COLS:
+    for c in ("phone_raw", "created_raw"):
         if c not in dedupe_keys:
-            distinct = distinct.withColumn(c, F.lit(None).cast("string"))
+            distinct = distinct.withColumn(c, F.lit(None).cast(raw.schema[c].dataType))
     return clean_leads(distinct, tz, phone_mode).select(*out_cols)
 
 
@@ -240,23 +250,27 @@ def registered_events(
     )
 
 
-def conversion_sessions(registered: DataFrame) -> DataFrame:
-    """Distinct non-NULL session ids holding a conversion event."""
-    return (
-        registered.where((F.col("conv_flag") == CONV) & F.col("ga_session_id").isNotNull())
-        .select("ga_session_id")
-        .distinct()
-    )
+def conversion_sessions(registered: DataFrame, session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    """Distinct non-NULL sessions holding a conversion event. ``session_keys``: the
+    session id alone, or with ``user_pseudo_id``, so that users who share an id do not
+    share the conversion."""
+    return _present(registered.where(F.col("conv_flag") == CONV), session_keys).distinct()
+
 
+def _present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys).dropna()
 
-def flag_conversion_sessions(registered: DataFrame, strict_utm: bool = True) -> DataFrame:
+
+def flag_conversion_sessions(registered: DataFrame, strict_utm: bool = True,
+                             session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """``ga_utm``: every registered event with its *session's* conversion flag
-    ('conv' if any event of the session id converts, else 'null') and its UTM
-    fields."""
-    conv = conversion_sessions(registered).withColumn("_conv", F.lit(True))
+    ('conv' if any event of the session converts, else 'null') and its UTM fields."""
+    conv = conversion_sessions(registered, session_keys)
+    right = [f"_s_{k}" for k in session_keys]
     joined = left_join_split_nulls(
-        registered.drop("conv_flag"), conv.withColumnRenamed("ga_session_id", "_sid"),
-        ["ga_session_id"], ["_sid"],
+        registered.drop("conv_flag"),
+        conv.select(*[F.col(k).alias(r) for k, r in zip(session_keys, right)], F.lit(True).alias("_conv")),
+        list(session_keys), right,
     )
     return joined.select(
         "user_pseudo_id",
@@ -280,7 +294,9 @@ def conversion_sessions_join(
     its events k times; events of other sessions get a NULL flag.
 
     Conversions are counted per session first (map-side), and the repetition is
-    rebuilt with ``array_repeat``, so only one row per session is shuffled.
+    rebuilt with ``array_repeat``, so only one row per session is shuffled. The result
+    has conversions x events rows per session, as specified; the end-to-end flows
+    need the session only once and do not call this.
     """
     counts = (
         events.where(F.col("event_date").between(day_from, day_to))
@@ -302,11 +318,26 @@ def conversion_sessions_join(
 
 
 # ------------------------------------------------------- phone -> UTM choice
-def _conv_sessions(touches: DataFrame, conv: DataFrame | None) -> DataFrame:
-    """Distinct converting session ids: given, or read off ``conv_flag``."""
-    if conv is not None:
-        return conv.select("ga_session_id").where(F.col("ga_session_id").isNotNull()).distinct()
-    return conversion_sessions(touches)
+def _converting(touches: DataFrame, conv: DataFrame | None,
+                session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    """The touches of converting sessions (given, or read off ``conv_flag``). The ranking
+    groups contain the session, so cutting before ranking gives the same choice and
+    ranks only these sessions. The touches of a session are spread over SESSION_SPREAD
+    salts, over which the (few) converting sessions are repeated, so a session that holds
+    a third of the events is not one task."""
+    sessions = conversion_sessions(touches, session_keys) if conv is None else _present(conv, session_keys).distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SESSION_SPREAD - 1)))
+    salt = F.pmod(F.xxhash64("phone_no", "log_time", *UTM_COLS), F.lit(SESSION_SPREAD)).cast("int")
+    salted = touches.withColumn("_salt", salt)
+    return salted.join(sessions.withColumn("_salt", salts), [*session_keys, "_salt"], "left_semi").drop("_salt")
+
+
+def _best_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """All rows that tie for the first place in their group. ``rank() = 1`` is cut to the
+    best rows of each input partition before the shuffle, so a hot group is not moved
+    whole."""
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
 
 def best_source_per_phone(touches: DataFrame) -> DataFrame:
@@ -324,14 +355,18 @@ def best_source_per_phone(touches: DataFrame) -> DataFrame:
 
 
 def best_source_per_session(
-    touches: DataFrame, require_conversion: bool = True, conv: DataFrame | None = None
+    touches: DataFrame, require_conversion: bool = True, conv: DataFrame | None = None,
+    session_keys: Sequence[str] = SESSION_KEYS,
 ) -> DataFrame:
-    """Per (session, phone) the alphabetically last source, left-joined to the
-    distinct UTM rows of that session, phone and source; with
-    ``require_conversion`` only converting sessions are kept (the left join becomes
-    an inner join). The conversion test is a semi join on the aggregated
-    (session, phone) rows, not on every event."""
+    """Per (session, phone) the alphabetically last source with the distinct UTM rows of
+    that session, phone and source; with ``require_conversion`` only converting sessions
+    are kept, and one shuffle of their distinct rows serves the choice and its UTM rows.
+    Otherwise sessions and phones without an id appear too, with no UTM row of their own."""
     keys = ["ga_session_id", "phone_no"]
+    if require_conversion:
+        rows = _converting(touches, conv, session_keys).where(F.col("phone_no").isNotNull())
+        last = _best_rows(rows.select(*keys, *UTM_COLS).distinct(), keys, [F.desc_nulls_last("utm_source")])
+        return last.where(F.col("utm_source").isNotNull()).select("phone_no", *UTM_COLS)
     best = touches.groupBy(*keys).agg(F.max("utm_source").alias("utm_source"))
     rows = (
         touches.where(
@@ -342,50 +377,35 @@ def best_source_per_session(
         .select(*keys, *UTM_COLS)
         .distinct()
     )
-    join_keys = keys + ["utm_source"]
-    if require_conversion:
-        best = best.where(F.col("phone_no").isNotNull()).join(
-            _conv_sessions(touches, conv), "ga_session_id", "left_semi"
-        )
-        out = best.join(rows, join_keys, "inner")
-    else:
-        out = left_join_split_nulls(best, rows, join_keys)
-    return out.select("phone_no", *UTM_COLS)
+    return left_join_split_nulls(best, rows, keys + ["utm_source"]).select("phone_no", *UTM_COLS)
 
 
-def first_paid_touch(touches: DataFrame, conv: DataFrame | None = None) -> DataFrame:
-    """Per (session, phone): the earliest paid event, else the earliest event
-    (ties: lowest source), ranked over all events; then only converting sessions;
-    the choice is re-joined to every distinct (medium, campaign, content) with the
-    same session, phone, source and log_time.
+def first_paid_touch(touches: DataFrame, conv: DataFrame | None = None,
+                     session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    """Per converting (session, phone): the earliest paid event, else the earliest event
+    (ties: lowest source), with every distinct (medium, campaign, content) of the same
+    session, phone, source and log_time.
 
-    The ranking is an aggregate (map-side combined, skew-proof); the conversion
-    test is a semi join on its one-row-per-(session, phone) output; the re-join
-    uses the full 4-column key, so one hot session or phone spreads over tasks."""
+    One shuffle of the converting sessions' distinct rows serves the ranking and the UTM
+    rows: all rows that tie on (paid, log_time, source) are returned."""
     keys = ["ga_session_id", "phone_no"]
-    keyed = touches.where(F.col("ga_session_id").isNotNull() & F.col("phone_no").isNotNull())
-    best = top1_per_group(
-        keyed.withColumn("_np", is_non_paid("utm_source")),
-        keys,
-        order=["_np", "log_time", "utm_source"],
-    ).join(_conv_sessions(touches, conv), "ga_session_id", "left_semi")
-    rejoin = ["ga_session_id", "utm_source", "phone_no", "log_time"]
-    rows = keyed.select(*rejoin, *UTM_COLS[1:])
-    joined = best.select(*rejoin).join(rows, rejoin, "inner")
-    return (
-        joined.dropDuplicates(rejoin + UTM_COLS[1:])
-        .select("phone_no", *UTM_COLS)
+    rows = _converting(touches, conv, session_keys).where(
+        F.col("ga_session_id").isNotNull() & F.col("phone_no").isNotNull()
     )
+    rows = rows.select(*keys, "log_time", *UTM_COLS).distinct()
+    best = _best_rows(rows, keys, [is_non_paid("utm_source"), F.col("log_time"), F.col("utm_source")])
+    return best.where(F.col("log_time").isNotNull() & F.col("utm_source").isNotNull()).select("phone_no", *UTM_COLS)
 
 
-def first_paid_touch_converted(touches: DataFrame, conv: DataFrame | None = None) -> DataFrame:
+def first_paid_touch_converted(touches: DataFrame, conv: DataFrame | None = None,
+                               session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Converting sessions first, then per (session, phone) the earliest paid
     event (else earliest; ties broken by the UTM fields). Medium, campaign and
     content are kept only when session, phone, log_time and all four UTM fields
     are non-NULL (the reference re-joins on all of them with ``=``).
     Columns: phone_no, utm_*, log_time."""
     keys = ["ga_session_id", "phone_no"]
-    converting = touches.join(_conv_sessions(touches, conv), "ga_session_id", "left_semi")
+    converting = _converting(touches, conv, session_keys)
     best = top1_per_group(
         converting.withColumn("_np", is_non_paid("utm_source")),
         keys,
@@ -413,12 +433,13 @@ def attribute_leads(
 ) -> DataFrame:
     """Leads LEFT JOIN phone->UTM rows on the cleaned phone; '!Non-Paid' is shown
     as 'Non-Paid'. With ``distinct`` the UTM side is de-duplicated before the join
-    (the result is DISTINCT anyway), and NULL phones skip the shuffle."""
+    (the result is DISTINCT anyway). Leads with a NULL phone, or with the phone that the
+    cleanup makes of many numbers, are spread over many tasks."""
     cols = ["phone_no", *UTM_COLS, *extra_cols]
     right = phone_utm.select(*cols)
     if distinct:
         right = right.where(F.col("phone_no").isNotNull()).distinct()
-    joined = left_join_split_nulls(leads.select(*lead_cols), right, ["phone"], ["phone_no"])
+    joined = left_join_split_nulls(leads.select(*lead_cols), right, ["phone"], ["phone_no"], HOT_PHONES)
     out = joined.select(
         *lead_cols,
         display_source("utm_source").alias("utm_source"),
@@ -433,9 +454,11 @@ def exclude_loaded(
     sink: DataFrame,
     window: LoadWindow | None = None,
     keys: Sequence[str] = LOADED_KEYS,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Drop leads already present in the sink (all ``keys`` equal, plain ``=``:
-    a lead with a NULL key is never "loaded"). The sink's ``created_at`` is local
+    a lead with a NULL key is never "loaded", so it is appended again on every run
+    whose window holds it; ``null_safe`` lets NULL equal NULL). The sink's ``created_at`` is local
     time; only the window's slice of the sink is read."""
     loaded = sink
     if window is not None and window.lower is not None:
@@ -447,7 +470,7 @@ def exclude_loaded(
             loaded = loaded.where(
                 F.col("created_date").between(F.lit(window.lower.date()), F.lit(window.upper.date()))
             )
-    return exclude_existing(new, loaded, keys)
+    return exclude_existing(new, loaded, keys, null_safe)
 
 
 def last_touch_per_lead(mapped: DataFrame, keys: Sequence[str] = LAST_TOUCH_KEYS) -> DataFrame:
@@ -474,21 +497,22 @@ def touches_of(registered: DataFrame, strict_utm: bool = True) -> DataFrame:
     )
 
 
-def all_conversion_sessions(events: DataFrame, day_from: str, day_to: str,
-                            conversion_event: str) -> DataFrame:
-    """Session ids with a conversion event of *any* user in the shard range."""
-    return (
+def all_conversion_sessions(events: DataFrame, day_from: str, day_to: str, conversion_event: str,
+                            session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    """Sessions with a conversion event of *any* user in the shard range."""
+    conv = (
         events.where(F.col("event_date").between(day_from, day_to))
         .where(F.col("event_name") == conversion_event)
-        .select(param_column(events, "ga_session_id", "int").alias("ga_session_id"))
-        .where(F.col("ga_session_id").isNotNull())
-        .distinct()
+        .select("user_pseudo_id",
+                param_column(events, "ga_session_id", "int").alias("ga_session_id"))
     )
+    return _present(conv, session_keys).distinct()
 
 
 def registered_conversion_sessions(events: DataFrame, phone_map: DataFrame, day_from: str,
-                                   day_to: str, conversion_event: str) -> DataFrame:
-    """Distinct session ids holding a conversion event of a registered user (one
+                                   day_to: str, conversion_event: str,
+                                   session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    """Distinct sessions holding a conversion event of a registered user (one
     in the phone map). The event-name filter runs at the scan, so this pass reads
     only the conversion events."""
     conv = (
@@ -499,12 +523,13 @@ def registered_conversion_sessions(events: DataFrame, phone_map: DataFrame, day_
         .where(F.col("ga_session_id").isNotNull())
     )
     users = phone_map.select("user_pseudo_id")
-    return conv.join(users, "user_pseudo_id", "left_semi").select("ga_session_id").distinct()
+    return _present(conv.join(users, "user_pseudo_id", "left_semi"), session_keys).distinct()
 
 
 def _touches(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
              strict_utm: bool, conversions: str = "in",
-             leads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+             leads: DataFrame | None = None,
+             session_keys: Sequence[str] = SESSION_KEYS) -> tuple[DataFrame, DataFrame]:
     """(touches, converting sessions) of the window's event shards.
 
     With ``leads``, the phone map is first cut to the phones of those leads: touch
@@ -528,9 +553,10 @@ def _touches(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
         )
     reg = registered_events(inp.events, pm, *days, conversion_event=conversion_event)
     if conversions == "in":
-        conv = registered_conversion_sessions(inp.events, inp.phone_map, *days, conversion_event)
+        conv = registered_conversion_sessions(inp.events, inp.phone_map, *days, conversion_event,
+                                              session_keys)
     elif conversions == "join":
-        conv = all_conversion_sessions(inp.events, *days, conversion_event)
+        conv = all_conversion_sessions(inp.events, *days, conversion_event, session_keys)
     else:
         raise ValueError(f"unknown conversions mode {conversions!r}")
     return touches_of(reg, strict_utm), conv
@@ -543,6 +569,9 @@ def attribute(
     conversions: str = "in",
     conversion_event: str = TEST_DRIVE_CONVERSION,
     exclude: bool = True,
+    session_keys: Sequence[str] = SESSION_KEYS,
+    event_window: LoadWindow | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Test-drive leads of ``window`` with their campaign.
 
@@ -552,7 +581,9 @@ def attribute(
     last source of the phone; no DISTINCT and no sink check).
     ``conversions``: 'in' flags every event of a session holding a conversion;
     'join' right-joins one row per conversion event of any user (fan-out).
-    ``exclude``: drop leads already in ``inp.sink``.
+    ``exclude``: drop leads already in ``inp.sink`` (``null_safe``: see
+    ``exclude_loaded``). ``session_keys``: what names a session when conversions are
+    looked up. ``event_window``: the days whose events count, if not the leads' own.
     """
     if window.lower is None:
         return load_leads(inp.leads, window).select(*LEAD_COLS, *[
@@ -564,12 +595,13 @@ def attribute(
         # every lead, so excluding first gives the same rows; in a daily run with
         # a long lookback most of the window is already loaded, so the join and
         # the DISTINCT only see the new leads.
-        leads = exclude_loaded(leads, inp.sink, window)
-    touches, conv = _touches(inp, window, conversion_event, True, conversions, leads)
+        leads = exclude_loaded(leads, inp.sink, window, null_safe=null_safe)
+    touches, conv = _touches(inp, event_window or window, conversion_event, True, conversions,
+                             leads, session_keys)
     if method == "first_paid_touch":
-        phone_utm = first_paid_touch(touches, conv)
+        phone_utm = first_paid_touch(touches, conv, session_keys)
     elif method == "best_per_session":
-        phone_utm = best_source_per_session(touches, True, conv)
+        phone_utm = best_source_per_session(touches, True, conv, session_keys)
     elif method == "best_per_session_all":
         phone_utm = best_source_per_session(touches, False, conv)
     elif method == "best_per_phone":

@@ -26,7 +26,7 @@ CHECK_COLS = [
 
 def freshness_check(leads: DataFrame, as_of: dt.date, days: int = 3) -> DataFrame:
     """Leads created since ``as_of - days`` (00:00), each with the total count as
-    text; when there is none, one row of NULLs with ``total_row = 'There is no
+    text, newest first; when there is none, one row of NULLs with ``total_row = 'There is no
     data'``. The count is a scalar subquery (no single-partition window) and the
     sentinel row is driven by the same scalar."""
     since = ntz_lit(dt.datetime.combine(as_of - dt.timedelta(days=days), dt.time(0)))
@@ -42,7 +42,7 @@ def freshness_check(leads: DataFrame, as_of: dt.date, days: int = 3) -> DataFram
         *[F.lit(None).cast(schema[name]).alias(name) for name, _ in CHECK_COLS],
         F.lit(NO_DATA).alias("total_row"),
     )
-    return rows.unionByName(sentinel)
+    return rows.unionByName(sentinel).orderBy(F.desc_nulls_last("created_at"))
 
 
 def freshness_assertion(check: DataFrame) -> DataFrame:
@@ -53,6 +53,15 @@ def freshness_assertion(check: DataFrame) -> DataFrame:
     )
 
 
+def freshness_status(check: DataFrame) -> DataFrame:
+    """One row: whether the table is fresh, and its number of recent rows."""
+    stale = F.max(F.when(F.col("total_row") == NO_DATA, 1).otherwise(0))
+    return check.agg(
+        (F.coalesce(stale, F.lit(0)) == 0).alias("fresh"),
+        F.count(F.when(F.col("total_row") != NO_DATA, 1)).alias("recent_rows"),
+    )
+
+
 def assert_fresh(check: DataFrame) -> None:
     """Run the assertion; raises when the table is stale."""
     freshness_assertion(check).collect()

@@ -50,6 +50,8 @@ def top1_per_group(
 
 
 NULL_SPREAD = 1024
+#: Tasks over which the rows of a key that is known to be hot are spread.
+HOT_SPREAD = 64
 
 
 def _has_map(t: T.DataType) -> bool:
@@ -65,9 +67,13 @@ def _has_map(t: T.DataType) -> bool:
 
 def _null_salt(df: DataFrame, null_cond: Column, offset: int = 0) -> Column:
     """0 for rows with a usable key; 1+offset .. NULL_SPREAD+offset for NULL keys."""
+    salt = F.pmod(_row_hash(df), F.lit(NULL_SPREAD)).cast("int") + (1 + offset)
+    return F.when(null_cond, salt).otherwise(F.lit(0))
+
+
+def _row_hash(df: DataFrame) -> Column:
     hashable = [f.name for f in df.schema.fields if not _has_map(f.dataType)]
-    h = F.xxhash64(*[F.col(c) for c in hashable], F.spark_partition_id())
-    return F.when(null_cond, F.pmod(h, F.lit(NULL_SPREAD)) + (1 + offset)).otherwise(F.lit(0))
+    return F.xxhash64(*[F.col(c) for c in hashable], F.spark_partition_id())
 
 
 def left_join_split_nulls(
@@ -75,17 +81,26 @@ def left_join_split_nulls(
     right: DataFrame,
     left_keys: Sequence[str],
     right_keys: Sequence[str] | None = None,
+    hot: Sequence = (),
 ) -> DataFrame:
     """``left LEFT JOIN right ON l.k = r.k`` (plain ``=``). NULL-key rows of the
     left are salted so they do not all land in one task; they get NULL right-hand
-    columns. Output: the left columns plus the right's non-key columns."""
+    columns. So are left rows whose first key is one of ``hot``; the right's rows of
+    those keys are repeated for each of the HOT_SPREAD salts. Output: the left columns
+    plus the right's non-key columns."""
     right_keys = list(right_keys or left_keys)
     tmp = [f"_rk{i}" for i in range(len(right_keys))]
     renames = dict(zip(right_keys, tmp))
+    salt, r_salt = _null_salt(left, _any_null(left_keys)), F.lit(0)
+    if hot:
+        spread = F.pmod(_row_hash(left), F.lit(HOT_SPREAD)).cast("int")
+        salt = F.when(F.col(left_keys[0]).isin(*hot) & ~_any_null(left_keys), spread).otherwise(salt)
+        salts = F.when(F.col(right_keys[0]).isin(*hot), F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1)))
+        r_salt = F.explode(salts.otherwise(F.array(F.lit(0))))
     r = right.where(~_any_null(right_keys)).select(
-        *[F.col(c).alias(renames.get(c, c)) for c in right.columns], F.lit(0).alias("_rsalt")
+        *[F.col(c).alias(renames.get(c, c)) for c in right.columns], r_salt.alias("_rsalt")
     )
-    l = left.withColumn("_salt", _null_salt(left, _any_null(left_keys)))
+    l = left.withColumn("_salt", salt)
     cond = reduce(
         lambda a, b: a & b,
         [F.col(lk) == F.col(t) for lk, t in zip(left_keys, tmp)],
@@ -94,12 +109,19 @@ def left_join_split_nulls(
 
 
 def exclude_existing(
-    new: DataFrame, existing: DataFrame, keys: Sequence[str]
+    new: DataFrame, existing: DataFrame, keys: Sequence[str], null_safe: bool = False
 ) -> DataFrame:
     """``NOT EXISTS (SELECT 1 FROM existing e WHERE n.k1 = e.k1 AND ...)`` with plain
     ``=``: a row with a NULL in any key never matches, so it is always kept (and is
-    salted so such rows spread over many tasks)."""
+    salted so such rows spread over many tasks). ``null_safe`` lets NULL equal NULL."""
     keys = list(keys)
+    if null_safe:
+        r = existing.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)]).distinct()
+        cond = reduce(
+            lambda a, b: a & b,
+            [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(keys)],
+        )
+        return new.join(r, cond, "left_anti")
     l = new.withColumn("_salt", _null_salt(new, _any_null(keys)))
     r = existing.where(~_any_null(keys)).select(*keys).distinct().withColumn("_salt", F.lit(0))
     return l.join(r, keys + ["_salt"], "left_anti").drop("_salt")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchpoint.functions.classify import channel_grouping, page_class
-from touchpoint.functions.params import param_column
+from touchpoint.functions.params import leaf_column, param_column, values_column
 from touchpoint.functions.timeutil import LEAD_TZ, micros_to_ntz, ntz_lit, to_local
-from touchpoint.operators.relational import union_all
+from touchpoint.operators.relational import HOT_SPREAD, union_all
 
 PAGE_KEY = "page_location"
 
@@ -24,35 +24,34 @@ def _distinct_users(approx_rsd: float | None):
     return F.approx_count_distinct("user_pseudo_id", rsd=approx_rsd)
 
 
+def _page_views(events: DataFrame, *extra) -> DataFrame:
+    """One row per page_location entry of an event (an event may have several)."""
+    return events.select(
+        *extra,
+        F.col("user_pseudo_id"),
+        leaf_column(events, "hostname").alias("hostname"),
+        F.explode(values_column(events, PAGE_KEY)).alias(PAGE_KEY),
+    )
+
+
 def page_users_by_instant(events: DataFrame) -> DataFrame:
     """Distinct users per (event instant, host, page) *and user* (so 1 per row,
     0 for a NULL user)."""
-    rows = events.select(
-        micros_to_ntz("event_timestamp").alias("timestamp_date"),
-        F.col("user_pseudo_id"),
-        F.col("device.web_info.hostname").alias("hostname"),
-        F.explode(F.filter("event_params", lambda p: p["key"] == F.lit(PAGE_KEY))).alias("p"),
-    )
+    rows = _page_views(events, micros_to_ntz("event_timestamp").alias("timestamp_date"))
     # COUNT(DISTINCT user) grouped by user is 1 for a non-NULL user, else 0: no
     # distinct aggregation (and no extra shuffle) is needed.
-    return rows.groupBy(
-        "timestamp_date", "user_pseudo_id", "hostname", F.col("p.value.string_value").alias(PAGE_KEY)
-    ).agg(F.max(F.col("user_pseudo_id").isNotNull().cast("long")).alias("total_users")).select(
-        "timestamp_date", "hostname", PAGE_KEY, "total_users"
-    )
+    return rows.groupBy("timestamp_date", "user_pseudo_id", "hostname", PAGE_KEY).agg(
+        F.max(F.col("user_pseudo_id").isNotNull().cast("long")).alias("total_users")
+    ).select("timestamp_date", "hostname", PAGE_KEY, "total_users")
 
 
 def page_users_by_day(events: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """Distinct users per (day as dd-MM-yyyy, host, page)."""
-    rows = events.select(
-        F.date_format(F.to_date("event_date", "yyyyMMdd"), "dd-MM-yyyy").alias("timestamp_date"),
-        F.col("user_pseudo_id"),
-        F.col("device.web_info.hostname").alias("hostname"),
-        F.explode(F.filter("event_params", lambda p: p["key"] == F.lit(PAGE_KEY))).alias("p"),
+    day = F.date_format(F.to_date("event_date", "yyyyMMdd"), "dd-MM-yyyy")
+    rows = _page_views(events, day.alias("timestamp_date"))
+    return rows.groupBy("timestamp_date", "hostname", PAGE_KEY).agg(
+        _distinct_users(approx_rsd).alias("total_users")
     )
-    return rows.groupBy(
-        "timestamp_date", "hostname", F.col("p.value.string_value").alias(PAGE_KEY)
-    ).agg(_distinct_users(approx_rsd).alias("total_users"))
 
 
 def monthly_users(events: DataFrame, tz: str = LEAD_TZ,
@@ -71,7 +70,7 @@ def channel_users(events: DataFrame, approx_rsd: float | None = None) -> DataFra
     same for registrations. Users are counted distinct per traffic medium and then
     summed per channel (a user seen with two media of one channel counts twice)."""
     per_medium = events.groupBy(
-        "event_date", "event_name", F.col("traffic_source.medium").alias("medium")
+        "event_date", "event_name", leaf_column(events, "traffic_medium").alias("medium")
     ).agg(_distinct_users(approx_rsd).alias("users"))
     ch = per_medium.select(
         "event_date", "event_name",
@@ -123,28 +122,27 @@ def event_log_between(events: DataFrame, ranges: Sequence[tuple[str, str]],
 
 def traffic_sources(events: DataFrame) -> DataFrame:
     return events.select(
-        F.col("traffic_source.medium").alias("traffic_source_medium"),
+        leaf_column(events, "traffic_medium").alias("traffic_source_medium"),
         param_column(events, "medium").alias("medium_param"),
-        F.col("collected_traffic_source.manual_medium").alias("manual_medium"),
-        F.col("collected_traffic_source.gclid").alias("source_gclid"),
-        F.col("collected_traffic_source.dclid").alias("source_dclid"),
-        F.col("collected_traffic_source.srsltid").alias("source_srsltid"),
+        leaf_column(events, "manual_medium").alias("manual_medium"),
+        *[leaf_column(events, k).alias(f"source_{k}") for k in ("gclid", "dclid", "srsltid")],
     ).distinct()
 
 
 def ad_date_parts(ads: DataFrame, frequency: DataFrame, min_impressions: int = 20) -> DataFrame:
-    c = ads.where(F.col("impressions") >= min_impressions).select(
-        "date", "campaign_name", "impressions"
-    )
-    j = c.join(frequency.select("date", "frequency"), "date", "inner")
-    return j.groupBy(
+    """Date parts of every (date, campaign, frequency). The result depends on the distinct
+    campaigns and frequencies of a day alone, so both sides are reduced to these before
+    they meet; a day's rows are never multiplied."""
+    days = ads.where(F.col("impressions") >= min_impressions).select("date", "campaign_name").distinct()
+    return days.join(frequency.select("date", "frequency").distinct(), "date").select(
         "date",
         F.year("date").alias("year"),
         F.month("date").alias("month"),
         F.dayofmonth("date").alias("day"),
         "campaign_name",
         "frequency",
-    ).agg(F.min("date").alias("min_date"))
+        F.col("date").alias("min_date"),
+    )
 
 
 def city_orders(customers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -210,15 +208,20 @@ def value_at_max_key_below(df: DataFrame, key: str, value: str, bound: float,
 
 def campaign_totals_on_rows(ads: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Daily ad rows of the range with the campaign's range totals attached
-    (sum and non-NULL count of impressions), sorted by date and campaign."""
+    (sum and non-NULL count of impressions), sorted by date and campaign.
+
+    There are few campaigns and any of them may hold most rows, so the rows are salted
+    and the totals (one row per campaign) repeated over the salts."""
     rows = ads.where(F.col("date").between(F.lit(start), F.lit(end)))
     totals = rows.groupBy("campaign_name").agg(
         F.sum("impressions").alias("sum_impressions"),
         F.count("impressions").alias("count_impressions"),
     )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1)))
+    salt = F.pmod(F.xxhash64("date", "impressions", "clicks_all"), F.lit(HOT_SPREAD)).cast("int")
     return (
-        rows.select("date", "campaign_name", "impressions", "clicks_all")
-        .join(totals, "campaign_name", "inner")
+        rows.select("date", "campaign_name", "impressions", "clicks_all", salt.alias("_salt"))
+        .join(totals.withColumn("_salt", salts), ["campaign_name", "_salt"], "inner")
         .select("date", "campaign_name", "impressions", "clicks_all",
                 "sum_impressions", "count_impressions")
         .orderBy("date", "campaign_name", "impressions", "clicks_all")

@@ -45,7 +45,7 @@ CLICK_URLS = {
     "signup": "https://www.example.com/sg-en/account/sign-in",
 }
 SOCIAL_URL = "https://social.example.com/p/"
-MAIN_STORY = "8172654"
+MAIN_STORY = "7000001"
 OTHER_STORY = "9000001"
 LEAD_EPOCH = dt.datetime(2024, 1, 1)
 LEAD_SPREAD_MIN = 30 * 24 * 60
@@ -66,10 +66,20 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+_CACHES: list[dict] = []
+
+
+def forget_plans() -> None:
+    """Drop the kept plans and file listings (before a timed run, or after a folder changed)."""
+    for cache in _CACHES:
+        cache.clear()
+
+
 def _memo(fn):
     """Adapters are immutable lazy plans: build each once per (session, folder, args)
     instead of re-listing files and re-analysing the projection on every call."""
     cache: dict = {}
+    _CACHES.append(cache)
 
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args):
@@ -113,6 +123,11 @@ def page_url(event_id: Column, user_id: Column, event_type: Column) -> Column:
     return F.concat(base, query)
 
 
+def visitor_id(event_id: Column, user_id: Column) -> Column:
+    """Web user id; every 23rd event comes from a visitor who never left a phone."""
+    return F.when(event_id % 23 == 0, F.concat(F.lit("anon-"), _s(user_id))).otherwise(_s(user_id))
+
+
 @_memo
 def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web-analytics export shape (``touchpoint.sources.schemas.EVENTS``)."""
@@ -123,7 +138,9 @@ def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.when(et == raw, ga) if name is None else name.when(et == raw, ga)
     name = name.otherwise(et)
     med = _pick(uid % 3, UTM_MEDIUMS)
-    session = uid * 100000 + F.unix_date(F.to_date("ts"))
+    # user 8k + 1 shares the sessions of user 8k; every 19th event has no session
+    owner = F.when(uid % 8 == 1, uid - 1).otherwise(uid)
+    session = F.when(eid % 19 != 0, owner * 100000 + F.unix_date(F.to_date("ts")))
     none_s = F.lit(None).cast("string")
     none_l = F.lit(None).cast("bigint")
 
@@ -137,7 +154,7 @@ def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyyMMdd").alias("event_date"),
         ntz_to_micros("ts").alias("event_timestamp"),
         name.alias("event_name"),
-        _s(uid).alias("user_pseudo_id"),
+        visitor_id(eid, uid).alias("user_pseudo_id"),
         F.array(
             param("page_location", page_url(eid, uid, et), none_l),
             param("ga_session_id", none_s, session.cast("bigint")),
@@ -160,20 +177,32 @@ def ga_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
+def ga_events_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with their instants spread over six months by user id."""
+    month = F.lit(30 * 24 * 3600 * 1_000_000).cast("bigint")
+    shift = (F.regexp_extract("user_pseudo_id", r"\d+", 0).cast("bigint") % 6) * month
+    return ga_events(spark, sf_dir).withColumn("event_timestamp", F.col("event_timestamp") + shift)
+
+
 @_memo
 def phone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user -> phone mapping table, one row per registered customer (the web user
-    id of customer k is k); keys ``% 10 == 7`` have no known phone, keys
-    ``% 9 == 0`` carry the country code twice."""
+    """user -> phone mapping table of the registered customers (the web user id of
+    customer k is k); keys ``% 10 == 7`` have no known phone, keys ``% 9 == 0`` carry the
+    country code twice, keys ``% 31 == 4`` were cut to the bare country code, and keys
+    ``% 7 == 2`` have a second phone."""
     uid = F.col("c_custkey")
     digits = F.lpad(_s(uid), 7, "0")
     phone = (
         F.when(uid % 10 == 7, F.lit(None).cast("string"))
+        .when(uid % 31 == 4, F.lit("62"))
         .when(uid % 9 == 0, F.concat(F.lit("6262812"), digits))
         .otherwise(F.concat(F.lit("62812"), digits))
     )
+    second = F.concat(F.lit("62813"), digits)
+    phones = F.when(uid % 7 == 2, F.array(phone, second)).otherwise(F.array(phone))
     return read(spark, sf_dir, "customer").select(
-        _s(uid).alias("user_pseudo_id"), phone.alias("phone_no")
+        _s(uid).alias("user_pseudo_id"), F.explode(phones).alias("phone_no")
     )
 
 
@@ -310,6 +339,8 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit(SOCIAL_URL), _s(eid))
     for raw, u in CLICK_URLS.items():
         url = F.when(et == raw, F.lit(u)).otherwise(url)
+    # users whose link has no customer open the home page only
+    url = F.when(F.col("user_id") % 12 == 5, F.lit(CLICK_URLS["view"])).otherwise(url)
     return e.select(
         _s(F.col("user_id")).alias("user_id"),
         _s(eid).alias("event_id"),
@@ -321,22 +352,21 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def user_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridge table user -> customer; ``c_custkey % 5 == 0`` has no user id."""
+    """Bridge table user -> customer; ``c_custkey % 5 == 0`` has no user id, and
+    ``c_custkey % 12 == 5`` no customer id."""
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return c.select(
         F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(_s(k)).alias("user_id"),
-        _s(k).alias("customer_id"),
+        F.when(k % 12 == 5, F.lit(None).cast("string")).otherwise(_s(k)).alias("customer_id"),
     )
 
 
 @_memo
 def sign_ins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").where(F.col("event_type") == "signup")
-    return e.select(
-        _s(F.col("user_id")).alias("user_id"),
-        _s(F.col("user_id")).alias("customer_id"),
-    )
+    u = F.col("user_id")
+    return e.select(_s(u).alias("user_id"), F.when(u % 12 != 5, _s(u)).alias("customer_id"))
 
 
 @_memo

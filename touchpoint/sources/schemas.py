@@ -56,6 +56,27 @@ EVENTS = T.StructType(
     ]
 )
 
+# The same events with the parameters and leaves the operators use as flat columns.
+# `page_locations` keeps every page_location entry, NULL values included.
+FLAT_EVENTS = T.StructType(
+    [
+        T.StructField("event_date", T.StringType()),
+        T.StructField("event_timestamp", T.LongType()),
+        T.StructField("event_name", T.StringType()),
+        T.StructField("user_pseudo_id", T.StringType()),
+        T.StructField("page_location", T.StringType()),
+        T.StructField("ga_session_id", T.LongType()),
+        T.StructField("medium", T.StringType()),
+        T.StructField("page_locations", T.ArrayType(T.StringType())),
+        T.StructField("hostname", T.StringType()),
+        T.StructField("traffic_medium", T.StringType()),
+        T.StructField("manual_medium", T.StringType()),
+        T.StructField("gclid", T.StringType()),
+        T.StructField("dclid", T.StringType()),
+        T.StructField("srsltid", T.StringType()),
+    ]
+)
+
 LEAD_CUSTOMER = T.StructType(
     [
         T.StructField("fullname", T.StringType()),

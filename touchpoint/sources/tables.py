@@ -20,12 +20,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchpoint.functions.params import event_param
+from touchpoint.functions.params import RAW_LEAVES, all_values, event_param
 from touchpoint.sources import schemas as S
 
 SILVER_PARAMS = [("page_location", "string"), ("ga_session_id", "int"), ("medium", "string")]
 
 
+def _days(df: DataFrame, day_from, day_to) -> DataFrame:
+    def text(d):
+        return d.strftime("%Y%m%d") if isinstance(d, dt.date) else d
+
+    if day_from is not None:
+        df = df.where(F.col("event_date") >= text(day_from))
+    if day_to is not None:
+        df = df.where(F.col("event_date") <= text(day_to))
+    return df
+
+
 def read_events(
     spark: SparkSession,
     path: str,
@@ -33,14 +44,26 @@ def read_events(
     day_to: dt.date | str | None = None,
 ) -> DataFrame:
     """Events partitioned by ``event_date``; optional inclusive day range."""
-    df = spark.read.schema(S.EVENTS).parquet(path)
-    def txt(d):
-        return d.strftime("%Y%m%d") if isinstance(d, dt.date) else d
-    if day_from is not None:
-        df = df.where(F.col("event_date") >= txt(day_from))
-    if day_to is not None:
-        df = df.where(F.col("event_date") <= txt(day_to))
-    return df
+    return _days(spark.read.schema(S.EVENTS).parquet(path), day_from, day_to)
+
+
+def read_flat_events(
+    spark: SparkSession,
+    path: str,
+    day_from: dt.date | str | None = None,
+    day_to: dt.date | str | None = None,
+) -> DataFrame:
+    """The flat layout; every event operator and report takes it in place of the raw one."""
+    return _days(spark.read.schema(S.FLAT_EVENTS).parquet(path), day_from, day_to)
+
+
+def read_snapshot(
+    spark: SparkSession, path: str, schema: T.StructType, snapshot_date: dt.date
+) -> DataFrame:
+    """One day of a table partitioned by ``snapshot_date`` (only its folder is read)."""
+    dated = T.StructType([*schema.fields, T.StructField("snapshot_date", T.DateType())])
+    df = spark.read.schema(dated).parquet(path)
+    return df.where(F.col("snapshot_date") == F.lit(snapshot_date)).drop("snapshot_date")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -50,7 +73,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def write_events(df: DataFrame, path: str, mode: str = "append",
                  files_per_day: int = 64) -> None:
     """Write events partitioned by day. Each day is spread over ``files_per_day``
-    writer tasks by a hash of (user, timestamp): a day holding a large share of the
+    writer tasks by a hash of (user, timestamp); choose it so that a day's rows divided
+    by it fit one writer. A day holding a large share of the
     events is not written by one task, and the hash is deterministic, so a retried
     task writes the same rows."""
     bucket = F.pmod(F.xxhash64("user_pseudo_id", "event_timestamp"), F.lit(files_per_day))
@@ -69,14 +93,14 @@ def write_silver_events(events: DataFrame, path: str, mode: str = "append",
 
 
 def flatten_events(events: DataFrame) -> DataFrame:
-    """Events with the used parameters as flat columns (keeps ``event_params``
-    out of later scans)."""
+    """Raw events in the flat layout (``schemas.FLAT_EVENTS``): later scans read the used
+    columns only, and never the nested list."""
     return events.select(
         "event_date",
         "event_timestamp",
         "event_name",
         "user_pseudo_id",
         *[event_param(k, kind).alias(k) for k, kind in SILVER_PARAMS],
-        F.col("device.web_info.hostname").alias("hostname"),
-        F.col("traffic_source.medium").alias("traffic_medium"),
+        all_values("page_location").alias("page_locations"),
+        *[F.col(leaf).alias(name) for name, leaf in RAW_LEAVES.items()],
     )
