@@ -1,4 +1,4 @@
-"""One-pass touch segments vs the literal five NOT IN segments + multi-visit SQL."""
+"""One-pass touch segments against the rule in plain Python."""
 
 import random
 from collections import Counter
@@ -8,29 +8,23 @@ from touchpoint.operators.audience import segment_counts, touch_segments
 TYPES = ["Forget password", "Homepage", "Download Catalogue", "Log-in page", "Social Media"]
 
 
-def literal_sql():
-    only = " UNION ALL ".join(
-        f"""SELECT j.customer_id, j.tracking_type FROM j JOIN a ON j.customer_id = a.customer_id
-            WHERE j.tracking_type = '{t}' AND j.customer_id NOT IN
-              (SELECT DISTINCT customer_id FROM j WHERE tracking_type <> '{t}')"""
-        for t in TYPES
-    )
-    each = " UNION ALL ".join(
-        f"""SELECT DISTINCT j.customer_id, j.tracking_type FROM j JOIN a ON j.customer_id = a.customer_id
-            WHERE j.tracking_type = '{t}'""" for t in TYPES
-    )
-    return f"""
-    WITH a AS (SELECT customer_id, story_id FROM act GROUP BY 1, 2),
-    allc AS (
-      {only}
-      UNION ALL
-      SELECT customer_id, 'Multiple Visit' FROM (
-        SELECT customer_id, COUNT(customer_id) n FROM ({each}) GROUP BY 1) WHERE n > 1)
-    SELECT allc.tracking_type, COUNT(DISTINCT allc.customer_id) AS total_active_user
-    FROM allc JOIN a ON a.customer_id = allc.customer_id GROUP BY 1"""
-
-
-def test_segments_match_literal_sql_on_random_inputs(spark):
+def segments(journey, active):
+    """Customers per segment, by the rule: one listed type alone (and no unknown customer
+    with another type, which a NOT IN list cannot rule out), or several listed types."""
+    known = {c for c, _ in active if c is not None}
+    unknown = {t for c, t in journey if c is None and t is not None}
+    count = Counter()
+    for c in known:
+        clicked = {t for who, t in journey if who == c and t is not None}
+        listed = clicked & set(TYPES)
+        if len(listed) > 1:
+            count["Multiple Visit"] += 1
+        elif len(clicked) == 1 and listed and not unknown - listed:
+            count[listed.pop()] += 1
+    return dict(count)
+
+
+def test_segments_on_random_inputs(spark):
     for seed in range(8):
         rnd = random.Random(seed)
         cust = [None, "c1", "c2", "c3", "c4", "c5", "c6"]
@@ -41,11 +35,7 @@ def test_segments_match_literal_sql_on_random_inputs(spark):
         act = [(c, rnd.choice(["s1", "s2"])) for c in cust[1:] if rnd.random() < 0.8]
         jd = spark.createDataFrame(j, "customer_id string, tracking_type string")
         ad = spark.createDataFrame(act, "customer_id string, story_id string")
-        jd.createOrReplaceTempView("j")
-        ad.createOrReplaceTempView("act")
-        want = Counter(tuple(r) for r in spark.sql(literal_sql()).collect())
-        got = Counter(tuple(r) for r in segment_counts(jd, ad).collect())
-        assert got == want, seed
+        assert {r[0]: r[1] for r in segment_counts(jd, ad).collect()} == segments(j, act), seed
 
 
 def test_segment_null_customer_blocks_other_types(spark):

@@ -42,8 +42,25 @@ def test_watermark_load_appends_nothing_new(spark, scratch):
     inp = A.AttributionInputs(FX.test_drive_leads(spark, SF), FX.ga_events(spark, SF),
                               FX.phone_map(spark, SF))
     # empty sink and no bootstrap: nothing is loaded
-    assert load_new_leads(spark, inp, sink, C.AS_OF, None, write=False).count() == 0
+    assert load_new_leads(spark, inp, sink, C.AS_OF, None).lower is None
+    assert read_sink(spark, sink).count() == 0
     load_new_leads(spark, inp, sink, C.AS_OF, C.LOOKBACK_DAYS)
     n = read_sink(spark, sink).count()
     load_new_leads(spark, inp, sink, C.AS_OF, None)
     assert read_sink(spark, sink).count() == n  # nothing newer than the watermark
+
+
+def test_null_safe_load_appends_each_lead_once(spark, scratch):
+    sink = f"{scratch}/sink"
+    inp = A.AttributionInputs(FX.test_drive_leads(spark, SF), FX.ga_events(spark, SF),
+                              FX.phone_map(spark, SF))
+    window = load_new_leads(spark, inp, sink, C.AS_OF, C.LOOKBACK_DAYS, null_safe=True)
+    assert window == A.lookback_window(C.AS_OF, C.LOOKBACK_DAYS)
+    n = read_sink(spark, sink).count()
+    load_new_leads(spark, inp, sink, C.AS_OF, C.LOOKBACK_DAYS, null_safe=True)
+    assert read_sink(spark, sink).count() == n
+
+
+def test_freshness_rows_are_newest_first(spark):
+    rows = [r.created_at for r in freshness_check(FX.offer_leads(spark, SF), dt.date(1998, 1, 1), 900).collect()]
+    assert len(rows) > 10 and rows == sorted(rows, reverse=True)

@@ -22,6 +22,7 @@ from touchpoint.functions import (
 )
 from touchpoint.operators import attribution as A
 from touchpoint.operators import audience as AU
+from touchpoint.operators import incremental as I
 from touchpoint.operators import quality as Q
 from touchpoint.operators import relational as R
 from touchpoint.operators import reports as RP
@@ -64,6 +65,9 @@ def _inputs(spark, d, leads=None) -> A.AttributionInputs:
     )
 
 
+BROCHURE_LEAD_COLS = [c for c in A.LEAD_COLS if c != "dealer_name"]
+
+
 def _window():
     return A.lookback_window(AS_OF, LOOKBACK_DAYS)
 
@@ -140,12 +144,13 @@ def q_channel_grouping(spark, d):
 
 # ----------------------------------------------------------- relational helpers
 def q_load_leads(spark, d):
-    flat = A.flatten_leads(A.filter_window(FX.test_drive_leads(spark, d), _window()))
-    return flat.select(*A.LEAD_COLS, "phone_raw")
+    return A.load_leads(FX.test_drive_leads(spark, d), _window())
 
 
 def q_dedupe_leads(spark, d):
-    return A.load_leads(FX.test_drive_leads(spark, d), _window())
+    """One row per brochure submission, with the raw phone beside the cleaned one."""
+    cols = [*BROCHURE_LEAD_COLS, "phone_raw"]
+    return A.load_leads(FX.brochure_leads(spark, d), _window(), A.BROCHURE_DEDUPE_KEYS, out_cols=cols)
 
 
 def q_with_total_count(spark, d):
@@ -240,6 +245,19 @@ def q_attribute_since_watermark(spark, d):
     return A.attribute(inp, window, "best_per_session_all", conversions="join", exclude=False)
 
 
+def q_attribute_own_sessions(spark, d):
+    """Sessions named by user and id: users who share an id do not share a conversion."""
+    window = A.lookback_window(AS_OF, SHORT_LOOKBACK_DAYS)
+    return A.attribute(_inputs(spark, d), window, "best_per_session", exclude=False,
+                       session_keys=("user_pseudo_id", "ga_session_id"))
+
+
+def q_sink_after_load(spark, d):
+    """The sink with the rows that a load appends to it."""
+    rows = A.attribute_test_drive(_inputs(spark, d), AS_OF, LOOKBACK_DAYS)
+    return I.sink_rows(FX.matched_sink(spark, d)).unionByName(I.sink_rows(rows))
+
+
 def q_attribute_by_session_unchecked(spark, d):
     return A.attribute_test_drive(_inputs(spark, d), AS_OF, SHORT_LOOKBACK_DAYS,
                                   "best_per_session", exclude=False)
@@ -267,6 +285,12 @@ def q_journey_clicks(spark, d):
 
 
 def q_single_touch_users(spark, d):
+    known = _journey(spark, d).where(F.col("customer_id").isNotNull())
+    return AU.single_touch_users(known, FX.active_customers(spark, d))
+
+
+def q_single_touch_users_unknown(spark, d):
+    """With clicks of unknown customers, which empty every segment but that of their type."""
     return AU.single_touch_users(_journey(spark, d), FX.active_customers(spark, d))
 
 
@@ -325,7 +349,7 @@ def q_page_users_by_day(spark, d):
 
 
 def q_monthly_users(spark, d):
-    return RP.monthly_users(FX.ga_events(spark, d))
+    return RP.monthly_users(FX.ga_events_by_month(spark, d))
 
 
 def q_channel_users(spark, d):
@@ -394,6 +418,17 @@ def q_freshness_check_stale(spark, d):
     return Q.freshness_check(FX.offer_leads(spark, d), STALE_AS_OF, FRESH_DAYS)
 
 
+def q_freshness_status(spark, d):
+    return Q.freshness_status(q_freshness_check(spark, d))
+
+
+def q_freshness_assertion(spark, d):
+    """No rows, as the table is fresh; on a stale table the query fails."""
+    return Q.freshness_assertion(q_freshness_check(spark, d)).select(
+        F.col("failed").cast("string").alias("failed")
+    )
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }
