@@ -334,7 +334,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     marks = whole.unionByName(indexed_marks(parts.where(~F.col("hot")), length))
     if parts.where("hot").limit(1).count():
         marks = marks.unionByName(hot_marks(parts.where("hot").drop("hot"), length))
-    by_stretch = marks.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
+    # a written table beside a scan: a stretch with many copies is a join that Spark can split
+    by_stretch = written(marks.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "end")).alias("runs")), "marks")
     hits = found.join(by_stretch, ["anchor", "content"]).select(*KEY, F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["end"] + length - 1).alias("end"))).alias("spans"))
     by_doc = hits.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
