@@ -167,29 +167,29 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         symbol = np.where(alive, padded[k : k + n], 0)
         packed = (packed << 9) | symbol
         alive &= symbol > 0
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
+    ended = ~alive[order]  # suffixes that end within the key; of equal ones the first in place is the smaller
+    few = order[ended]
+    order[ended] = few[np.lexsort((few, packed[few]))]
     key = packed[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | ~alive[order][1:]))
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | ended[1:]))
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    head = np.flatnonzero(new)
-    rank[order] = head[np.cumsum(new) - 1]
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     step = 7
     while True:
         # only suffixes in groups of several are sorted further
-        size = np.diff(np.append(head, n))
-        todo = np.flatnonzero(np.repeat(size > 1, size))
+        todo = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(todo):
             return order
         own = order[todo]
-        second = rank[np.minimum(own + step, n)]
-        by = np.lexsort((second, rank[own]))
-        own, second = own[by], second[by]
+        both = (rank[own] << 31) | (rank[np.minimum(own + step, n)] + 1)
+        by = np.argsort(both)
+        own, both = own[by], both[by]
         order[todo] = own
-        group = rank[own]
-        starts = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        starts = np.concatenate(([True], both[1:] != both[:-1]))
         rank[own] = todo[np.maximum.accumulate(np.where(starts, np.arange(len(todo)), 0))]
-        head = np.union1d(head, todo[starts])
+        new[todo[starts]] = True
         step *= 2
 
 
