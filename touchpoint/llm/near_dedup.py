@@ -102,14 +102,17 @@ def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame
 def clouds(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     """(pivot, node): the members of each cloud, pivot included. ``nodes``: node, n, sketch."""
     postings = nodes.select("node", "n", F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    # counts and pivots are written, so that their joins are with a table and the list of a
+    # frequent value can be split over tasks
+    shared = written(postings.groupBy("value").agg(F.count("*").alias("c")).where(F.col("c") > 1), "shared")
     common = postings.join(shared, "value")
     kept = F.least(F.first("n"), F.lit(k))
     keys = kept - F.ceil(kept / 2) + 1  # values that cannot all miss the other's half
     lone = kept - F.count("*")  # values in no other node: the rarest of all
     by_node = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("values"), (keys - lone).cast("int").alias("take")).where(F.col("take") > 0)
     entries = by_node.select("node", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e")).select("node", F.col("e.value").alias("value"))
-    pivots = entries.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
+    entries = written(entries, "entries")
+    pivots = written(entries.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c"), "pivots")
     return entries.join(pivots, "value").select("pivot", "node").distinct()
 
 
