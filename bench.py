@@ -27,6 +27,7 @@ def main() -> None:
 
     from touchpoint.session import get_session
     from touchpoint.plans.catalog import HEADLINE, QUERIES
+    from touchpoint.sources.fixtures import forget_plans
 
     spark = get_session(
         f"local[{cpus}]",
@@ -37,6 +38,7 @@ def main() -> None:
     names = only or list(QUERIES)
 
     def run(name: str) -> float:
+        forget_plans()  # each run lists its files and builds its plan
         t = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t

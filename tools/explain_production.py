@@ -44,7 +44,7 @@ def main(argv):
     from touchpoint.session import get_session
     from touchpoint.sources import fixtures as FX
     from touchpoint.sources import schemas as S
-    from touchpoint.sources.tables import read_events, read_table, write_events, write_silver_events
+    from touchpoint.sources.tables import read_events, read_flat_events, read_table, write_events, write_silver_events
 
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     out_md = argv[2] if len(argv) > 2 else "PLANS.md"
@@ -61,7 +61,7 @@ def main(argv):
     pm = read_table(spark, f"{root}/phone_map", S.PHONE_MAP)
     sink = read_sink(spark, f"{root}/sink")
     raw_events = read_events(spark, f"{root}/events")
-    silver_events = spark.read.parquet(f"{root}/events_silver")
+    silver_events = read_flat_events(spark, f"{root}/events_silver")
 
     sections = []
     expected = C.QUERIES["attribute_test_drive"](spark, sf)
@@ -97,10 +97,9 @@ def main(argv):
         "the raw UTC column and reads only the used leaves of the `customer` struct; the",
         "events scans carry the day range as `PartitionFilters`; on silver events the",
         "`ReadSchema` is four flat columns instead of the whole parameter list; there is",
-        "no `Window`, no `BroadcastNestedLoopJoin` and no single-partition exchange; top-1",
-        "choices are partial + final aggregates around one exchange; the three reads of",
-        "the event window are the touches for ranking, the touches for the re-join and",
-        "the conversion events (filtered by name at the scan).",
+        "no `BroadcastNestedLoopJoin` and no single-partition exchange; the ranking is cut",
+        "by a `WindowGroupLimit` before its exchange; the event window is read once, beside",
+        "the pass over the conversion events (filtered by name at the scan).",
         "",
     ]
     for title, plan, n in sections:
