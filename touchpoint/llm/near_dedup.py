@@ -286,3 +286,31 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         return left
     once = left.join(again, key == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     return left.join(again, key == F.col("__id"), "left_anti").unionByName(once)
+
+
+def oracle_sql(size: int = SHINGLE) -> str:
+    """``near_duplicates`` in DuckDB SQL: all pairs that share a shingle, then reachability."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(ws, k, k + {size - 1}) AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, least(len(ws), 1)) + 1)) AS k FROM d)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+link AS (
+  SELECT u, v FROM shared JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v
+  WHERE {OF} * c >= {NEED} * (a.n + b.n - c)
+),
+reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN link l ON l.u = r.seen
+),
+least_of AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+""".replace("\\\\", "\\")

@@ -98,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dedup.oracle_sql(),
+    "op2_suffix_dedup": repeats.oracle_sql(),
     "op6_quality_rules": quality.oracle_sql(),
     "op10_benchmark_decontamination": decontaminate.oracle_sql(),
 }

@@ -398,3 +398,28 @@ def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFram
     out = out.join(k, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """``dedup`` in DuckDB SQL: every window of every text, as digests of its bytes in hex."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+window_at AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, {2 * length})) AS m
+  FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - {length - 1}, 0))) AS i FROM d)
+),
+twice AS (SELECT m FROM window_at GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, i FROM window_at SEMI JOIN twice USING (m)),
+marked AS (SELECT r, i, coalesce(i > lag(i) OVER w + {length}, true)::INTEGER AS opens FROM hit WINDOW w AS (PARTITION BY r ORDER BY i)),
+numbered AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM marked),
+span AS (SELECT r, k, min(i) AS a, max(i) + {length} AS b FROM numbered GROUP BY r, k),
+gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM span),
+left_over AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gap JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""
