@@ -103,7 +103,7 @@ def test_toxicity_blocks_do_not_change_features(limit):
     from touchpoint.llm.batches import text_blocks
 
     texts = ["you are vile", "", None, "x", "été à Paris " * 30, "end"]
-    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else t.encode() for t in texts], pa.binary())], ["text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([None if t is None else t.lower().encode() for t in texts], pa.binary())], ["text"])
     got = {}
     for at, _, data, offsets in text_blocks(batch, "text", limit):
         doc, code = toxicity.features(data, offsets)

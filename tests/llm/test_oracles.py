@@ -24,6 +24,6 @@ def test_matches_sql(spark, name):
     duck = duck_connect(SF)
     df = QUERIES[name](spark, SF)
     want = duck.execute(ORACLES[name])
-    columns = [c[0] for c in want.description]
+    columns, rows = [c[0] for c in want.description], want.fetchall()
     assert not type_diff(df.schema, duck, ORACLES[name])
-    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, want.fetchall())
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, rows)

@@ -119,11 +119,13 @@ def test_contamination(spark, make_docs, odd_rows, leaked, items, monkeypatch, s
 
 
 def test_proximity_finds_shuffled_parts(spark, make_docs, prose):
-    item = " ".join(f"term{k}" for k in range(10))
-    parts = ["term0 term1 term2", "term3 term4", "term5 term6 term7 term8 term9"]
-    rows = [(1, item), (2, " or ".join(reversed(parts))), (3, (" " + prose(5, 40) + " ").join(parts)), (4, prose(6, 50))]
+    t = [f"term{k}" for k in range(10)]
+    item, parts = " ".join(t), [" ".join(t[5:]), " ".join(t[:6])]
+    # the first, fifth and sixth pair of the item are its rarest
+    common = f"{t[1]} {t[2]} {t[3]} {t[4]} x {t[6]} {t[7]} {t[8]} {t[9]}"
+    rows = [(1, item), (2, " or ".join(parts)), (3, (" " + prose(5, 40) + " ").join(parts)), (4, common), (5, prose(6, 50))]
     got = {r["doc_id"]: (r["contaminated"], r["n_near_items"]) for r in decontaminate.contamination(make_docs(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0)}
+    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0), 5: (False, 0)}
 
 
 def test_contamination_of_empty_tables(spark, make_docs, odd_rows):

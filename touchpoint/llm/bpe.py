@@ -30,11 +30,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from touchpoint.llm.stages import small_batches
+
 #: Matches kept with their ids, and token pairs kept with their compatibility, per worker.
-MEMO_ENTRIES = 400_000
-PAIR_ENTRIES = 1_000_000
+MEMO_ENTRIES = 300_000
+PAIR_ENTRIES = 300_000
 #: Bytes of output in one Arrow batch.
-OUT_BYTES = 4 << 20
+OUT_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -67,7 +69,7 @@ class Encoder:
     """Encodes and decodes with one vocabulary; built once per Python worker."""
 
     def __init__(self, tokens: list[bytes], left: np.ndarray, right: np.ndarray, pattern: str):
-        self.tokens = tokens
+        self.tokens, self.count = tokens, len(tokens)
         self.left, self.right = left.tolist(), right.tolist()
         self.merged: dict[tuple[int, int], int] = {}
         for i, (a, b) in enumerate(zip(self.left, self.right, strict=True)):
@@ -84,13 +86,13 @@ class Encoder:
         self.sizes = np.array(self.lengths, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by a * tokens + b
         self.memo = _Memo(self)
         self.split = splitter(pattern)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves the tokens a and b side by side as they are."""
-        key = (a, b)
+        key = a * self.count + b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIR_ENTRIES:
@@ -124,7 +126,7 @@ class Encoder:
         longest = [-1] * n
         for end, (before_end, token) in self.automaton.iter(data.decode("latin-1")):
             longest[end - before_end] = token  # a later end is a longer token
-        lengths, shorter, pairs = self.lengths, self.shorter, self.pairs
+        lengths, shorter, pairs, count = self.lengths, self.shorter, self.pairs, self.count
         dead: set[int] = set()
         out: list[int] = []
         at, last, token = 0, -1, longest[0] if n else -1
@@ -133,7 +135,7 @@ class Encoder:
                 if at + lengths[token] not in dead:
                     if last < 0:
                         break
-                    fits = pairs.get((last, token))
+                    fits = pairs.get(last * count + token)
                     if self.compatible(last, token) if fits is None else fits:
                         break
                 token = shorter[token]
@@ -214,6 +216,7 @@ def encoder_of(shared) -> Encoder:
 
 
 def share_vocabulary(spark, path: str, pattern: str):
+    small_batches(spark)
     tokens = read_ranks(path)
     return spark.sparkContext.broadcast((tokens, *merge_halves(tokens), pattern))
 

@@ -32,7 +32,7 @@ NEAR_TERMS, NEAR_SPAN = 3, 20
 #: Bytes of test items up to which tables derived from them are broadcast.
 BROADCAST_BYTES = 4 << 20
 #: Documents with candidates up to which their keys (16 bytes each) are broadcast.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 300_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -7,7 +7,7 @@ of its pieces' rows; a linear layer and a softmax give the languages. As both ar
 the trained table and layer collapse into one table of per-piece scores, which is what
 is broadcast (BUCKETS x languages floats: fixed size) and what scoring averages.
 
-Training takes a bounded sample: at most ``TRAIN_ROWS`` labelled rows, those with the
+Training takes a bounded sample: about ``TRAIN_ROWS`` labelled rows, those with the
 smallest hashes of their id among rows of at most ``TRAIN_BYTES`` bytes of text, whole. A tenth of the sample is kept aside to calibrate: a
 temperature makes the scores probabilities, and the rejection threshold is the score
 that all but one in ``REJECT_ONE_IN`` correctly labelled rows reach.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchpoint.llm.batches import mix64
+from touchpoint.llm.stages import hashed_sample, small_batches
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (2, 3, 4)
 TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 15
@@ -140,10 +141,10 @@ def held_out(column: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns from text and non-null lang of the rows not held out."""
-    cut = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    usable = cut.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sample = usable.where(F.octet_length("text") <= TRAIN_BYTES).orderBy("h", "doc_id", "text", "lang").limit(rows).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    cut = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = cut.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id") & (F.octet_length("text") <= TRAIN_BYTES))
+    sample = sorted((r["id"], r["lang"], r["text"]) for r in hashed_sample(usable, ["id"], rows).collect())
+    return fit([r[2] for r in sample], [r[1] for r in sample])
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, names: tuple[str, str, str] = ADDED) -> DataFrame:
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, name
     predicted language. ``names`` are those of the added columns; input columns of these
     names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
     cut = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(INPUT))

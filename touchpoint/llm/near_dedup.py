@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from touchpoint.llm.batches import FOLD, U, list_array, mix64, prefix_hashes, span_hashes, text_blocks, word_spans
 from touchpoint.llm.components import components
-from touchpoint.llm.stages import written
+from touchpoint.llm.stages import small_batches, written
 
 SHINGLE = 4
 NEED, OF = 80, 100  # linked: OF * intersection >= NEED * union
@@ -45,7 +45,7 @@ BLOCK = 256
 #: Elements multiplied at a time.
 STRIP = 4096
 #: Nodes up to which the ids of documents to verify are broadcast (eight bytes each).
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 300_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> Da
     without a doc_id takes no part: its component is null and it is kept. Other columns
     are ignored. Ties cannot occur: the smallest id is unique.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = written(sketches(keyed, size, k), "sketches")
     key = ["n_shingles", "h1", "h2"]

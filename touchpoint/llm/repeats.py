@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchpoint.llm.batches import U, prefix_hashes, span_hashes, text_blocks
-from touchpoint.llm.stages import text_or_empty, written
+from touchpoint.llm.stages import small_batches, text_or_empty, written
 
 LENGTH = 400
 PIECE = 48
@@ -46,7 +46,7 @@ STEP = 32
 #: Bytes of a document worked on at a time; longer ones are cut with LENGTH - 1 bytes of overlap.
 CHUNK = 1 << 19
 #: Documents up to which their keys are broadcast to pick texts; beyond, texts are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 300_000
 ROWS_OUT = 20_000
 
 _PLACE = U((1 << 22) - 1)  # places of a chunk fit into 22 bits
@@ -322,6 +322,7 @@ def hot_marks(parts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """(doc_id, text_hash, spans): byte spans (start, end) covered by repeated strings, for
     the documents that have any; spans neither touch nor overlap and ascend."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
     found = written(stretch_rows(rows, length, piece), "stretches")
     kinds = found.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "start", "n", "place")).alias("one"))

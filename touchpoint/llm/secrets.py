@@ -6,7 +6,7 @@ dictionary words cover, whether it is part of a path, and the words next to it.
 forest decides which candidates are secrets.
 
 The forest learns from labelled findings: candidates of the corpus whose format or
-neighbours settle the label (``label_of``; undecided ones are left out), at most
+neighbours settle the label (``label_of``; undecided ones are left out), about
 ``TRAIN_ROWS``, those with the smallest hashes, and ``SEEDED`` rows of usual formats of
 secrets and of harmless identifiers that Spark derives from row numbers, so that both
 labels are there whatever the corpus holds. Features leave out the formats' own marks.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchpoint.llm.stages import text_or_empty, written
+from touchpoint.llm.stages import hashed_sample, text_or_empty, written
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{10,}={0,2}"
 #: Characters of context on either side.
@@ -150,10 +150,11 @@ def assembler() -> VectorAssembler:
 def train(found: DataFrame, rows: int = TRAIN_ROWS) -> RandomForestClassificationModel:
     """``found``: candidates with features."""
     marked = found.withColumn("label", label_of()).where(F.col("label").isNotNull())
-    order = F.xxhash64("value", "before")
-    labelled = [marked.where(F.col("label") == y).select("label", *FEATURES, order.alias("h")).orderBy("h", *FEATURES).limit(rows // 2) for y in (0.0, 1.0)]
+    labelled = [hashed_sample(marked.where(F.col("label") == y), ["value", "before"], rows // 2).select("label", *FEATURES) for y in (0.0, 1.0)]
     seeds = with_features(seeded_findings(found.sparkSession)).select("label", *FEATURES)
-    sample = seeds.unionByName(labelled[0].drop("h")).unionByName(labelled[1].drop("h")).coalesce(1)
+    sample = seeds.unionByName(labelled[0]).unionByName(labelled[1])
+    # in one order, so that the same rows give the same forest
+    sample = sample.coalesce(1).sortWithinPartitions("label", *FEATURES)
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8)
     return forest.fit(assembler().transform(sample).select("label", "features"))
 

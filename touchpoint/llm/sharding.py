@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchpoint.llm.stages import text_or_empty, written
+from touchpoint.llm.stages import small_batches, text_or_empty, written
 
 SHARDS = 40
 BITS = 6
@@ -71,6 +71,7 @@ def quantiles(df: DataFrame, dimensions: list[str], bits: int) -> list[np.ndarra
 
 def with_curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
     """Adds ``curve``, the place of each row's cell. ``dimensions`` are long columns."""
+    small_batches(df.sparkSession)
     borders = quantiles(df, dimensions, bits)
     names = df.columns
 

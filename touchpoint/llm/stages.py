@@ -26,5 +26,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch; Spark's own default suits short rows, not documents.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch, unless it was set: a batch of documents
+    is held several times over, in the JVM and in Python."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
+def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df``, all if it has fewer: those whose keys hash lowest.
+    Which ones does not depend on partitions, and only these rows leave their tasks."""
+    n = df.count()
+    if n <= rows:
+        return df
+    steps = 1 << 40
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(steps)) < F.lit(rows * steps // n))
+
+
 def text_or_empty(column: str | None = None):
     return F.coalesce(F.col(column or "text").cast("string"), F.lit(""))

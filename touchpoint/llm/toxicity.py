@@ -7,7 +7,7 @@ numbers per coordinate: an adaptive learning rate falls where gradients were lar
 the L1 term leaves every coordinate at exactly zero whose evidence stays small. What is
 broadcast is the list of non-zero weights: a few thousand pairs, at most 2**BITS.
 
-Training takes a bounded sample: of either label at most ``TRAIN_ROWS`` rows, those with
+Training takes a bounded sample: of either label about ``TRAIN_ROWS`` rows, those with
 the smallest hashes of their id among rows of at most ``TRAIN_BYTES`` bytes of text, whole.
 Where the bound cuts a label's rows, the rest count for those left out (importance
 weights). The boundary (score 0.5) is placed on a fifth of the sample kept aside from a
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchpoint.llm.batches import mix64, prefix_hashes, span_hashes, text_blocks
+from touchpoint.llm.stages import hashed_sample, small_batches
 
 BITS = 20
 TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 15
@@ -156,17 +157,15 @@ def held_out(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns ``toxic`` from the labelled rows that are not held out. Rows without id,
     text or label are left out; an id with several labels gives several rows."""
-    marked = labels.select("doc_id", F.when(F.col("toxic").cast("int") != 0, 1).otherwise(0).alias("toxic"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")).alias("h"))
-    marked = marked.where(labels["toxic"].isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    texts = docs.select(F.col("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.when(F.col("toxic").cast("int") != 0, 1).otherwise(0).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # twice the bound, as some labelled rows may have no text of the right size
-    chosen = [marked.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(2 * rows) for k in (0, 1)]
+    texts = docs.select(F.col("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    chosen = [hashed_sample(marked.where(F.col("toxic") == k), ["doc_id"], rows) for k in (0, 1)]
     found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-    picked: dict[int, list[str]] = {}
-    for k in (0, 1):
-        picked[k] = [r["text"] for r in found.where(F.col("toxic") == k).orderBy("h", "doc_id", "text").limit(rows).select("text").collect()]
-    weights_of = tuple(max(1.0, sizes.get(k, 0) / len(picked[k])) if len(picked[k]) >= rows else 1.0 for k in (0, 1))
+    picked: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(tuple(r) for r in found.select("doc_id", "toxic", "text").collect()):
+        picked[r[1]].append(r[2])
+    weights_of = tuple(max(1.0, sizes.get(k, 0) / rows) for k in (0, 1))
     return fit(picked[0] + picked[1], [0] * len(picked[0]) + [1] * len(picked[1]), weights_of)
 
 
@@ -176,6 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Only the text decides. A null or empty text has no features, so its score is the
     model's base rate. Columns other than doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cut = docs.select("doc_id", F.lower(F.col("text").cast("string")).cast("binary").alias("text"))
 
