@@ -52,7 +52,8 @@ def test_run_and_stages(spark, folder):
         want.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert sorted(map(tuple, now.collect()), key=str) == sorted(want, key=str)
     assert sorted(map(tuple, corpus_pipeline.run(spark, at).collect()), key=str) == sorted(want, key=str)
-    assert {200, 202, 204} & {w[0] for w in wanted} == set() and {201, 203} <= {w[0] for w in wanted}
+    kept = {w[0] for w in wanted}
+    assert not kept & {200, 201, 202, 204} and 203 in kept  # copies, a leak, no letters; a masked secret
 
 
 def test_empty_table(spark, make_docs, tmp_path):

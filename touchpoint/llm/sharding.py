@@ -63,10 +63,11 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def quantiles(df: DataFrame, dimensions: list[str], bits: int) -> list[np.ndarray]:
-    """Ascending cell borders of each dimension: at most 2**bits - 1 numbers each."""
+    """Ascending cell borders of each dimension: 2**bits - 1 numbers. A frequent value fills
+    several, so few values still spread over all cells, and steer the curve's large turns."""
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     row = df.agg(*[F.percentile_approx(d, cuts, 1000).alias(d) for d in dimensions]).first()
-    return [np.unique(np.array(row[d] or [], np.int64)) for d in dimensions]
+    return [np.sort(np.array(row[d] or [], np.int64)) for d in dimensions]
 
 
 def with_curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
@@ -77,7 +78,7 @@ def with_curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = [np.searchsorted(edge, b.column(d).to_numpy(zero_copy_only=False), "right") for d, edge in zip(dimensions, borders, strict=True)]
+            cells = [np.searchsorted(edge, b.column(d).to_numpy(zero_copy_only=False), "left") for d, edge in zip(dimensions, borders, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hilbert_index(np.stack(cells, 1), bits))], [*names, "curve"])
 
     return df.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", curve long")
