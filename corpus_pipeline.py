@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchpoint.llm import bpe, decontaminate, language, near_dedup, queries, secrets
-from touchpoint.llm.stages import shared_folder
+from touchpoint.llm.stages import free_name, shared_folder
 
 SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = language.identify(docs, language.train(docs), names=("__lang", "__score", "__rejected"))
-    return named.where(~F.col("__rejected")).drop("__lang", "__score", "__rejected")
+    names = tuple(free_name(docs, n) for n in language.ADDED)
+    named = language.identify(docs, language.train(docs), names=names)
+    return named.where(~F.col(names[2])).drop(*names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Names that operators use for columns of their own.
-CLASHING = ["node", "w", "ids", "text_hash", "shard", "start", "rank", "words", "value", "anchor", "curve", "score", "features", "lang_pred", "row", "t"]
+CLASHING = ["node", "w", "ids", "text_hash", "shard", "start", "rank", "words", "value", "anchor", "curve", "score", "features", "lang_pred", "row", "t", "__text", "own_hash", "span_id", "spans", "hit_id", "other_id", "text_column"]
 
 
 @pytest.fixture(scope="session")

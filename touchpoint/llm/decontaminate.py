@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchpoint.llm.stages import text_or_empty, written
+from touchpoint.llm.stages import free_name, text_or_empty, written
 
 WINDOW_WORDS = 10
 #: Lists intersected per window before confirmation.
@@ -185,8 +185,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no window of an item."""
     matches = TestIndex(docs, items, size, near_terms=0).phrase_matches().where(F.size("found") > 0)
-    hit = written(matches.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "hit")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
+    i, h = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
+    hit = written(matches.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)), "hit")
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(text_or_empty()) == F.col(h))
     return docs.join(bounded(hit, hit.count() <= BROADCAST_IDS), same, "left_anti")
 
 

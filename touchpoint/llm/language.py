@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchpoint.llm.batches import mix64
-from touchpoint.llm.stages import hashed_sample, small_batches
+from touchpoint.llm.stages import free_name, hashed_sample, small_batches
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (2, 3, 4)
 TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 15
@@ -33,7 +33,6 @@ EPOCHS, RATE, SEED = 4, 0.5, 7
 REJECT_ONE_IN = 1000
 UNKNOWN = "und"
 ADDED = ("lang_pred", "lang_score", "lang_rejected")
-INPUT = "__text"
 #: Texts per pass of the scorer stay below so many bytes.
 PIECE_BYTES = 1 << 18
 
@@ -158,14 +157,15 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, name
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text_column = free_name(docs, "__text")
     kept = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    cut = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(INPUT))
-    schema = T.StructType([*cut.drop(INPUT).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    cut = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias(text_column))
+    schema = T.StructType([*cut.drop(text_column).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(INPUT)]
+            found = [own.predict(t.as_py()) for t in batch.column(text_column)]
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < own.threshold for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*kept, *names])
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from touchpoint.llm.batches import FOLD, U, list_array, mix64, prefix_hashes, span_hashes, text_blocks, word_spans
 from touchpoint.llm.components import components
-from touchpoint.llm.stages import small_batches, written
+from touchpoint.llm.stages import free_name, small_batches, written
 
 SHINGLE = 4
 NEED, OF = 80, 100  # linked: OF * intersection >= NEED * union
@@ -279,14 +279,15 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     the smallest doc_id. A doc_id names a document, so of rows that repeat one, one stays;
     rows without a doc_id all stay."""
     judged = written(near_duplicates(docs, size).select("doc_id", "kept"), "judged").where(F.col("doc_id").isNotNull())
-    key = F.col("doc_id").cast("long")
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, key == F.col("__id"), "left_anti")
-    again = written(judged.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__id"), "again")
+    key, i = F.col("doc_id").cast("long"), free_name(docs, "other_id")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(i)).distinct()
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone, key == F.col(i), "left_anti")
+    again = judged.where("kept").groupBy(F.col("doc_id").alias(i)).agg(F.count("*").alias("copies")).where("copies > 1")
+    again = written(again.select(i), "again")
     if not again.limit(1).count():
         return left
-    once = left.join(again, key == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, key == F.col("__id"), "left_anti").unionByName(once)
+    once = left.join(again, key == F.col(i), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, key == F.col(i), "left_anti").unionByName(once)
 
 
 def oracle_sql(size: int = SHINGLE) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchpoint.llm.stages import hashed_sample, text_or_empty, written
+from touchpoint.llm.stages import free_name, hashed_sample, text_or_empty, written
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{10,}={0,2}"
 #: Characters of context on either side.
@@ -178,17 +178,13 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``MASK``; columns, their order and
     the number of rows stay. Rows without a secret are unchanged, null texts too."""
     spans = scan(docs).where("is_secret").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    s = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    own = F.xxhash64(text_or_empty())
-    joined = docs.withColumn("__own", own).join(s, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
-    n = F.size("__spans")
+    own, i, h, cuts = (free_name(docs, n) for n in ("own_hash", "span_id", "span_hash", "spans"))
+    s = spans.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(cuts))
+    joined = docs.withColumn(own, F.xxhash64(text_or_empty())).join(s, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left")
+    end_before = lambda k: F.coalesce(F.get(cuts, k - 1)["end"], F.lit(0))
     pieces = F.transform(
-        F.sequence(F.lit(0), n),
-        lambda i: F.substr(
-            F.col("text"),
-            (F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0)) + 1).cast("int"),
-            (F.coalesce(F.get("__spans", i)["start"], F.char_length("text")) - F.coalesce(F.get("__spans", i - 1)["end"], F.lit(0))).cast("int"),
-        ),
+        F.sequence(F.lit(0), F.size(cuts)),
+        lambda k: F.substr(F.col("text"), (end_before(k) + 1).cast("int"), (F.coalesce(F.get(cuts, k)["start"], F.char_length("text")) - end_before(k)).cast("int")),
     )
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, MASK))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(pieces, MASK))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -47,5 +47,13 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(steps)) < F.lit(rows * steps // n))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str | None = None):
     return F.coalesce(F.col(column or "text").cast("string"), F.lit(""))
