@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from touchpoint.llm.stages import written
 
 
+#: Links per task of a round: later rounds have few links and need few tasks.
+ROWS_PER_TASK = 50_000
+
+
 def _fingerprint(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
@@ -29,16 +33,17 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct(), "links")  # v < u
     before = _fingerprint(edges)
     while before[0]:
+        tasks = -(-2 * before[0] // ROWS_PER_TASK)
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written: beside a table, the neighbours of a hub are a join that Spark can split
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where(F.col("u") != F.col("v")).distinct()
-        large = written(large, "large-star")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = written(large.coalesce(tasks), "large-star")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "low")
         pairs = large.join(low, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.where(F.col("u") != F.col("v")).distinct(), "small-star")
+        edges = written(small.where(F.col("u") != F.col("v")).distinct().coalesce(tasks), "small-star")
         after = _fingerprint(edges)
         if after == before:
             break
