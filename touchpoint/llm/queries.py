@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchpoint.llm import bpe, decontaminate, language, near_dedup, quality, repeats, secrets, sharding, token_counts, toxicity
+from touchpoint.llm import bpe, decontaminate, language, near_dedup, quality, repeats, secrets, sharding, spelling, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_url_filter": op11_url_filter,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -102,4 +112,6 @@ ORACLES: dict[str, str] = {
     "op2_suffix_dedup": repeats.oracle_sql(),
     "op6_quality_rules": quality.oracle_sql(),
     "op10_benchmark_decontamination": decontaminate.oracle_sql(),
+    "op11_url_filter": url_filter.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(),
 }
