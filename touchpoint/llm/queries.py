@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchpoint.llm import bpe, decontaminate, language, near_dedup, quality, repeats, secrets, sharding, spelling, token_counts, toxicity, url_filter
+from touchpoint.llm import bpe, conversations, decontaminate, language, near_dedup, quality, repeats, secrets, sharding, spelling, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_url_filter": op11_url_filter,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
@@ -114,4 +119,5 @@ ORACLES: dict[str, str] = {
     "op10_benchmark_decontamination": decontaminate.oracle_sql(),
     "op11_url_filter": url_filter.oracle_sql(),
     "op12_spelling_variants": spelling.oracle_sql(),
+    "op13_conversation_repair": conversations.oracle_sql(),
 }
