@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -11,7 +11,8 @@ Of two audits of equal cost the longest common prefix is found by lifting both a
 the hashes differ; equal hashes are verified letter by letter. Audits of one state and cost
 are never beginnings of each other (what follows could only be insertions, which cost), so
 the smaller of two stays the smaller whatever comes next, and the others can go. What all
-live audits share is settled from time to time and kept as text only.
+live audits share is settled from time to time and kept as text only; states that have
+fallen too far behind to matter are given up, as they would share nothing.
 
 Rows are dealt by range of (conv_id, turn, role, digest), so a very long conversation is cut
 into pieces: a piece that may continue another is solved for each state that it can start
@@ -40,6 +41,9 @@ LEGAL = {"su", "ua", "au"}
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 DELETE_COST, REROLE_COST, INSERT_COST, TRUNCATED_COST = 3, 2, 2, 1
 INSERTS = [(NONE, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER), (USER, ASSISTANT)]
+#: (state, other, cost): whatever follows, ``other`` reaches with that much more what
+#: ``state`` reaches (it deletes the system row that ``state`` could keep, or inserts).
+BEHIND = [(NONE, ASSISTANT, 3), (NONE, USER, 5), (SYSTEM, ASSISTANT, 0), (SYSTEM, USER, 2)]
 #: Rows after which the shared beginning of the live audits is settled.
 SETTLE = 1024
 
@@ -169,6 +173,9 @@ class Audits:
             self.offer(new, wanted, cost + REROLE_COST + extra, node, "R")
         self.best = new
         self.insert()
+        for at, other, more in BEHIND:
+            if new[at] is not None and new[other] is not None and new[other][0] + more < new[at][0]:
+                new[at] = None
         self.rows += 1
         if self.rows % SETTLE == 0:
             self.settle()
