@@ -8,6 +8,7 @@ The matching DuckDB SQL lives in ``touchpoint.plans.oracle`` under the same key.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,11 @@ from touchpoint.functions import (
 from touchpoint.operators import attribution as A
 from touchpoint.operators import audience as AU
 from touchpoint.operators import incremental as I
+from touchpoint.operators import ledger as LD
 from touchpoint.operators import quality as Q
 from touchpoint.operators import relational as R
 from touchpoint.operators import reports as RP
+from touchpoint.session import shared_folder
 from touchpoint.sources import fixtures as FX
 
 # ---- operator parameters used by the registered queries
@@ -258,6 +261,29 @@ def q_sink_after_load(spark, d):
     return I.sink_rows(FX.matched_sink(spark, d)).unionByName(I.sink_rows(rows))
 
 
+def _loads(spark, d) -> str:
+    """A sink folder after: its first rows, a load, the same load again, a load that died
+    before its publish."""
+    root = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    held = FX.matched_sink(spark, d)
+    LD.append_once(held, root, "start")
+    inp = _inputs(spark, d)
+    for _ in range(2):
+        LD.load_once(spark, inp, root, AS_OF, LOOKBACK_DAYS)
+    LD.stage(held, root, "died")
+    return root
+
+
+def q_sink_published(spark, d):
+    return LD.read_published(spark, _loads(spark, d))
+
+
+def q_load_ledger(spark, d):
+    seen = LD.read_ledger(spark, _loads(spark, d))
+    return seen.select("batch_id", "window_from", "window_to", "n_rows", "first_day", "last_day",
+                       F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["n_rows"]).alias("rows_in_files"))
+
+
 def q_attribute_by_session_unchecked(spark, d):
     return A.attribute_test_drive(_inputs(spark, d), AS_OF, SHORT_LOOKBACK_DAYS,
                                   "best_per_session", exclude=False)

@@ -577,6 +577,13 @@ SELECT user_pseudo_id, phone_no, log_time, sid AS ga_session_id, {flag.format('c
     o["sink_after_load"] = _with(_forms(days), drive, _FIRST_PAID, _joined(), body=f"""
 SELECT {sink_cols}, CAST(created_at AS DATE) AS created_date FROM
 (SELECT {sink_cols} FROM td_sink UNION ALL BY NAME ({_new_only("lead_utm", "td_sink", days)}))""")
+    o["sink_published"] = o["sink_after_load"]
+    added = f"""SELECT 'first_paid_touch-' || strftime({after}, '%Y%m%dT%H%M%S') || '000000-' || strftime({before}, '%Y%m%dT%H%M%S') || '000000' AS batch_id,
+  {after} AS window_from, {before} AS window_to, created_at FROM ({_new_only("lead_utm", "td_sink", days)})"""
+    o["load_ledger"] = _with(_forms(days), drive, _FIRST_PAID, _joined(), body=f"""
+SELECT batch_id, window_from, window_to, count(*) AS n_rows, min(created_at)::DATE AS first_day, max(created_at)::DATE AS last_day,
+       count(*) AS rows_in_files
+FROM (SELECT 'start' AS batch_id, NULL AS window_from, NULL AS window_to, created_at FROM td_sink UNION ALL {added}) GROUP BY ALL""")
     since = _forms(None)
     o["attribute_by_phone"] = _with(since, _visits(None, TEST_DRIVE), _LAST_BY_PHONE, _joined(distinct=False), body="FROM lead_utm")
     o["attribute_since_watermark"] = _with(since, _visits(None, TEST_DRIVE, anyone=True), _LAST_BY_SESSION_ALL, _joined(), body="FROM lead_utm")

@@ -8,6 +8,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -63,3 +65,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         spark.sparkContext.setCheckpointDir(fallback)
         return fallback
     return None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that a job writes and reads again: what the cluster names in
+    ``spark.checkpoint.dir``, or what ``SparkContext.setCheckpointDir`` was given. Without
+    either, a local session (a test) gets a new scratch folder; on a cluster executors
+    would write to disks of their own, so that is an error."""
+    folder = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("no shared folder: set spark.checkpoint.dir")
+        folder = checkpoint_dir(spark, tempfile.mkdtemp(prefix="run-ckpt-"))
+    return folder.rstrip("/")
