@@ -7,7 +7,8 @@ from collections import Counter
 
 from test_attribution import first_paid, last_source, touch_rows
 from touchpoint.operators import attribution as A
-from touchpoint.operators.relational import exclude_existing, left_join_split_nulls
+from pyspark.sql import functions as F
+from touchpoint.operators.relational import exclude_existing, frequent_values, left_join_split_nulls
 
 SCHEMA = (
     "user_pseudo_id string, phone_no string, log_time timestamp_ntz, ga_session_id bigint, "
@@ -45,15 +46,45 @@ def test_first_paid_touch_on_skewed_input(spark):
     assert "WindowGroupLimit" in plan  # the hot group is cut before the shuffle
 
 
-def test_hot_phone_is_spread(spark):
-    """A third of the leads carry the phone that the cleanup makes of many numbers."""
-    form = [("n", "c", "62" if i % 3 == 0 else f"628{i}", "e", "b", T0, "car", str(i)) for i in range(3000)]
-    leads = spark.createDataFrame(form, "fullname string, city string, phone string, email string, estimated_buying_time string, created_at timestamp_ntz, car_name string, dealer_name string")
-    utm = spark.createDataFrame([("62", "google", None, None, None), ("62", "fb", None, None, None), ("6281", "x", None, None, None)], "phone_no string, utm_source string, utm_medium string, utm_campaign string, utm_content string")
+LEADS = "fullname string, city string, phone string, email string, estimated_buying_time string, created_at timestamp_ntz, car_name string, dealer_name string"
+UTM = "phone_no string, utm_source string, utm_medium string, utm_campaign string, utm_content string"
+
+
+def leads_of(spark, phones):
+    return spark.createDataFrame([("n", "c", p, "e", "b", T0, "car", str(i)) for i, p in enumerate(phones)], LEADS)
+
+
+def test_hot_phones_are_found_and_spread(spark):
+    """A third of the leads carry one phone, 2 % another, 0.5 % a third one."""
+    phones = ["62" if i % 3 == 0 else "6299" if i % 50 == 1 else "6277" if i % 200 == 2 else None if i % 7 == 0 else f"628{i}" for i in range(6000)]
+    leads = leads_of(spark, phones)
+    given = [("62", "google"), ("62", "fb"), ("6299", "fb"), ("6277", "fb"), ("62801", "x"), (None, "none")]
+    utm = spark.createDataFrame([(p, s, None, None, None) for p, s in given], UTM)
     out = A.attribute_leads(leads, utm)
-    assert out.count() == 4000 and out.where("utm_source = 'x'").count() == 1
-    salted = left_join_split_nulls(leads, utm, ["phone"], ["phone_no"], A.HOT_PHONES)
-    assert "explode" in salted._jdf.queryExecution().analyzed().toString()
+    want = Counter((str(i), s) for i, p in enumerate(phones) for s in ([s for q, s in given if p and q == p] or [None]))
+    assert Counter((r["dealer_name"], r["utm_source"]) for r in out.collect()) == want
+    hot = frequent_values(leads, "phone")
+    assert set(leads.select(hot.alias("h")).first()["h"]) == {"62", "6299"}
+    salted = left_join_split_nulls(leads, utm, ["phone"], ["phone_no"], hot)
+    salt = salted._jdf.queryExecution().analyzed().toString()
+    assert "approx_top_k" in salt and "explode" in salt
+    # the rows of the hot phones reach the join under many salts, those of others under one
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = salted.withColumn("task", F.spark_partition_id()).groupBy("phone").agg(F.countDistinct("task").alias("n"))
+        n = {r["phone"]: r["n"] for r in tasks.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n["62"] > 1 and n["6299"] > 1 and n["6277"] == 1
+
+
+def test_no_phone_is_hot(spark):
+    leads = leads_of(spark, [f"628{i}" for i in range(300)])
+    assert leads.select(frequent_values(leads, "phone").alias("h")).first()["h"] == []
+    assert leads_of(spark, []).agg(F.count("*")).select(frequent_values(leads_of(spark, [None]), "phone").alias("h")).first()["h"] == []
+    assert A.attribute_leads(leads, spark.createDataFrame([("6281", "a", None, None, None)], UTM)).where("utm_source = 'a'").count() == 1
 
 
 def test_campaign_totals_and_date_parts_on_one_hot_campaign(spark):

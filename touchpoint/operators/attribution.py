@@ -44,6 +44,7 @@ from touchpoint.functions.timeutil import (
 from touchpoint.functions.utm import display_source, extract_utm, is_non_paid
 from touchpoint.operators.relational import (
     exclude_existing,
+    frequent_values,
     left_join_split_nulls,
     top1_per_group,
 )
@@ -52,8 +53,6 @@ from touchpoint.operators.relational import (
 TEST_DRIVE_CONVERSION = "dax_testdrive_beforedealer_conversion"
 BROCHURE_CONVERSION = "dax_downloadbrochure_conversion"
 CONV, NO_CONV = "conv", "null"  # the flag is text; 'null' is not NULL
-# the phone rule shortens every number that starts 620 to this one
-HOT_PHONES = ("62",)
 SESSION_KEYS = ("ga_session_id",)
 SESSION_SPREAD = 16
 
@@ -433,13 +432,15 @@ def attribute_leads(
 ) -> DataFrame:
     """Leads LEFT JOIN phone->UTM rows on the cleaned phone; '!Non-Paid' is shown
     as 'Non-Paid'. With ``distinct`` the UTM side is de-duplicated before the join
-    (the result is DISTINCT anyway). Leads with a NULL phone, or with the phone that the
-    cleanup makes of many numbers, are spread over many tasks."""
+    (the result is DISTINCT anyway). Leads with a NULL phone, or with a phone that holds
+    over 1 % of the leads (the cleanup shortens every number that starts 620 to one), are
+    spread over many tasks."""
     cols = ["phone_no", *UTM_COLS, *extra_cols]
     right = phone_utm.select(*cols)
     if distinct:
         right = right.where(F.col("phone_no").isNotNull()).distinct()
-    joined = left_join_split_nulls(leads.select(*lead_cols), right, ["phone"], ["phone_no"], HOT_PHONES)
+    hot = frequent_values(leads, "phone")
+    joined = left_join_split_nulls(leads.select(*lead_cols), right, ["phone"], ["phone_no"], hot)
     out = joined.select(
         *lead_cols,
         display_source("utm_source").alias("utm_source"),

@@ -16,6 +16,7 @@ Design rules used throughout:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -50,8 +51,23 @@ def top1_per_group(
 
 
 NULL_SPREAD = 1024
-#: Tasks over which the rows of a key that is known to be hot are spread.
+#: Tasks over which the rows of a hot key are spread.
 HOT_SPREAD = 64
+#: A value of more than this share of the rows is hot. Its sketch tracks so many values
+#: that the error (3.5 over the size of its table) is far below the share.
+HOT_SHARE, TRACKED_VALUES = 0.01, 10_000
+
+
+def frequent_values(df: DataFrame, col: str, share: float = HOT_SHARE) -> Column:
+    """The values that hold more than ``share`` of the non-NULL rows, as an array: a scalar
+    subquery over a frequent-items sketch. Tasks send sketches of bounded size, never
+    values in proportion to the data. Each such value is in it; one just below the share
+    may be."""
+    known = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    top = F.expr(f"approx_top_k(v, {math.ceil(1.3 / share)}, {TRACKED_VALUES})")
+    sketch = known.agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
+    often = F.filter("top", lambda t: t["count"] > F.col("n") * share)
+    return sketch.select(F.transform(often, lambda t: t["item"]).alias("values")).scalar()
 
 
 def _has_map(t: T.DataType) -> bool:
@@ -81,21 +97,21 @@ def left_join_split_nulls(
     right: DataFrame,
     left_keys: Sequence[str],
     right_keys: Sequence[str] | None = None,
-    hot: Sequence = (),
+    hot: Column | None = None,
 ) -> DataFrame:
     """``left LEFT JOIN right ON l.k = r.k`` (plain ``=``). NULL-key rows of the
     left are salted so they do not all land in one task; they get NULL right-hand
-    columns. So are left rows whose first key is one of ``hot``; the right's rows of
+    columns. So are left rows whose first key is in the array ``hot``; the right's rows of
     those keys are repeated for each of the HOT_SPREAD salts. Output: the left columns
     plus the right's non-key columns."""
     right_keys = list(right_keys or left_keys)
     tmp = [f"_rk{i}" for i in range(len(right_keys))]
     renames = dict(zip(right_keys, tmp))
     salt, r_salt = _null_salt(left, _any_null(left_keys)), F.lit(0)
-    if hot:
+    if hot is not None:
         spread = F.pmod(_row_hash(left), F.lit(HOT_SPREAD)).cast("int")
-        salt = F.when(F.col(left_keys[0]).isin(*hot) & ~_any_null(left_keys), spread).otherwise(salt)
-        salts = F.when(F.col(right_keys[0]).isin(*hot), F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1)))
+        salt = F.when(~_any_null(left_keys) & F.array_contains(hot, F.col(left_keys[0])), spread).otherwise(salt)
+        salts = F.when(F.array_contains(hot, F.col(right_keys[0])), F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1)))
         r_salt = F.explode(salts.otherwise(F.array(F.lit(0))))
     r = right.where(~_any_null(right_keys)).select(
         *[F.col(c).alias(renames.get(c, c)) for c in right.columns], r_salt.alias("_rsalt")

@@ -91,8 +91,10 @@ def _touches(spark, d, days=LOOKBACK_DAYS, conversion=A.TEST_DRIVE_CONVERSION, s
     return A._touches(inp, A.lookback_window(AS_OF, days), conversion, strict)
 
 
-def _brochure_touches(spark, d):
-    return _touches(spark, d, BROCHURE_LOOKBACK_DAYS, A.BROCHURE_CONVERSION, strict=False)
+def _brochure_touches(spark, d, leads=None):
+    inp = A.AttributionInputs(None, FX.ga_events(spark, d), FX.phone_map(spark, d))
+    return A._touches(inp, A.lookback_window(AS_OF, BROCHURE_LOOKBACK_DAYS), A.BROCHURE_CONVERSION,
+                      False, leads=leads)
 
 
 def _journey(spark, d):
@@ -174,8 +176,9 @@ def q_last_touch_per_lead(spark, d):
     w = A.lookback_window(AS_OF, BROCHURE_LOOKBACK_DAYS)
     cols = [c for c in A.LEAD_COLS if c != "dealer_name"]
     leads = A.load_leads(FX.brochure_leads(spark, d), w, A.BROCHURE_DEDUPE_KEYS, out_cols=cols)
-    mapped = A.attribute_leads(leads, A.first_paid_touch_converted(*_brochure_touches(spark, d)),
-                               cols, extra_cols=["log_time"])
+    # only the phones of these leads reach the result
+    touches = A.first_paid_touch_converted(*_brochure_touches(spark, d, leads))
+    mapped = A.attribute_leads(leads, touches, cols, extra_cols=["log_time"])
     return A.last_touch_per_lead(mapped)
 
 
@@ -223,6 +226,13 @@ def q_first_paid_touch_converted(spark, d):
     return A.first_paid_touch_converted(*_brochure_touches(spark, d))
 
 
+def q_frequent_phones(spark, d):
+    """The phones that are spread over tasks when leads meet their campaigns."""
+    leads = A.load_leads(FX.test_drive_leads(spark, d), A.lookback_window(AS_OF, BROCHURE_LOOKBACK_DAYS))
+    hot = R.frequent_values(leads, "phone")
+    return leads.where(F.array_contains(hot, F.col("phone"))).groupBy("phone").agg(F.count(F.lit(1)).alias("leads"))
+
+
 def q_attribute_leads(spark, d):
     leads = A.load_leads(FX.test_drive_leads(spark, d), _window())
     return A.attribute_leads(leads, A.first_paid_touch(*_touches(spark, d)))

@@ -570,6 +570,9 @@ SELECT user_pseudo_id, phone_no, log_time, sid AS ga_session_id, {flag.format('c
     o["attribute_brochure"] = _with(*brochure, body=_new_only("latest", "br_sink", long))
 
     # ---- attribution end to end
+    o["frequent_phones"] = _with(_forms(long), body="""
+SELECT phone, count(*) AS leads FROM form WHERE phone IS NOT NULL GROUP BY phone
+HAVING count(*) > 0.01 * (SELECT count(phone) FROM form)""")
     o["attribute_leads"] = _with(_forms(days), drive, _FIRST_PAID, _joined(), body="FROM lead_utm")
     for key, rule in [("attribute_test_drive", _FIRST_PAID), ("attribute_by_session", _LAST_BY_SESSION)]:
         o[key] = _with(_forms(days), drive, rule, _joined(), body=_new_only("lead_utm", "td_sink", days))
