@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -118,14 +119,53 @@ def test_contamination(spark, make_docs, odd_rows, leaked, items, monkeypatch, s
     assert sum(r[5] for r in got) >= 7
 
 
-def test_proximity_finds_shuffled_parts(spark, make_docs, prose):
+def near_of(rows, items, terms=3, span=20):
+    """Items with a window whose rarest words lie within ``span`` words, for each row."""
+    texts = [words_of(t) for _, t in rows]
+    n = Counter(w for words in texts for w in words)
+    sets = {}
+    for item, content in items:
+        own = words_of(content)
+        for window in [own[k : k + 10] for k in range(len(own) - 9)] if len(own) > 10 else [own] * bool(own):
+            need = min(terms, len(set(window)))
+            rarest = sorted((n[w], w) for w in set(window) if n[w])[:need]
+            if len(rarest) == need:
+                sets.setdefault(frozenset(w for _, w in rarest), set()).add(item)
+    out = []
+    for words in texts:
+        found = set()
+        for wanted, owners in sets.items():
+            if wanted <= set(words) and any(wanted <= set(words[k : k + span]) for k in range(len(words))):
+                found |= owners
+        out.append(len(found))
+    return out
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_proximity(spark, make_docs, odd_rows, leaked, items, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    rows = [(i, t) for i, t in odd_rows if not t or len(t) < 5000] + leaked
+    got = [(r["doc_id"], r["n_words"], r["n_near_items"]) for r in decontaminate.contamination(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    want = [(i, len(words_of(t)), n) for (i, t), n in zip(rows, near_of(rows, items))]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(n > 0 for *_, n in want) >= 8
+
+
+def test_proximity_finds_reordered_and_interrupted_items(spark, make_docs, prose):
     t = [f"term{k}" for k in range(10)]
-    item, parts = " ".join(t), [" ".join(t[5:]), " ".join(t[:6])]
-    # the first, fifth and sixth pair of the item are its rarest
-    common = f"{t[1]} {t[2]} {t[3]} {t[4]} x {t[6]} {t[7]} {t[8]} {t[9]}"
-    rows = [(1, item), (2, " or ".join(parts)), (3, (" " + prose(5, 40) + " ").join(parts)), (4, common), (5, prose(6, 50))]
-    got = {r["doc_id"]: (r["contaminated"], r["n_near_items"]) for r in decontaminate.contamination(make_docs(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert got == {1: (True, 1), 2: (False, 1), 3: (False, 0), 4: (False, 0), 5: (False, 0)}
+    item, other = " ".join(t), "a b c d e f g h i j"
+    rows = [
+        (1, " ".join(t[::-1])), (2, " ".join([*t[:5], "inserted", *t[5:]])), (3, (" " + prose(5, 40) + " ").join([" ".join(t[:2]), " ".join(t[2:5]), " ".join(t[5:])])),
+        (4, f"{t[0]} {prose(6, 5)} {t[1]} {prose(7, 5)} {t[2]} {t[9]}"), (5, prose(6, 50)), (6, "a b of which the rest occurs nowhere"), (7, " ".join(t[k] for k in (3, 1, 4, 0, 5, 9, 2, 6, 8, 7))),
+    ]
+    items = [(1, item), (2, other)]
+    got = {r["doc_id"]: (r["contaminated"], r["n_near_items"]) for r in decontaminate.contamination(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    near = dict(zip([i for i, _ in rows], near_of(rows, items)))
+    assert got == {i: (False, n) for i, n in near.items()}
+    assert near[1] == near[2] == near[7] == 1 and near[5] == near[6] == 0
+    # with a verbatim copy in the corpus the same documents are found
+    got = {r["doc_id"]: r["n_near_items"] for r in decontaminate.contamination(make_docs([*rows, (8, item)]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got[1] == got[2] == got[7] == got[8] == 1
 
 
 def test_contamination_of_empty_tables(spark, make_docs, odd_rows):

@@ -7,10 +7,13 @@ of its pieces' rows; a linear layer and a softmax give the languages. As both ar
 the trained table and layer collapse into one table of per-piece scores, which is what
 is broadcast (BUCKETS x languages floats: fixed size) and what scoring averages.
 
-Training takes a bounded sample: about ``TRAIN_ROWS`` labelled rows, those with the
-smallest hashes of their id among rows of at most ``TRAIN_BYTES`` bytes of text, whole. A tenth of the sample is kept aside to calibrate: a
-temperature makes the scores probabilities, and the rejection threshold is the score
-that all but one in ``REJECT_ONE_IN`` correctly labelled rows reach.
+Training takes a bounded sample of whole texts: of each language the same number of rows,
+``TRAIN_ROWS`` shared out but ``LANGUAGE_ROWS`` at least, those with the smallest hashes of
+id and text; texts of over ``TRAIN_BYTES`` bytes only where a language has no others. So a
+rare language is learned like a common one. A tenth of the sample is kept aside to
+calibrate: a temperature makes the scores probabilities, and the rejection threshold is the
+score that all but one in ``REJECT_ONE_IN`` correctly labelled rows reach. Without labels
+there is nothing to tell apart: only texts without letters are rejected.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchpoint.llm.batches import mix64
-from touchpoint.llm.stages import free_name, hashed_sample, small_batches
+from touchpoint.llm.stages import bounded_sample, free_name, small_batches
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (2, 3, 4)
-TRAIN_ROWS, TRAIN_BYTES = 2000, 1 << 15
+TRAIN_ROWS, LANGUAGE_ROWS, TRAIN_BYTES = 2000, 100, 1 << 15
 EPOCHS, RATE, SEED = 4, 0.5, 7
 REJECT_ONE_IN = 1000
 UNKNOWN = "und"
@@ -79,6 +82,11 @@ class Model:
         best = int(p.argmax())
         return self.languages[best], min(1.0, float(p[best]))
 
+    def rejects(self, lang: str, score: float) -> bool:
+        if lang == UNKNOWN:  # without labels, that is the only answer
+            return score == 0.0 or self.languages != [UNKNOWN]
+        return score < self.threshold
+
 
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
@@ -104,6 +112,8 @@ def fit(texts: list[str], langs: list[str], seed: int = SEED) -> Model:
     table = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     layer, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
     train = np.flatnonzero(~aside)
+    # rows of a language that has few are seen more often
+    train = np.repeat(train, np.maximum(1, LANGUAGE_ROWS // np.maximum(1, np.bincount(target[train], minlength=len(names))))[target[train]])
     steps, done = EPOCHS * len(train), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(train):
@@ -141,8 +151,11 @@ def held_out(column: str = "doc_id") -> Column:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learns from text and non-null lang of the rows not held out."""
     cut = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = cut.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id") & (F.octet_length("text") <= TRAIN_BYTES))
-    sample = sorted((r["id"], r["lang"], r["text"]) for r in hashed_sample(usable, ["id"], rows).collect())
+    usable = cut.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    languages = usable.agg(F.approx_count_distinct("lang").alias("n")).first()["n"]
+    each = max(LANGUAGE_ROWS, -(-rows // max(1, languages)))
+    chosen = bounded_sample(usable, ["id", "text"], each, per="lang", last=f"octet_length(text) > {TRAIN_BYTES}")
+    sample = sorted((r["id"], r["lang"], r["text"]) for r in chosen.collect())
     return fit([r[2] for r in sample], [r[1] for r in sample])
 
 
@@ -152,7 +165,8 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, name
 
     Only the text decides. A null, empty or letterless text is ``und`` with score 0 and
     rejected; so is any text whose score is below the model's threshold, which keeps its
-    predicted language. ``names`` are those of the added columns; input columns of these
+    predicted language. A model of no labels calls every other text ``und`` with score 1
+    and does not reject it. ``names`` are those of the added columns; input columns of these
     names are replaced.
     """
     small_batches(docs.sparkSession)
@@ -166,7 +180,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, name
         own = shared.value
         for batch in batches:
             found = [own.predict(t.as_py()) for t in batch.column(text_column)]
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UNKNOWN or x[1] < own.threshold for x in found], pa.bool_())]
+            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([own.rejects(*x) for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*kept, *names])
 
     return cut.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ numbers per coordinate: an adaptive learning rate falls where gradients were lar
 the L1 term leaves every coordinate at exactly zero whose evidence stays small. What is
 broadcast is the list of non-zero weights: a few thousand pairs, at most 2**BITS.
 
-Training takes a bounded sample: of either label about ``TRAIN_ROWS`` rows, those with
+Training takes a bounded sample: of either label at most ``TRAIN_ROWS`` rows, those with
 the smallest hashes of their id among rows of at most ``TRAIN_BYTES`` bytes of text, whole.
 Where the bound cuts a label's rows, the rest count for those left out (importance
 weights). The boundary (score 0.5) is placed on a fifth of the sample kept aside from a
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchpoint.llm.batches import mix64, prefix_hashes, span_hashes, text_blocks
-from touchpoint.llm.stages import hashed_sample, small_batches
+from touchpoint.llm.stages import bounded_sample, small_batches
 
 BITS = 20
 TRAIN_ROWS, TRAIN_BYTES = 4000, 1 << 15
@@ -160,8 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.when(F.col("toxic").cast("int") != 0, 1).otherwise(0).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     texts = docs.select(F.col("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    chosen = [hashed_sample(marked.where(F.col("toxic") == k), ["doc_id"], rows) for k in (0, 1)]
-    found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    # at most 2 * rows ids, however often one is repeated; the same holds for their texts
+    chosen = bounded_sample(marked, ["doc_id"], rows, per="toxic")
+    found = bounded_sample(texts.join(F.broadcast(chosen), "doc_id"), ["doc_id", "text"], rows, per="toxic")
     picked: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(tuple(r) for r in found.select("doc_id", "toxic", "text").collect()):
         picked[r[1]].append(r[2])
