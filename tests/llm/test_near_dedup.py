@@ -65,7 +65,8 @@ def corpus(prose):
 @pytest.mark.parametrize("size", [4, 5])
 def test_components_against_all_pairs(make_docs, corpus, monkeypatch, block, size):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup.in_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(near_dedup.star_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(near_dedup.cross_blocks, "__defaults__", (block,))
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(make_docs(corpus), size).collect()}
     want = brute(corpus, size)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
@@ -118,3 +119,71 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5000, 5000)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{k: 0 for k in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_texts_that_share_an_id_are_told_apart(make_docs, prose):
+    rnd = random.Random(8)
+    a, b, c = prose(31, 120), prose(32, 120), prose(33, 120)
+    rows = [(1, a), (1, b), (5, edited(rnd, a, 0.005)), (6, edited(rnd, b, 0.005)), (7, c), (None, edited(rnd, c, 0.005)), (None, prose(34, 90)), (None, prose(34, 90)), (9, None), (9, None)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(make_docs(rows)).collect() if r["doc_id"])
+    assert got == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (7, 7, True), (9, 9, True), (9, 9, True)]
+    out = near_dedup.one_of_each(make_docs(rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in out), key=str) == sorted([(1, a), (1, b), (7, c), (None, prose(34, 90)), (9, None)], key=str)
+
+
+def test_no_text_vanishes_with_a_copy_under_its_id(make_docs, prose):
+    a, b = prose(41, 90), prose(42, 90)
+    out = near_dedup.one_of_each(make_docs([(1, a), (1, b), (2, b)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == sorted([(1, a), (1, b)])
+
+
+def test_long_regular_words_are_told_apart(make_docs):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {word} y {word} z"), (2, f"x {other} y {other} z")]
+    assert all(r["kept"] for r in near_dedup.near_duplicates(make_docs(rows)).collect())
+
+
+def test_word_hashes_depend_on_the_word_only():
+    data = np.frombuffer(b"one  two one\ttwo onetwo", np.uint8)
+    starts, ends, _ = near_dedup.word_spans(data, np.array([0, len(data)]))
+    h = near_dedup.word_hashes(data, starts, ends)
+    assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_a_cloud_of_near_copies_needs_no_pairs(spark, make_docs, prose, monkeypatch):
+    rnd = random.Random(5)
+    base = prose(88, 400)
+    rows = [(k, edited(rnd, base, 0.003)) for k in range(700)]
+    seen = []
+    star = near_dedup.star_blocks
+    monkeypatch.setattr(near_dedup, "star_blocks", lambda members: seen.append(star(members, 16)) or seen[-1])
+    monkeypatch.setattr(near_dedup, "cross_blocks", lambda *a: pytest.fail("nodes linked to their pivot are compared again"))
+    got = near_dedup.near_duplicates(make_docs(rows)).collect()
+    assert {r["component_id"] for r in got} == {0}
+    # a row per node and cloud, and one more for every block of 16
+    clouds_of = seen[0].where("node != pivot").count()
+    assert seen[0].count() <= clouds_of * 18 / 16 + seen[0].select("pivot").distinct().count()
+
+
+def test_recall_of_borderline_pairs(make_docs, prose, capsys):
+    """Pairs with a Jaccard similarity just above the threshold."""
+    rnd = random.Random(12)
+    rows, wanted = [], {}
+    for k in range(400):
+        words = prose(3000 + k, 300).split()
+        other = words[:]
+        for _ in range(rnd.randrange(6, 9)):
+            other[rnd.randrange(len(other))] = f"new{rnd.randrange(10**6)}"
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        share = len(a & b) / len(a | b)
+        if 0.8 <= share <= 0.85:
+            wanted[2 * k + 1] = 2 * k
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(make_docs(rows)).collect()}
+    caught = sum(got[i] == c for i, c in wanted.items())
+    with capsys.disabled():
+        print(f"pairs at 0.80 to 0.85: {len(wanted)}, linked: {caught}")
+    assert len(wanted) > 100 and caught == len(wanted)
