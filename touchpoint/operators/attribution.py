@@ -527,6 +527,27 @@ def registered_conversion_sessions(events: DataFrame, phone_map: DataFrame, day_
     return _present(conv.join(users, "user_pseudo_id", "left_semi"), session_keys).distinct()
 
 
+def phones_of_leads(phone_map: DataFrame, leads: DataFrame | None) -> DataFrame:
+    """The phone map, cut to the phones of ``leads`` if given (through a small, usually
+    broadcast, phone list)."""
+    if leads is None:
+        return phone_map
+    wanted = leads.select(F.col("phone").alias("_lead_phone")).where(
+        F.col("_lead_phone").isNotNull()
+    ).distinct()
+    return (
+        phone_map.withColumn("_mapped", normalize_mapped_phone("phone_no"))
+        .join(wanted, F.col("_mapped") == F.col("_lead_phone"), "left_semi")
+        .drop("_mapped")
+    )
+
+
+def mapped_phones(phone_map: DataFrame, leads: DataFrame | None = None) -> DataFrame:
+    """user_pseudo_id and the cleaned phone_no, of the leads' phones if given."""
+    cut = phones_of_leads(phone_map, leads)
+    return cut.select("user_pseudo_id", normalize_mapped_phone("phone_no").alias("phone_no"))
+
+
 def _touches(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
              strict_utm: bool, conversions: str = "in",
              leads: DataFrame | None = None,
@@ -542,17 +563,7 @@ def _touches(inp: AttributionInputs, window: LoadWindow, conversion_event: str,
     days = window.event_days()
     if days is None:
         raise ValueError("window has no lower bound")
-    pm = inp.phone_map
-    if leads is not None:
-        wanted = leads.select(F.col("phone").alias("_lead_phone")).where(
-            F.col("_lead_phone").isNotNull()
-        ).distinct()
-        pm = (
-            pm.withColumn("_mapped", normalize_mapped_phone("phone_no"))
-            .join(wanted, F.col("_mapped") == F.col("_lead_phone"), "left_semi")
-            .drop("_mapped")
-        )
-    reg = registered_events(inp.events, pm, *days, conversion_event=conversion_event)
+    reg = registered_events(inp.events, phones_of_leads(inp.phone_map, leads), *days, conversion_event=conversion_event)
     if conversions == "in":
         conv = registered_conversion_sessions(inp.events, inp.phone_map, *days, conversion_event,
                                               session_keys)

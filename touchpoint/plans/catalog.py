@@ -28,6 +28,7 @@ from touchpoint.operators import ledger as LD
 from touchpoint.operators import quality as Q
 from touchpoint.operators import relational as R
 from touchpoint.operators import reports as RP
+from touchpoint.operators import touch_state as TS
 from touchpoint.session import shared_folder
 from touchpoint.sources import fixtures as FX
 
@@ -311,6 +312,32 @@ def q_attribute_brochure(spark, d):
     return A.attribute_brochure(inp, AS_OF, BROCHURE_LOOKBACK_DAYS)
 
 
+def _touch_state(spark, d, window, kind) -> str:
+    """A state of the window's days: all but the last in one build, then the last day alone."""
+    root = f"{shared_folder(spark)}/touch-state-{uuid.uuid4().hex}"
+    events, (first, last) = FX.ga_events(spark, d), window.event_days()
+    before = A.lookback_window(window.upper.date() - dt.timedelta(days=1), 1).event_days()[1]
+    TS.update(events, root, first, before, [kind])
+    TS.update(events, root, last, kinds=[kind])
+    return root
+
+
+def q_touch_state_first_paid(spark, d):
+    root = _touch_state(spark, d, _window(), TS.FIRST)
+    return A.first_paid_touch(*TS.touches_from_state(spark, root, FX.phone_map(spark, d), _window()))
+
+
+def q_touch_state_by_session(spark, d):
+    root = _touch_state(spark, d, _window(), TS.LAST)
+    return TS.attribute_from_state(_inputs(spark, d), root, _window(), "best_per_session")
+
+
+def q_touch_state_last_touch(spark, d):
+    w = A.lookback_window(AS_OF, BROCHURE_LOOKBACK_DAYS)
+    leads = A.load_leads(FX.brochure_leads(spark, d), w, A.BROCHURE_DEDUPE_KEYS, out_cols=BROCHURE_LEAD_COLS)
+    return TS.last_touch_from_state(leads, FX.phone_map(spark, d), _touch_state(spark, d, w, TS.FIRST), w)
+
+
 # --------------------------------------------------------------------- audience
 def q_identity_bridge(spark, d):
     return AU.identity_bridge(FX.user_links(spark, d), FX.sign_ins(spark, d))

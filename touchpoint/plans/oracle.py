@@ -594,6 +594,10 @@ FROM (SELECT 'start' AS batch_id, NULL AS window_from, NULL AS window_to, create
                      ("attribute_own_sessions", {"own": True})]:
         o[key] = _with(_forms(short), _visits(short, TEST_DRIVE, **how), _LAST_BY_SESSION, _joined(), body="FROM lead_utm")
 
+    for key, full in [("touch_state_first_paid", "first_paid_touch"), ("touch_state_by_session", "attribute_by_session"),
+                      ("touch_state_last_touch", "last_touch_per_lead")]:
+        o[key] = o[full]  # the state gives what the full run over the events gives
+
     # ---- audience
     journey = _journey()
     o["identity_bridge"] = _with(journey, body="FROM bridge")
