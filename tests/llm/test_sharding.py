@@ -56,9 +56,35 @@ def test_shards_are_narrow_in_every_dimension(make_docs, prose):
         assert np.mean([len(s) for s in seen.values()]) <= 0.7 * most
 
 
+def sources_per_shard(make_docs, prose, names):
+    rows = [(k, prose(k % 50, 3 + (k * 37) % 90), "en", names[k % len(names)]) for k in range(1200)]
+    source, seen = {i: s for i, *_, s in rows}, {}
+    for r in sharding.shard(make_docs(rows), 24).collect():
+        seen.setdefault(r["shard"], set()).add(source[r["doc_id"]])
+    return np.mean([len(s) for s in seen.values()])
+
+
+def test_long_common_beginnings_prune_as_short_names_do(make_docs, prose):
+    short = sources_per_shard(make_docs, prose, [f"s{k}" for k in range(10)])
+    long = sources_per_shard(make_docs, prose, [f"https://commoncrawl.example.org/crawl-{k}" for k in range(10)])
+    assert long == short < 4
+
+
+def test_ranks_of_whole_values(spark):
+    values = [f"{'x' * 40}{k:05d}" for k in range(3000)] + [None, "", "é"]
+    got = {r["value"]: r["code"] for r in sharding.ranks(spark.createDataFrame([(v,) for v in values * 2], "source string").repartition(5), "source").collect()}
+    assert got == {v: k + 1 for k, v in enumerate(sorted(v for v in values if v is not None))}
+
+
+def test_equal_rows_are_spread_over_buckets(make_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = [(None, "copy", "en", "hot")] * 600 + [(k, f"t{k}", "en", "hot") for k in range(600)]
+    hold(rows, sharding.shard(make_docs(rows), 7).collect(), 7)
+
+
 def test_written_shards_hold_all_rows(spark, make_docs, odd_rows, scratch):
     docs = make_docs(odd_rows)
-    sharding.write_shards(docs, f"{scratch}/out", 3)
+    sharding.write_shards(docs, f"{scratch}/out", 3, file_rows=2)
     back = spark.read.parquet(f"{scratch}/out")
     assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
     assert back.select("shard").distinct().count() == 3

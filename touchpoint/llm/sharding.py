@@ -6,11 +6,15 @@ the Hilbert curve orders the rows, and the order is cut into runs. Rows that are
 all dimensions land in the same run, so a file's minimum and maximum are narrow in each
 dimension and filters on any of them skip most files.
 
+Texts (source, language) are coded by their rank among all distinct values, as wholes, so
+values with a long common beginning are told apart like any others.
+
 The law is ``rows``: run s of n holds the ranks r with floor(r * n / rows) = s, so counts
 are at most one apart. Ranks are exact and need no global sort: rows are counted by cell,
 the counts are summed along the curve, and rows are numbered inside their cell. A cell
 with many rows (a source with a third of the corpus, one text a million times) is split
-into buckets by the hash of the row, each numbered on its own.
+into buckets by the hash of the row, each numbered on its own; rows that are repeated very
+often are spread over the buckets of their cell.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchpoint.llm.stages import small_batches, text_or_empty, written
+from touchpoint.operators.relational import frequent_values
 
 SHARDS = 40
 BITS = 6
@@ -31,10 +36,31 @@ BITS = 6
 BUCKET_ROWS = 50_000
 
 
-def text_code(column: Column) -> Column:
-    """The first seven bytes as a number that sorts as the text does; null first."""
-    head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+#: Share of all rows from which equal rows are spread over buckets.
+REPEATED_SHARE = 0.001
+#: Distinct values up to which their ranks are broadcast; rows of one file of a shard.
+BROADCAST_VALUES, FILE_ROWS = 100_000, 500_000
+
+
+def ranks(rows: DataFrame, column: str) -> DataFrame:
+    """(value, code): the dense rank of every distinct value, whole. Values are dealt by
+    range and numbered in their part, so none of this is one task."""
+    dealt = rows.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().repartitionByRange("value")
+    dealt = written(dealt.withColumn("part", F.spark_partition_id()), "values")
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    numbered = dealt.withColumn("place", place).join(starts, "part")
+    return written(numbered.select("value", (F.col("start") + F.col("place")).cast("long").alias("code")), "ranks")
+
+
+def with_code(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``<column>_code``: the rank of the value, 0 for null."""
+    found = ranks(rows, column)
+    few = found.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    named = found.select(F.col("value").alias(column), F.col("code").alias(f"{column}_code"))
+    joined = rows.join(F.broadcast(named) if few else named, column, "left")
+    return joined.withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(0)))
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -97,15 +123,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
         F.col("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        text_code(F.col("source").cast("string")).alias("source_code"),
-        text_code(F.col("lang").cast("string")).alias("lang_code"),
+        F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"),
     )
-    rows = written(rows, "shard-rows")
-    placed = written(with_curve(rows, ["source_code", "lang_code", "size"], bits).select("doc_id", "size", "text_crc32", "curve"), "curve")
+    rows = with_code(with_code(written(rows, "shard-rows"), "source"), "lang").drop("source", "lang")
+    key = F.xxhash64("doc_id", "text_crc32", "size")
+    placed = with_curve(written(rows, "coded-rows"), ["source_code", "lang_code", "size"], bits)
+    placed = written(placed.select("doc_id", "size", "text_crc32", "curve", key.alias("key"), F.monotonically_increasing_id().alias("row")), "curve")
 
     cells = placed.groupBy("curve").agg(F.count("*").alias("n"))
     spread = cells.select("curve", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("buckets"))
-    hashed = placed.join(spread, "curve").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("buckets")).cast("int")).drop("buckets")
+    often = F.array_contains(frequent_values(placed, "key", REPEATED_SHARE), F.col("key"))
+    mixed = F.when(often, F.xxhash64("row")).otherwise(F.col("key"))
+    hashed = placed.join(spread, "curve").withColumn("bucket", F.pmod(mixed, F.col("buckets")).cast("int")).drop("buckets", "key", "row")
     counted = hashed.groupBy("curve", "bucket").agg(F.count("*").alias("n"))
     inside = Window.partitionBy("curve").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # at most 2**(bits * dimensions) cells, whatever the input
@@ -131,13 +161,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
-    """Writes ``docs`` with their shard, one folder per shard, each sorted by the curve.
-    Rows meet their place by doc_id and text checksum."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS, file_rows: int = FILE_ROWS) -> None:
+    """Writes ``docs`` with their shard, one folder per shard, in files of ``file_rows`` rows
+    along the curve, each written by a task of its own. Rows meet their place by doc_id and
+    text checksum."""
     key = ["doc_id", "text_crc32"]
     places = shard(docs, shards, bits).select(*key, "shard", "slot", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot")).alias("copy"))
     own = docs.withColumn("text_crc32", F.crc32(text_or_empty().cast("binary")))
     own = own.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
     same = own["doc_id"].eqNullSafe(places["doc_id"]) & (own["text_crc32"] == places["text_crc32"]) & (own["copy"] == places["copy"])
     placed = own.join(places, same).select(*[own[f"`{c}`"] for c in docs.columns], places["shard"], places["slot"])
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    piece = F.floor(F.col("slot") / file_rows)
+    placed.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
