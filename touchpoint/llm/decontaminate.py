@@ -139,7 +139,8 @@ class TestIndex:
         chosen = self.docs.join(bounded(ids.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h")), few), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")), "left_semi")
         c = by_doc.select(F.col("doc_id").alias("c_id"), F.col("text_hash").alias("c_hash"), "maybe")
         joined = chosen.dropDuplicates(["doc_id", "text_hash"]).join(c, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash")))
-        split = joined.select("doc_id", "text_hash", words_of().alias("words"), "maybe")
+        # written, so that a text is split once and not anew for each of its candidates
+        split = written(joined.select("doc_id", "text_hash", words_of().alias("words"), "maybe"), "candidate-texts")
         confirmed = F.filter("maybe", lambda m: F.slice("words", m["start"] + 1, F.size(m["window"])) == m["window"])
         return split.select("doc_id", "text_hash", F.transform(confirmed, lambda m: F.struct(m["start"].alias("start"), F.size(m["window"]).alias("size"), m["w"].alias("w"))).alias("found"))
 
