@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from touchpoint.operators import attribution as A
 from touchpoint.operators import touch_state as TS
 from touchpoint.plans import catalog as C
+from touchpoint.sources import day_builds as DB
 from touchpoint.sources import fixtures as FX
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +29,7 @@ def given(spark):
 @pytest.fixture(scope="module")
 def daily(spark, given, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("state"))
-    for day in TS._days_between(FIRST_DAY, LAST_DAY):
+    for day in DB.days_between(FIRST_DAY, LAST_DAY):
         TS.update(given[0], root, day)
     return root
 
@@ -68,13 +69,13 @@ def test_late_events_and_replays_replace_a_day(spark, given, scratch):
     part = events.where(F.col("event_timestamp") % 3 > 0)
     TS.update(part, scratch, FIRST_DAY, LAST_DAY)
     for _ in range(2):
-        for day in TS._days_between(FIRST_DAY, LAST_DAY)[2:4]:
+        for day in DB.days_between(FIRST_DAY, LAST_DAY)[2:4]:
             TS.update(events, scratch, day)
-    mixed = part.unionByName(events.where((F.col("event_timestamp") % 3 == 0) & F.col("event_date").isin(TS._days_between(FIRST_DAY, LAST_DAY)[2:4])))
+    mixed = part.unionByName(events.where((F.col("event_timestamp") % 3 == 0) & F.col("event_date").isin(DB.days_between(FIRST_DAY, LAST_DAY)[2:4])))
     touches, conv = A._touches(A.AttributionInputs(None, mixed, phones), WINDOW, A.TEST_DRIVE_CONVERSION, False)
     assert rows(A.first_paid_touch(*TS.touches_from_state(spark, scratch, phones, WINDOW))) == rows(A.first_paid_touch(touches, conv))
     TS.compact(spark, scratch, FIRST_DAY, LAST_DAY)
-    assert TS.published_days(spark, scratch).select("attempt").distinct().count() == 1
+    assert DB.published_days(spark, scratch).select("attempt").distinct().count() == 1
     assert rows(A.first_paid_touch(*TS.touches_from_state(spark, scratch, phones, WINDOW))) == rows(A.first_paid_touch(touches, conv))
 
 
@@ -87,7 +88,7 @@ def test_a_build_that_dies_changes_nothing(spark, given, scratch):
 
 def test_a_missing_day_is_an_error(spark, given, scratch):
     TS.update(given[0], scratch, FIRST_DAY)
-    with pytest.raises(ValueError, match="without a state"):
+    with pytest.raises(ValueError, match="without a build"):
         TS.read_state(spark, scratch, FIRST_DAY, LAST_DAY)
 
 

@@ -72,6 +72,11 @@ def channel_users(events: DataFrame, approx_rsd: float | None = None) -> DataFra
     per_medium = events.groupBy(
         "event_date", "event_name", leaf_column(events, "traffic_medium").alias("medium")
     ).agg(_distinct_users(approx_rsd).alias("users"))
+    return channel_sums(per_medium)
+
+
+def channel_sums(per_medium: DataFrame) -> DataFrame:
+    """The sums of ``channel_users`` from event_date, event_name, medium and users."""
     ch = per_medium.select(
         "event_date", "event_name",
         channel_grouping("medium").alias("default_channel_grouping"), "users",

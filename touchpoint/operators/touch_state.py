@@ -12,55 +12,33 @@ Users are kept, not phones: a user who leaves a phone later is found in earlier
 and a change of the phone map needs no rebuild. Rows of a user's session are few, so the
 state grows with sessions, not with events, and a daily run reads one day of events.
 
-A build is written as a new attempt below ``root`` and published by one append of a row per
-day; the last published attempt of a day counts. A build that dies changes nothing, one
-that is run again (late events, a replay) replaces its days.
+A build dies without a trace or is published whole, and one that is run again (late events,
+a replay) replaces its days (``sources.day_builds``).
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchpoint.functions.params import param_column
-from touchpoint.functions.timeutil import LEAD_TZ, day_text, micros_to_ntz, to_local
+from touchpoint.functions.timeutil import LEAD_TZ, micros_to_ntz, to_local
 from touchpoint.functions.utm import extract_utm, is_non_paid
 from touchpoint.operators import attribution as A
+from touchpoint.sources import day_builds as DB
 
 FIRST, LAST = "first_paid", "last_source"
 CONVERSIONS = (A.TEST_DRIVE_CONVERSION, A.BROCHURE_CONVERSION)
 KEYS = ["event_date", "user_pseudo_id", "ga_session_id"]
 
 
-def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields])
-
-
-_ID = [("user_pseudo_id", T.StringType()), ("ga_session_id", T.LongType())]
-_FOLDERS = [("attempt", T.StringType()), ("event_date", T.StringType())]
-TOUCHES = _schema(*_ID, ("log_time", T.TimestampNTZType()), *[(c, T.StringType()) for c in A.UTM_COLS], *_FOLDERS, ("kind", T.StringType()))
-CONVERTING = _schema(*_ID, ("event_name", T.StringType()), *_FOLDERS)
-DAYS = _schema(("event_date", T.StringType()), ("attempt", T.StringType()), ("published_at", T.TimestampType()))
-
-
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def _days_between(day_from: str, day_to: str) -> list[str]:
-    first, last = (dt.datetime.strptime(d, "%Y%m%d").date() for d in (day_from, day_to))
-    return [day_text(first + dt.timedelta(days=k)) for k in range((last - first).days + 1)]
+_ID = [T.StructField("user_pseudo_id", T.StringType()), T.StructField("ga_session_id", T.LongType())]
+_FIELDS = [T.StructField("log_time", T.TimestampNTZType()), *[T.StructField(c, T.StringType()) for c in A.UTM_COLS]]
+TOUCHES = T.StructType([*_ID, *_FIELDS, *DB.FOLDERS, T.StructField("kind", T.StringType())])
+CONVERTING = T.StructType([*_ID, T.StructField("event_name", T.StringType()), *DB.FOLDERS])
 
 
 def _of_days(events: DataFrame, day_from: str, day_to: str) -> DataFrame:
@@ -93,21 +71,11 @@ def day_conversions(events: DataFrame, day_from: str, day_to: str, names: Sequen
     return _of_days(events, day_from, day_to).where(F.col("event_name").isin(*names)).select(*KEYS, "event_name").distinct()
 
 
-def _store(df: DataFrame, root: str, name: str, attempt: str, by: list[str], files_per_day: int) -> None:
-    bucket = F.pmod(F.xxhash64("user_pseudo_id", "ga_session_id"), F.lit(files_per_day))
-    df.repartition("event_date", bucket).write.partitionBy(*by).parquet(f"{root}/{name}/attempt={attempt}")
-
-
-def _publish(spark: SparkSession, root: str, attempt: str, days: list[str]) -> None:
-    record = spark.createDataFrame([(d, attempt) for d in days], "event_date string, attempt string")
-    record.withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/days")
-
-
 def stage(events: DataFrame, root: str, day_from: str, day_to: str, kinds: Sequence[str] = (FIRST, LAST), files_per_day: int = 8) -> str:
     """Build the days into a new attempt that no reader sees yet."""
-    attempt = uuid.uuid4().hex
-    _store(day_touches(events, day_from, day_to, kinds), root, "touches", attempt, ["event_date", "kind"], files_per_day)
-    _store(day_conversions(events, day_from, day_to), root, "conversions", attempt, ["event_date"], files_per_day)
+    attempt, spread = DB.new_attempt(), ["user_pseudo_id", "ga_session_id"]
+    DB.store(day_touches(events, day_from, day_to, kinds), root, "touches", attempt, ["kind"], spread, files_per_day)
+    DB.store(day_conversions(events, day_from, day_to), root, "conversions", attempt, [], spread, files_per_day)
     return attempt
 
 
@@ -116,50 +84,23 @@ def update(events: DataFrame, root: str, day_from: str, day_to: str | None = Non
     state holds of these days."""
     day_to = day_to or day_from
     attempt = stage(events, root, day_from, day_to, kinds, files_per_day)
-    _publish(events.sparkSession, root, attempt, _days_between(day_from, day_to))
-
-
-def published_days(spark: SparkSession, root: str) -> DataFrame:
-    """event_date, attempt: the last published build of each day."""
-    last = _read(spark, f"{root}/days", DAYS).groupBy("event_date").agg(F.max(F.struct("published_at", "attempt")).alias("r"))
-    return last.select("event_date", F.col("r.attempt").alias("attempt"))
+    DB.publish(events.sparkSession, root, attempt, DB.days_between(day_from, day_to))
 
 
 def read_state(spark: SparkSession, root: str, day_from: str, day_to: str, kind: str = FIRST) -> tuple[DataFrame, DataFrame]:
-    """(touches, conversions) of the days; raises ``ValueError`` if one was never built. The
-    list of days and attempts (a row per day) becomes a filter on the folders."""
-    known = {r["event_date"]: r["attempt"] for r in published_days(spark, root).where(F.col("event_date").between(day_from, day_to)).collect()}
-    missing = [d for d in _days_between(day_from, day_to) if d not in known]
-    if missing:
-        raise ValueError(f"days without a state: {missing[:5]}{' ...' if len(missing) > 5 else ''}")
-    of_attempt: dict[str, list[str]] = {}
-    for day, attempt in known.items():
-        of_attempt.setdefault(attempt, []).append(day)
-    # days of one build lie side by side, so the filter has two bounds per stretch
-    wanted = F.lit(False)
-    for attempt, days in sorted(of_attempt.items()):
-        wanted = wanted | ((F.col("attempt") == attempt) & _stretches(sorted(days)))
-    touches = _read(spark, f"{root}/touches", TOUCHES).where(wanted & (F.col("kind") == kind))
-    return touches.drop("attempt", "kind"), _read(spark, f"{root}/conversions", CONVERTING).where(wanted).drop("attempt")
-
-
-def _stretches(days: list[str]):
-    """``event_date`` lies in ``days`` (sorted), as ranges."""
-    cond, start = F.lit(False), days[0]
-    for day, after in zip(days, [*days[1:], None]):
-        if after is None or after not in _days_between(day, after)[:2]:
-            cond = cond | F.col("event_date").between(start, day)
-            start = after
-    return cond
+    """(touches, conversions) of the days; raises ``ValueError`` if one was never built."""
+    wanted = DB.folders(spark, root, day_from, day_to)
+    touches = DB.read_or_empty(spark, f"{root}/touches", TOUCHES).where(wanted & (F.col("kind") == kind))
+    return touches.drop("attempt", "kind"), DB.read_or_empty(spark, f"{root}/conversions", CONVERTING).where(wanted).drop("attempt")
 
 
 def compact(spark: SparkSession, root: str, day_from: str, day_to: str, files_per_day: int = 1) -> None:
     """Write the days again as one build with fewer files, once they no longer change."""
-    attempt = uuid.uuid4().hex
+    attempt, spread = DB.new_attempt(), ["user_pseudo_id", "ga_session_id"]
     both = [read_state(spark, root, day_from, day_to, k)[0].withColumn("kind", F.lit(k)) for k in (FIRST, LAST)]
-    _store(both[0].unionByName(both[1]), root, "touches", attempt, ["event_date", "kind"], files_per_day)
-    _store(read_state(spark, root, day_from, day_to)[1], root, "conversions", attempt, ["event_date"], files_per_day)
-    _publish(spark, root, attempt, _days_between(day_from, day_to))
+    DB.store(both[0].unionByName(both[1]), root, "touches", attempt, ["kind"], spread, files_per_day)
+    DB.store(read_state(spark, root, day_from, day_to)[1], root, "conversions", attempt, [], spread, files_per_day)
+    DB.publish(spark, root, attempt, DB.days_between(day_from, day_to))
 
 
 def touches_from_state(

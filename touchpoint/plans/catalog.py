@@ -29,6 +29,7 @@ from touchpoint.operators import quality as Q
 from touchpoint.operators import relational as R
 from touchpoint.operators import reports as RP
 from touchpoint.operators import touch_state as TS
+from touchpoint.operators import user_sketches as US
 from touchpoint.session import shared_folder
 from touchpoint.sources import fixtures as FX
 
@@ -419,6 +420,28 @@ def q_channel_users(spark, d):
     return RP.channel_users(FX.ga_events(spark, d))
 
 
+def _user_sketches(spark, events) -> DataFrame:
+    """Sketches of all days of ``events``, stored by two builds and read back."""
+    root = f"{shared_folder(spark)}/user-sketches-{uuid.uuid4().hex}"
+    days = events.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
+    if days["first"] is None:
+        return US.day_sketches(events, "0", "0")
+    US.update(events, root, days["first"], days["last"])
+    US.update(events, root, days["last"])  # the newest day once more, as a daily run does
+    return US.read_sketches(spark, root, days["first"], days["last"])
+
+
+def q_monthly_users_sketched(spark, d):
+    events = FX.ga_events_by_month(spark, d)
+    return US.within_bound(RP.monthly_users(events), US.monthly_users(_user_sketches(spark, events)), ["month_year"])
+
+
+def q_channel_users_sketched(spark, d):
+    events = FX.ga_events(spark, d)
+    keys = ["event_date", "event_name", "default_channel_grouping"]
+    return US.within_bound(RP.channel_users(events), US.channel_users(_user_sketches(spark, events)), keys)
+
+
 def q_event_log_between(spark, d):
     return RP.event_log_between(FX.ga_events(spark, d), EVENT_LOG_RANGES)
 

@@ -648,6 +648,9 @@ SELECT event_date, event_name, {_channel('medium')} AS default_channel_grouping,
 FROM (SELECT event_date, event_name, medium, count(*) AS n
       FROM (SELECT DISTINCT event_date, event_name, medium, user_pseudo_id FROM ga_events) GROUP BY ALL)
 GROUP BY ALL""")
+    o["monthly_users_sketched"] = f"SELECT month_year, total_users, true AS within_bound FROM ({o['monthly_users']})"
+    o["channel_users_sketched"] = f"""SELECT event_date, event_name, default_channel_grouping, total_users, true AS within_bound
+FROM ({o['channel_users']})"""
     wanted = " OR ".join(f"(starts_with(event_date, '{p}') AND event_date >= '{low}')" for p, low in C.EVENT_LOG_RANGES)
     o["event_log_between"] = _with(body=f"""
 SELECT {_day_text('%d-%m-%Y')} AS event_date, user_pseudo_id, event_name FROM ga_events WHERE {wanted}""")
