@@ -115,6 +115,43 @@ def test_snapshot_reader_reads_one_folder(spark, scratch):
     assert "PartitionFilters: [isnotnull(snapshot_date" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_snapshot_as_of_a_day_reads_one_folder(spark, scratch):
+    import datetime as dt
+
+    from touchpoint.sources import schemas as S
+    from touchpoint.sources.tables import read_snapshot_as_of, write_snapshot
+
+    def day(d, n):
+        return spark.createDataFrame([(f"c{k}", f"{d}", "n") for k in range(n)], S.CUSTOMERS), dt.date(2024, 1, d)
+
+    for d, n in ((3, 5), (7, 4), (9, 3)):
+        df, at = day(d, n)
+        write_snapshot(df, f"{scratch}/snap", at)
+    write_snapshot(day(7, 2)[0], f"{scratch}/snap", dt.date(2024, 1, 7))  # replaced
+    got = {d: [r["email"] for r in read_snapshot_as_of(spark, f"{scratch}/snap", S.CUSTOMERS, dt.date(2024, 1, d)).collect()] for d in (2, 3, 6, 7, 8, 30)}
+    assert got == {2: [], 3: ["3"] * 5, 6: ["3"] * 5, 7: ["7"] * 2, 8: ["7"] * 2, 30: ["9"] * 3}
+    df = read_snapshot_as_of(spark, f"{scratch}/snap", S.CUSTOMERS, dt.date(2024, 1, 8))
+    df.collect()
+    assert len(df.select("_metadata.file_path").distinct().collect()) == len([f for f in os.listdir(f"{scratch}/snap/snapshot_date=2024-01-07") if f.endswith(".parquet")])
+    assert "PartitionFilters: [isnotnull(snapshot_date" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_join_needs_no_exchange(spark):
+    from touchpoint.operators.attribution import registered_events
+    from touchpoint.plans import catalog as C
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = C.q_registered_events_bucketed(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Bucketed: true" in plan
+        plain = registered_events(C.FX.ga_events(spark, SF), C.FX.phone_map(spark, SF), *C._window().event_days())
+        assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(plain.columns, [tuple(r) for r in plain.collect()])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_checks_tell_the_operators_apart(spark):
     """The derived tables hold the cases that separate rules which otherwise agree."""
     sf = "/root/testdata/sf0.01"

@@ -32,6 +32,8 @@ from touchpoint.operators import touch_state as TS
 from touchpoint.operators import user_sketches as US
 from touchpoint.session import shared_folder
 from touchpoint.sources import fixtures as FX
+from touchpoint.sources import schemas as S
+from touchpoint.sources import tables as TB
 
 # ---- operator parameters used by the registered queries
 AS_OF = dt.date(2024, 1, 31)
@@ -56,6 +58,9 @@ FRESH_AS_OF = dt.date(2001, 8, 2)
 STALE_AS_OF = dt.date(2030, 1, 1)
 FRESH_DAYS = 3
 SAMPLE_N = 100
+JOIN_BUCKETS = 16
+SNAPSHOT_DAYS = [dt.date(2023, 11, 27), dt.date(2023, 11, 29), dt.date(2023, 12, 2)]
+SNAPSHOT_AS_OF = dt.date(2023, 11, 30)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -197,6 +202,15 @@ def q_registered_events(spark, d):
     return _registered(spark, d)
 
 
+def q_registered_events_bucketed(spark, d):
+    """Events and phone map bucketed by user: the join of every later day needs no exchange."""
+    run = uuid.uuid4().hex
+    root = f"{shared_folder(spark)}/bucketed-{run}"
+    events = TB.save_bucketed(TB.flatten_events(FX.ga_events(spark, d)), f"web_events_{run}", f"{root}/events", "user_pseudo_id", JOIN_BUCKETS)
+    phones = TB.save_bucketed(FX.phone_map(spark, d), f"phone_map_{run}", f"{root}/phones", "user_pseudo_id", JOIN_BUCKETS)
+    return A.registered_events(events, phones, *_window().event_days())
+
+
 def q_conversion_sessions_join(spark, d):
     days = _window().event_days()
     return A.conversion_sessions_join(FX.ga_events(spark, d), _registered(spark, d), *days)
@@ -358,6 +372,37 @@ def q_single_touch_users_unknown(spark, d):
     return AU.single_touch_users(_journey(spark, d), FX.active_customers(spark, d))
 
 
+def q_snapshot_as_of(spark, d):
+    """The customers of the newest snapshot not after a day; each day lacks other customers."""
+    path = f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}"
+    for k, day in enumerate(SNAPSHOT_DAYS):
+        TB.write_snapshot(FX.customers(spark, d).where(F.col("customer_id").cast("long") % 5 != k), path, day)
+    return TB.read_snapshot_as_of(spark, path, S.CUSTOMERS, SNAPSHOT_AS_OF)
+
+
+def _activity_keys(spark, d, kind):
+    return FX.activity(spark, d, kind).select("customer_id").distinct()
+
+
+def q_not_in_subquery(spark, d):
+    """Customers without a sign-up, by ``NOT IN``."""
+    known = _activity_keys(spark, d, "signup").where(F.col("customer_id").isNotNull())
+    return R.not_in(FX.customers(spark, d), "customer_id", known, "customer_id").select("customer_id")
+
+
+def q_not_in_with_null(spark, d):
+    """No row: the subquery holds a NULL."""
+    null = spark.createDataFrame([(None,)], "customer_id string")
+    return R.not_in(FX.customers(spark, d), "customer_id", _activity_keys(spark, d, "signup").unionByName(null), "customer_id").select("customer_id")
+
+
+def q_not_in_empty(spark, d):
+    """Every row, NULL keys too: the subquery is empty."""
+    outer = FX.customers(spark, d).select(F.when(F.col("customer_id").cast("long") % 4 > 0, F.col("customer_id")).alias("customer_id"))
+    none = _activity_keys(spark, d, "signup").where(F.col("customer_id") == "no such customer")
+    return R.not_in(outer, "customer_id", none, "customer_id")
+
+
 def q_multi_touch_users(spark, d):
     return AU.multi_touch_users(_journey(spark, d), FX.active_customers(spark, d))
 

@@ -554,6 +554,7 @@ FROM td_leads WHERE {_local('created_utc')} > {after} AND {_local('created_utc')
     o["registered_events"] = _with(drive, body=f"""
 SELECT user_pseudo_id, phone_no, log_time, page_location, sid AS ga_session_id,
        {flag.format(f"event_name = {_q(TEST_DRIVE)}")} FROM visit""")
+    o["registered_events_bucketed"] = o["registered_events"]
     o["conversion_sessions_join"] = _with(drive, body=f"""
 SELECT v.user_pseudo_id, phone_no, v.log_time, v.sid AS ga_session_id, v.page_location,
        CASE WHEN c.sid IS NOT NULL THEN 'conv' END AS conv_flag
@@ -607,6 +608,16 @@ FROM (SELECT 'start' AS batch_id, NULL AS window_from, NULL AS window_to, create
     o["multi_touch_users"] = _with(journey, body="FROM several")
     o["segment_counts"] = _with(journey, body="""
 SELECT tracking_type, count(*) AS total_active_user FROM (FROM single UNION ALL FROM several) GROUP BY ALL""")
+    newest = max(k for k, day in enumerate(C.SNAPSHOT_DAYS) if day <= C.SNAPSHOT_AS_OF)
+    o["snapshot_as_of"] = _with(body=f"""
+SELECT customer_id, email, name, DATE '{C.SNAPSHOT_DAYS[newest]}' AS snapshot_date FROM customers WHERE customer_id::BIGINT % 5 <> {newest}""")
+    o["not_in_subquery"] = _with(body="""
+SELECT customer_id FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM signed WHERE customer_id IS NOT NULL)""")
+    o["not_in_with_null"] = _with(body="""
+SELECT customer_id FROM customers WHERE customer_id NOT IN (SELECT customer_id FROM signed UNION ALL SELECT NULL)""")
+    o["not_in_empty"] = _with(body="""
+SELECT customer_id FROM (SELECT CASE WHEN customer_id::BIGINT % 4 > 0 THEN customer_id END AS customer_id FROM customers)
+WHERE customer_id NOT IN (SELECT customer_id FROM signed WHERE customer_id = 'no such customer')""")
     signed = _active("signed", C.AUD_START, C.AUD_END, "[]")
     o["source_audience"] = _with(body=f"SELECT DISTINCT * FROM ({signed})")
     o["activity_on_day"] = _with(body=f"""

@@ -66,6 +66,34 @@ def read_snapshot(
     return df.where(F.col("snapshot_date") == F.lit(snapshot_date)).drop("snapshot_date")
 
 
+def read_snapshot_as_of(
+    spark: SparkSession, path: str, schema: T.StructType, day: dt.date
+) -> DataFrame:
+    """The newest day not after ``day`` of a table partitioned by ``snapshot_date``, with that
+    date as a column; empty if there is none. The date is looked up among the partition
+    values, and only its folder is read."""
+    dated = T.StructType([*schema.fields, T.StructField("snapshot_date", T.DateType())])
+    df = spark.read.schema(dated).parquet(path)
+    newest = df.where(F.col("snapshot_date") <= F.lit(day)).select(F.max("snapshot_date"))
+    return df.where(F.col("snapshot_date") == newest.scalar())
+
+
+def write_snapshot(df: DataFrame, path: str, snapshot_date: dt.date) -> None:
+    """Write one day of a dated table; a day that is there already is replaced."""
+    dated = df.withColumn("snapshot_date", F.lit(snapshot_date))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as table ``name``, bucketed by ``key``: joins of tables with equal buckets need
+    no exchange. One task writes a bucket, as one file; choose ``buckets`` so that a bucket
+    of the larger table fits a task. A key that holds a large share of the rows stays one
+    bucket: leave such tables to the salted joins."""
+    spread = df.repartition(buckets, key)
+    spread.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
