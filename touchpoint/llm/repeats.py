@@ -17,9 +17,12 @@ the corpus. Equal strings must meet in one task, and an index must stay small, s
    a run the match of the next position is the last one's less its first byte, so the
    matching statistics stream from the samples alone; matches of LENGTH bytes are marked.
 4. An anchor with more than ``HOT_BYTES`` of different stretches (the edge of a passage
-   that a third of the corpus shares) does not fit one task. Its windows are split by
-   their distance from the anchor into steps of ``STEP``; those whose common core of
-   LENGTH - STEP + 1 bytes occurs once are dropped, the rest are counted window by window.
+   that a third of the corpus shares) does not fit one task. Equal windows have equal
+   distances from their anchor, so its stretches are cut into parts of ``STEP`` distances;
+   equal windows of a part share the core of LENGTH - STEP + 1 bytes that all its windows
+   cover. Parts whose core occurs once are dropped, the others meet by their core and are
+   indexed as in 3. If those of one core are still too many, they are cut into finer parts,
+   down to single windows, which are equal where their core is.
 5. Marks go back to all copies of their stretches and are joined into spans per document.
 
 Hashes are 64 bits and only compared under one anchor of 64 bits.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,8 @@ LENGTH = 400
 PIECE = 48
 BATCH_BYTES = 1 << 20
 HOT_BYTES = 4 << 20
-STEP = 32
+#: Windows of a part of a hot anchor's stretch, and by how much finer parts are cut.
+STEP, FINER = 32, 8
 #: Bytes of a document worked on at a time; longer ones are cut with LENGTH - 1 bytes of overlap.
 CHUNK = 1 << 19
 #: Documents up to which their keys are broadcast to pick texts; beyond, texts are shuffled.
@@ -243,15 +248,20 @@ def marked_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+MARKS = "anchor long, content long, first long, end long"
+
+
 def indexed_marks(parts: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, first, end): runs of repeated windows in stretches, by index."""
+    """(anchor, content, first, end): runs of repeated windows, by index. ``parts``: grp,
+    anchor, content, base, bytes; only strings of one group can have windows in common, and
+    ``base`` is the window of the stretch that the string begins with."""
 
-    def marks(keys: list[tuple[int, int]], strings: list[bytes]) -> list[tuple[int, int, int, int]]:
+    def marks(keys: list[tuple[int, int, int]], strings: list[bytes]) -> list[tuple[int, int, int, int]]:
         index, begins = run_index(strings)
         flags = matching_statistics(index) >= length
         out = []
-        for (anchor, content), b, s in zip(keys, begins, strings, strict=True):
-            out += [(anchor, content, int(x), int(y)) for x, y in zip(*marked_runs(flags[b : b + len(s)]), strict=True)]
+        for (anchor, content, base), b, s in zip(keys, begins, strings, strict=True):
+            out += [(anchor, content, base + int(x), base + int(y)) for x, y in zip(*marked_runs(flags[b : b + len(s)]), strict=True)]
         return out
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -260,63 +270,76 @@ def indexed_marks(parts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, strings, held, last = [], [], 0, None
         for batch in batches:
-            for anchor, content, data in zip(batch.column("anchor").to_pylist(), batch.column("content").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                if held >= BATCH_BYTES and anchor != last:
+            for group, anchor, content, base, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "anchor", "content", "base", "bytes")), strict=True):
+                if held >= BATCH_BYTES and group != last:
                     if found := marks(keys, strings):
                         yield batch_of(found)
                     keys, strings, held = [], [], 0
-                keys.append((anchor, content))
+                keys.append((anchor, content, base))
                 strings.append(data)
                 held += len(data)
-                last = anchor
+                last = group
         if keys and (found := marks(keys, strings)):
             yield batch_of(found)
 
-    dealt = parts.select("anchor", "content", "bytes").repartition("anchor").sortWithinPartitions("anchor", "content")
-    return dealt.mapInArrow(run, "anchor long, content long, first long, end long")
+    dealt = parts.select("grp", "anchor", "content", "base", "bytes").repartition("grp").sortWithinPartitions("grp", "anchor", "content", "base")
+    return dealt.mapInArrow(run, MARKS)
+
+
+def cores(parts: DataFrame, length: int, step: int) -> DataFrame:
+    """(anchor, content, base, part, code): the hash of the core of every part of the strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[np.ndarray] = []
+            for anchor, content, place, base, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "place", "base", "bytes")), strict=True):
+                data = np.frombuffer(data, np.uint8)
+                own = place - base  # the anchor's place in the string
+                part = np.unique((own - np.arange(len(data) - length + 1)) // step)
+                begin = own - part * step
+                code = span_hashes(prefix_hashes(data), np.maximum(begin, 0), np.minimum(begin + length - step + 1, len(data)))
+                k = len(part)
+                rows.append(np.stack([np.full(k, anchor), np.full(k, content), np.full(k, base), part, code.astype(np.int64)]))
+                if len(rows) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(rows, 1)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(rows, 1)], names)
+
+    names = ["anchor", "content", "base", "part", "code"]
+    return parts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def hot_marks(parts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors whose stretches do not fit one task, by counting: first the
-    cores of STEP windows, then the windows of the cores found twice."""
-    step = min(STEP, length)
-
-    def hashes(wanted: str) -> str:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: list[np.ndarray] = []
-                for r in range(batch.num_rows):
-                    data = np.frombuffer(batch.column("bytes")[r].as_py(), np.uint8)
-                    place, n = batch.column("place")[r].as_py(), len(data) - length + 1
-                    prefix = prefix_hashes(data)
-                    window = np.arange(n)
-                    part = (place - window) // step  # by distance from the anchor
-                    if wanted == "core":
-                        # windows of one part begin at most step - 1 apart; they share these bytes
-                        part = np.unique(part)
-                        begin = place - part * step
-                        a, b = np.maximum(begin, 0), np.minimum(begin + length - step + 1, len(data))
-                        code = span_hashes(prefix, a, b)
-                        window = begin
-                    else:
-                        keep = np.isin(part, batch.column("parts")[r].values.to_numpy())
-                        window, part = window[keep], part[keep]
-                        code = span_hashes(prefix, window, window + length)
-                    k = len(code)
-                    rows.append(np.stack([np.full(k, batch.column("anchor")[r].as_py()), np.full(k, batch.column("content")[r].as_py()), part, window, code.astype(np.int64)]))
-                    if len(rows) >= 256 or r + 1 == batch.num_rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(rows, 1)], ["anchor", "content", "part", "window", "code"])
-                        rows = []
-
-        return run
-
-    schema = "anchor long, content long, part long, window long, code long"
-    cores = written(parts.mapInArrow(hashes("core"), schema), "cores")
-    twice = cores.groupBy("anchor", "part", "code").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
-    alive = cores.join(twice, ["anchor", "part", "code"]).groupBy("anchor", "content").agg(F.collect_list("part").alias("parts"))
-    windows = written(parts.join(alive, ["anchor", "content"]).mapInArrow(hashes("window"), schema), "windows")
-    repeated = windows.groupBy("anchor", "code").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
-    return windows.join(repeated, ["anchor", "code"]).select("anchor", "content", F.col("window").alias("first"), (F.col("window") + 1).alias("end"))
+    """The same for anchors whose stretches do not fit one task; ``parts`` has place besides."""
+    step, marks = min(STEP, length), []
+    while True:
+        found = written(cores(parts, length, step), "cores")
+        twice = found.groupBy("anchor", "part", "code").agg(F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
+        shared = found.join(twice, ["anchor", "part", "code"])
+        own = F.col("place") - F.col("base")
+        # the windows of a part: from its farthest distance to its nearest, inside the string
+        low = F.greatest(own - (F.col("part") + 1) * step + 1, F.lit(0))
+        high = F.least(own - F.col("part") * step, F.octet_length("bytes") - length)
+        cut = parts.join(shared, ["anchor", "content", "base"]).select(
+            F.xxhash64("anchor", "part", "code").alias("grp"),
+            "anchor",
+            "content",
+            "place",
+            (F.col("base") + low).alias("base"),
+            F.substr(F.col("bytes"), (low + 1).cast("int"), (high - low + length).cast("int")).alias("bytes"),
+        )
+        if step == 1:  # a core is the window: equal cores are repeated windows
+            marks.append(cut.select("anchor", "content", F.col("base").alias("first"), (F.col("base") + 1).alias("end")))
+            break
+        cut = written(cut, "parts")
+        large = written(cut.groupBy("grp").agg(F.sum(F.octet_length("bytes")).alias("b")).where(F.col("b") > HOT_BYTES).select("grp"), "large-groups")
+        if not large.limit(1).count():
+            marks.append(indexed_marks(cut, length))
+            break
+        marks.append(indexed_marks(cut.join(large, "grp", "left_anti"), length))
+        parts, step = written(cut.join(large, "grp", "left_semi").drop("grp"), "hot-parts"), max(1, step // FINER)
+    return reduce(DataFrame.unionByName, marks)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
@@ -332,9 +355,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     whole = kinds.where(F.col("copies") > 1).select("anchor", "content", F.lit(0).cast("long").alias("first"), F.col("one.n").cast("long").alias("end"))
     mixed = written(shared.where(F.col("kinds") > 1).select("anchor", "content", "one.*", (F.col("bytes") > HOT_BYTES).alias("hot")), "mixed")
     parts = written(cut_out(rows, mixed.drop("hot"), length).join(mixed.select("anchor", "content", "hot"), ["anchor", "content"]), "parts")
+    parts = parts.withColumns({"base": F.lit(0).cast("long"), "grp": F.col("anchor")})
     marks = whole.unionByName(indexed_marks(parts.where(~F.col("hot")), length))
     if parts.where("hot").limit(1).count():
-        marks = marks.unionByName(hot_marks(parts.where("hot").drop("hot"), length))
+        marks = marks.unionByName(hot_marks(parts.where("hot").drop("hot", "grp"), length))
     # a written table beside a scan: a stretch with many copies is a join that Spark can split
     by_stretch = written(marks.groupBy("anchor", "content").agg(F.collect_set(F.struct("first", "end")).alias("runs")), "marks")
     hits = found.join(by_stretch, ["anchor", "content"]).select(*KEY, F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["end"] + length - 1).alias("end"))).alias("spans"))
