@@ -103,7 +103,9 @@ def test_load_once(spark, scratch):
     assert first.where("fullname IS NULL OR phone IS NULL OR email IS NULL OR city IS NULL").count() > 0
     assert L.load_once(spark, inp, root, C.AS_OF, C.LOOKBACK_DAYS) == (window, False)
     assert L.read_published(spark, root).count() == n  # leads with NULL columns too
-    # by watermark: nothing newer than the newest lead
+    # by watermark, read off the ledger: nothing newer than the newest lead
+    plan = L.watermark(spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dealer_name" not in plan and L.watermark(spark, root).first()["newest"] == first.agg(F.max("created_at")).first()[0]
     later, wrote = L.load_once(spark, inp, root, C.AS_OF, None)
     assert later.lower == first.agg(F.max("created_at")).first()[0] and L.read_published(spark, root).count() == n
 

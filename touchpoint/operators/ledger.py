@@ -5,7 +5,7 @@ Layout below one folder on shared storage:
 * ``rows/batch_id=.../attempt=.../created_date=.../*.parquet``: staged rows. A load writes to
   a new attempt each time it runs, so it never meets the files of a run that died.
 * ``ledger/*.parquet``: one row per published batch (batch id, attempt, window, rows, days,
-  files). Appending that single row is the commit: it appears whole or not at all.
+  newest lead, files). Appending that single row is the commit: it appears whole or not at all.
 
 Readers see the rows of published attempts only, so a load that dies between write and
 publish leaves no row. A batch id names the load (method and window), so a load that is run
@@ -38,6 +38,7 @@ LEDGER = T.StructType(
         T.StructField("n_rows", T.LongType()),
         T.StructField("first_day", T.DateType()),
         T.StructField("last_day", T.DateType()),
+        T.StructField("newest", T.TimestampNTZType()),
         T.StructField("files", T.ArrayType(FILE)),
         T.StructField("published_at", T.TimestampType()),
     ]
@@ -75,12 +76,13 @@ def publish(spark: SparkSession, root: str, batch: str, attempt: str, window: A.
     """Make a staged attempt visible by one ledger row, counted from its files."""
     staged = spark.read.schema(SINK_SCHEMA).parquet(f"{root}/rows/batch_id={batch}/attempt={attempt}")
     per_file = staged.groupBy(F.input_file_name().alias("file")).agg(
-        F.count("*").alias("n"), F.min(PARTITION_COL).alias("first"), F.max(PARTITION_COL).alias("last")
+        F.count("*").alias("n"), F.min(PARTITION_COL).alias("first"), F.max(PARTITION_COL).alias("last"), F.max("created_at").alias("newest")
     )
     record = per_file.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.min("first").alias("first_day"),
         F.max("last").alias("last_day"),
+        F.max("newest").alias("newest"),
         F.array_sort(F.collect_list(F.struct("file", F.col("n").alias("n_rows")))).alias("files"),
     )
     lower, upper = (ntz_lit(d) if d else F.lit(None).cast("timestamp_ntz") for d in ((window.lower, window.upper) if window else (None, None)))
@@ -118,6 +120,12 @@ def unpublished(spark: SparkSession, root: str) -> DataFrame:
     return staged.join(read_ledger(spark, root).select("attempt"), "attempt", "left_anti").select("batch_id", "attempt", "n_rows")
 
 
+def watermark(spark: SparkSession, root: str) -> DataFrame:
+    """newest: the newest ``created_at`` of the sink, from the ledger's rows alone (one per
+    batch); no row of the sink is read."""
+    return read_ledger(spark, root).agg(F.max("newest").alias("newest"))
+
+
 def is_published(spark: SparkSession, root: str, batch: str) -> bool:
     return bool(_read(spark, f"{root}/ledger", LEDGER).where(F.col("batch_id") == batch).limit(1).count())
 
@@ -142,10 +150,15 @@ def load_once(
     null_safe: bool = False,
 ) -> tuple[A.LoadWindow, bool]:
     """Attribute the leads of the window that the published sink does not hold and append
-    them, once. Returns the window and whether anything was written. Leads with a NULL
+    them, once. ``lookback_days=None`` starts at the ledger's watermark (``bootstrap`` if there
+    is none). Returns the window and whether anything was written. Leads with a NULL
     identifying column are "new" to every load, but a load that is replayed adds none."""
     sink = read_published(spark, root)
-    window = A.watermark_bounds(sink, as_of, bootstrap) if lookback_days is None else A.lookback_window(as_of, lookback_days)
+    if lookback_days is None:
+        newest = watermark(spark, root).first()["newest"]
+        window = A.LoadWindow(newest or bootstrap, dt.datetime.combine(as_of, dt.time(0)))
+    else:
+        window = A.lookback_window(as_of, lookback_days)
     batch = batch_id(window, method)
     if is_published(spark, root, batch):
         return window, False

@@ -32,6 +32,7 @@ from touchpoint.operators import touch_state as TS
 from touchpoint.operators import user_sketches as US
 from touchpoint.session import shared_folder
 from touchpoint.sources import fixtures as FX
+from touchpoint.sources import registry as RG
 from touchpoint.sources import schemas as S
 from touchpoint.sources import tables as TB
 
@@ -310,6 +311,21 @@ def q_load_ledger(spark, d):
                        F.aggregate("files", F.lit(0).cast("long"), lambda n, f: n + f["n_rows"]).alias("rows_in_files"))
 
 
+def q_ledger_watermark(spark, d):
+    """The newest lead of the sink, by its ledger."""
+    return LD.watermark(spark, _loads(spark, d))
+
+
+def q_attribute_by_names(spark, d):
+    """The flagship run from table names alone, each checked against its declared columns."""
+    names = RG.Registry()
+    for name, df in [("leads", FX.test_drive_leads(spark, d)), ("web_events", FX.ga_events(spark, d)),
+                     ("phone_map", FX.phone_map(spark, d)), ("matched_leads", FX.matched_sink(spark, d))]:
+        names.bind(name, df)
+    inp = A.AttributionInputs(*(names[n] for n in ("leads", "web_events", "phone_map", "matched_leads")))
+    return A.attribute_test_drive(inp, AS_OF, LOOKBACK_DAYS)
+
+
 def q_attribute_by_session_unchecked(spark, d):
     return A.attribute_test_drive(_inputs(spark, d), AS_OF, SHORT_LOOKBACK_DAYS,
                                   "best_per_session", exclude=False)

@@ -588,6 +588,8 @@ SELECT {sink_cols}, CAST(created_at AS DATE) AS created_date FROM
 SELECT batch_id, window_from, window_to, count(*) AS n_rows, min(created_at)::DATE AS first_day, max(created_at)::DATE AS last_day,
        count(*) AS rows_in_files
 FROM (SELECT 'start' AS batch_id, NULL AS window_from, NULL AS window_to, created_at FROM td_sink UNION ALL {added}) GROUP BY ALL""")
+    o["ledger_watermark"] = f"SELECT max(created_at) AS newest FROM ({o['sink_after_load']})"
+    o["attribute_by_names"] = o["attribute_test_drive"]
     since = _forms(None)
     o["attribute_by_phone"] = _with(since, _visits(None, TEST_DRIVE), _LAST_BY_PHONE, _joined(distinct=False), body="FROM lead_utm")
     o["attribute_since_watermark"] = _with(since, _visits(None, TEST_DRIVE, anyone=True), _LAST_BY_SESSION_ALL, _joined(), body="FROM lead_utm")
