@@ -35,6 +35,8 @@ def small_batches(spark: SparkSession) -> None:
 
 #: Rows kept for each row wanted, as the distinct keys are only estimated first.
 SAMPLE_SPARE = 1.5
+#: Groups up to which their sizes are broadcast.
+SAMPLE_GROUPS = 10_000
 
 
 def bounded_sample(df: DataFrame, keys: list[str], rows: int, per: str | None = None, last: str | None = None) -> DataFrame:
@@ -47,9 +49,11 @@ def bounded_sample(df: DataFrame, keys: list[str], rows: int, per: str | None =
     the estimate gives never leave their tasks."""
     steps, group = 1 << 40, F.lit(0) if per is None else F.col(per)
     marked = df.withColumns({"_group": group, "_order": F.xxhash64(*keys, F.lit("sample")), "_last": F.expr(last) if last else F.lit(False)})
-    sizes = marked.groupBy("_group", "_last").agg(F.approx_count_distinct("_order", 0.02).alias("n"))
+    sizes = written(marked.groupBy("_group", "_last").agg(F.approx_count_distinct("_order", 0.02).alias("n")), "group-sizes")
+    few = sizes.limit(SAMPLE_GROUPS + 1).count() <= SAMPLE_GROUPS
     share = sizes.select(F.col("_group").alias("_g"), F.col("_last").alias("_l"), (F.lit(rows * SAMPLE_SPARE + 50) / F.col("n")).alias("_share"))
-    low = marked.join(share, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_last") == F.col("_l"))).where(F.pmod("_order", F.lit(steps)) / steps < F.col("_share"))
+    # a row per group: beside it the rows stay where they are
+    low = marked.join(F.broadcast(share) if few else share, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_last") == F.col("_l"))).where(F.pmod("_order", F.lit(steps)) / steps < F.col("_share"))
     place = F.row_number().over(Window.partitionBy("_group").orderBy("_last", F.pmod("_order", F.lit(steps)), "_order"))
     one = low.dropDuplicates(["_group", "_order"]).withColumn("_place", place).where(F.col("_place") <= rows)
     return one.select(*df.columns)
