@@ -9,8 +9,8 @@
    sets that fit into a sketch. So of a node's values only the rarest k - k/2 + 1 are
    needed as keys: some of them lies in every linked node's keys too. Frequent passages
    thus join documents only where they make up more than half of them.
-3. All nodes of a list form a cloud around the least of them, the pivot. Every node is
-   compared with its pivot first. What is linked to it is linked to one another, so only
+3. All nodes of a list form a cloud around the pivot, the node whose values are the most
+   common. Every node is compared with its pivot first. What is linked to it is linked to one another, so only
    nodes that are not go on, and are compared with the cloud: a cloud of near copies takes
    rows in proportion to its nodes. Clouds are cut into blocks of ``BLOCK`` nodes; a task
    holds two blocks at most, whatever the size of the cloud.
@@ -128,10 +128,12 @@ def clouds(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     kept = F.least(F.first("n"), F.lit(k))
     keys = kept - F.ceil(kept / 2) + 1  # values that cannot all miss the other's half
     lone = kept - F.count("*")  # values in no other node: the rarest of all
-    by_node = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("values"), (keys - lone).cast("int").alias("take")).where(F.col("take") > 0)
-    entries = by_node.select("node", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e")).select("node", F.col("e.value").alias("value"))
-    entries = written(entries, "entries")
-    pivots = written(entries.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c"), "pivots")
+    by_node = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("values"), (keys - lone).cast("int").alias("take"), F.sum("c").alias("common"))
+    entries = by_node.where(F.col("take") > 0).select("node", "common", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"))
+    entries = written(entries.select("node", "common", F.col("e.value").alias("value")), "entries")
+    # the text that the others were made from has the most common values, and is near to most
+    middle = F.max(F.struct("common", "node"))["node"]
+    pivots = written(entries.groupBy("value").agg(middle.alias("pivot"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c"), "pivots")
     return entries.join(pivots, "value").select("pivot", "node").distinct()
 
 
