@@ -9,6 +9,7 @@ from touchpoint.operators.incremental import load_new_leads, read_sink
 from touchpoint.plans import catalog as C
 from touchpoint.sources import fixtures as FX
 from touchpoint.streaming import release_pending, start_lead_stream
+from touchpoint.streaming.lead_stream import late_runs, load_batch, read_pending, ready_windows
 
 SF = "/root/testdata/sf0.001"
 DAYS = [dt.date(2024, 1, 12), dt.date(2024, 1, 20), C.AS_OF]
@@ -86,6 +87,38 @@ def test_leads_of_an_open_day_wait_and_old_ones_are_taken(spark, scratch, tables
     assert after.count() > before and after.selectExpr("max(created_date)").first()[0] >= day
 
 
+def test_runs_of_late_days():
+    d = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    assert late_runs([], 18) == []
+    assert late_runs([d(40), d(0), d(18), d(0)], 18) == [(d(0), d(18)), (d(40), d(40))]
+
+
+def test_an_old_lead_does_not_stretch_the_events_of_others(spark, tables):
+    at = ["2001-02-03 04:00:00", "2023-12-01 01:00:00", "2023-12-10 01:00:00"]
+    one = tables[0].limit(1)
+    leads = one
+    for t in at:
+        leads = leads.unionByName(one.withColumn("created_at", F.expr(f"timestamp_ntz'{t}'")))
+    windows = ready_windows(leads.where("created_at < '2023-12-31'"), dt.date(2024, 1, 20), 18)
+    assert [w[1].event_days() for w in windows] == [
+        ("20240102", "20240119"), ("20010116", "20010203"), ("20231113", "20231210")]
+    # a lead at the very bound of the daily window belongs to the late ones, and to one window
+    edge = one.withColumn("created_at", ntz_lit(local_to_utc(dt.datetime(2024, 1, 2))))
+    windows = ready_windows(edge, dt.date(2024, 1, 20), 18)
+    assert [A.filter_window(edge, w[0]).count() for w in windows] == [0, 1]
+
+
+def test_leads_without_a_time_are_set_aside_once(spark, scratch, tables):
+    untimed = tables[0].limit(2).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    timed = tables[0].limit(1).withColumn("created_at", F.expr("timestamp_ntz'2030-01-01 00:00:00'"))
+    args = (tables[1], tables[2], f"{scratch}/sink", f"{scratch}/wait", dt.date(2024, 1, 20))
+    load_batch(spark, untimed.unionByName(timed), 0, *args)
+    load_batch(spark, timed.limit(0), 1, *args)
+    aside = lambda n: spark.read.parquet(f"{scratch}/wait-untimed/batch={n}").count()
+    assert (aside(0), aside(1)) == (2, 0)
+    assert read_pending(spark, f"{scratch}/wait/1").count() == 1
+
+
 def test_a_checkpoint_place_is_needed(spark, monkeypatch, tables):
     import touchpoint.streaming.lead_stream as L
 
