@@ -9,6 +9,7 @@ from test_attribution import first_paid, last_source, touch_rows
 from touchpoint.operators import attribution as A
 from pyspark.sql import functions as F
 from touchpoint.operators.relational import exclude_existing, frequent_values, left_join_split_nulls
+from touchpoint.sources import schemas as S
 
 SCHEMA = (
     "user_pseudo_id string, phone_no string, log_time timestamp_ntz, ga_session_id bigint, "
@@ -80,6 +81,33 @@ def test_hot_phones_are_found_and_spread(spark):
     assert n["62"] > 1 and n["6299"] > 1 and n["6277"] == 1
 
 
+EVENTS = "event_date string, event_timestamp bigint, event_name string, user_pseudo_id string, page_location string, ga_session_id bigint"
+
+
+def test_a_shortened_phone_of_many_leads_and_touches_makes_no_product(spark, monkeypatch):
+    """300 leads and 300 converting sessions share the phone 62."""
+    n, day = 300, dt.datetime(2024, 1, 10)
+    micros = lambda k: int((day - dt.datetime(1970, 1, 1)).total_seconds() + k) * 1_000_000
+    url = "https://e.com/?utm_source=s{0}&utm_medium=m&utm_campaign=c{0}&utm_content=a&gclid=1"
+    events = spark.createDataFrame([("20240110", micros(k), A.BROCHURE_CONVERSION, f"u{k}", url.format(k) if k % 2 else "https://e.com/", k) for k in range(n)], EVENTS)
+    phones = spark.createDataFrame([(f"u{k}", "62") for k in range(n)], "user_pseudo_id string, phone_no string")
+    submitted = [((f"n{k}", "c", f"+62081{k}" if k < n else "0899", "e", "b", None), day, "car", None, None) for k in range(n + 1)]
+    leads = spark.createDataFrame(submitted, S.LEADS)
+    met, latest = [], A.last_touch_per_lead
+    monkeypatch.setattr(A, "last_touch_per_lead", lambda mapped, *a: (met.append(mapped.count()), latest(mapped, *a))[1])
+    out = A.attribute_brochure(A.AttributionInputs(leads, events, phones), dt.date(2024, 1, 31), exclude=False)
+    got = {r["fullname"]: (r["utm_source"], r["utm_medium"], r["utm_campaign"], r["utm_content"]) for r in out.collect()}
+    assert got == {f"n{k}": ("s299", "m", "c299", "a") if k < n else (None,) * 4 for k in range(n + 1)}
+    assert met == [n + 1]
+
+
+def test_latest_touch_per_phone_compares_sources_as_shown(spark):
+    """At one time '!Non-Paid' counts as 'Non-Paid', above 'Google'; a touch without a time is last."""
+    given = [("1", "!Non-Paid", T0), ("1", "Google", T0), ("1", "x", None), ("2", "a", None), ("2", None, T0), (None, "z", T0)]
+    touches = spark.createDataFrame([(p, s, None, None, None, t) for p, s, t in given], f"{UTM}, log_time timestamp_ntz")
+    assert {(r["phone_no"], r["utm_source"], r["log_time"]) for r in A.latest_touch_per_phone(touches).collect()} == {("1", "Non-Paid", T0), ("2", None, T0)}
+
+
 def test_no_phone_is_hot(spark):
     leads = leads_of(spark, [f"628{i}" for i in range(300)])
     assert leads.select(frequent_values(leads, "phone").alias("h")).first()["h"] == []

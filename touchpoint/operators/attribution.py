@@ -474,6 +474,16 @@ def exclude_loaded(
     return exclude_existing(new, loaded, keys, null_safe)
 
 
+def latest_touch_per_phone(phone_utm: DataFrame) -> DataFrame:
+    """Per phone the touch that ``last_touch_per_lead`` would choose among all its touches.
+    A lead meets the touches of its phone only, so this one stands for them: a phone with
+    many leads and many touches (shortened numbers) makes no product of both."""
+    shown = phone_utm.where(F.col("phone_no").isNotNull()).select(
+        "phone_no", "log_time", display_source("utm_source").alias("utm_source"), *UTM_COLS[1:]
+    )
+    return top1_per_group(shown, ["phone_no"], order=["log_time", *UTM_COLS], descending=True)
+
+
 def last_touch_per_lead(mapped: DataFrame, keys: Sequence[str] = LAST_TOUCH_KEYS) -> DataFrame:
     """Per lead the row with the latest ``log_time`` (NULL last; ties: highest
     UTM values). Drops ``log_time``."""
@@ -654,5 +664,5 @@ def attribute_brochure(
         leads = exclude_loaded(leads, inp.sink, window)
     touches, conv = _touches(inp, window, conversion_event, False, "in", leads)
     phone_utm = first_paid_touch_converted(touches, conv)
-    mapped = attribute_leads(leads, phone_utm, lead_cols, extra_cols=["log_time"])
+    mapped = attribute_leads(leads, latest_touch_per_phone(phone_utm), lead_cols, extra_cols=["log_time"])
     return last_touch_per_lead(mapped)

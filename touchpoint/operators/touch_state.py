@@ -149,5 +149,6 @@ def last_touch_from_state(leads: DataFrame, phone_map: DataFrame, root: str, win
     """Per lead the latest of its first paid touches (``attribution.last_touch_per_lead``)."""
     touches, conv = touches_from_state(leads.sparkSession, root, phone_map, window, FIRST, conversion_event, leads)
     columns = [c for c in A.LEAD_COLS if c in leads.columns and c != "dealer_name"]
-    mapped = A.attribute_leads(leads, A.first_paid_touch_converted(touches, conv), columns, extra_cols=["log_time"])
+    latest = A.latest_touch_per_phone(A.first_paid_touch_converted(touches, conv))
+    mapped = A.attribute_leads(leads, latest, columns, extra_cols=["log_time"])
     return A.last_touch_per_lead(mapped)

@@ -186,7 +186,7 @@ def q_last_touch_per_lead(spark, d):
     leads = A.load_leads(FX.brochure_leads(spark, d), w, A.BROCHURE_DEDUPE_KEYS, out_cols=cols)
     # only the phones of these leads reach the result
     touches = A.first_paid_touch_converted(*_brochure_touches(spark, d, leads))
-    mapped = A.attribute_leads(leads, touches, cols, extra_cols=["log_time"])
+    mapped = A.attribute_leads(leads, A.latest_touch_per_phone(touches), cols, extra_cols=["log_time"])
     return A.last_touch_per_lead(mapped)
 
 
