@@ -43,6 +43,7 @@ from touchpoint.functions.timeutil import (
 )
 from touchpoint.functions.utm import display_source, extract_utm, is_non_paid
 from touchpoint.operators.relational import (
+    HOT_SPREAD,
     exclude_existing,
     frequent_values,
     left_join_split_nulls,
@@ -54,7 +55,6 @@ TEST_DRIVE_CONVERSION = "dax_testdrive_beforedealer_conversion"
 BROCHURE_CONVERSION = "dax_downloadbrochure_conversion"
 CONV, NO_CONV = "conv", "null"  # the flag is text; 'null' is not NULL
 SESSION_KEYS = ("ga_session_id",)
-SESSION_SPREAD = 16
 
 LEAD_COLS = [
     "fullname", "city", "phone", "email", "estimated_buying_time",
@@ -321,14 +321,16 @@ def _converting(touches: DataFrame, conv: DataFrame | None,
                 session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """The touches of converting sessions (given, or read off ``conv_flag``). The ranking
     groups contain the session, so cutting before ranking gives the same choice and
-    ranks only these sessions. The touches of a session are spread over SESSION_SPREAD
-    salts, over which the (few) converting sessions are repeated, so a session that holds
-    a third of the events is not one task."""
+    ranks only these sessions. Sessions that hold over 1 % of the touches are spread over
+    HOT_SPREAD salts; all others meet unsalted, so the list of converting sessions is
+    repeated for those few only, however it is joined (broadcast or shuffled)."""
     sessions = conversion_sessions(touches, session_keys) if conv is None else _present(conv, session_keys).distinct()
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SESSION_SPREAD - 1)))
-    salt = F.pmod(F.xxhash64("phone_no", "log_time", *UTM_COLS), F.lit(SESSION_SPREAD)).cast("int")
-    salted = touches.withColumn("_salt", salt)
-    return salted.join(sessions.withColumn("_salt", salts), [*session_keys, "_salt"], "left_semi").drop("_salt")
+    hot = frequent_values(touches, "ga_session_id")
+    is_hot = F.array_contains(hot, F.col("ga_session_id"))
+    spread = F.pmod(F.xxhash64("phone_no", "log_time", *UTM_COLS), F.lit(HOT_SPREAD)).cast("int")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    salted = touches.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    return salted.join(sessions.withColumn("_salt", F.explode(salts)), [*session_keys, "_salt"], "left_semi").drop("_salt")
 
 
 def _best_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
