@@ -433,23 +433,20 @@ def attribute_leads(
     distinct: bool = True,
 ) -> DataFrame:
     """Leads LEFT JOIN phone->UTM rows on the cleaned phone; '!Non-Paid' is shown
-    as 'Non-Paid'. With ``distinct`` the UTM side is de-duplicated before the join
-    (the result is DISTINCT anyway). Leads with a NULL phone, or with a phone that holds
-    over 1 % of the leads (the cleanup shortens every number that starts 620 to one), are
-    spread over many tasks."""
-    cols = ["phone_no", *UTM_COLS, *extra_cols]
-    right = phone_utm.select(*cols)
+    as 'Non-Paid'. With ``distinct`` both sides are de-duplicated before the join, as
+    shown, so the joined rows are distinct without being gathered again. Leads with a NULL
+    phone, or with a phone that holds over 1 % of the leads (the cleanup shortens every
+    number that starts 620 to one), are spread over many tasks."""
+    right = phone_utm.select(
+        "phone_no", display_source("utm_source").alias("utm_source"), *UTM_COLS[1:], *extra_cols
+    )
+    left = leads.select(*lead_cols)
+    hot = frequent_values(leads, "phone")
     if distinct:
+        left = left.distinct()
         right = right.where(F.col("phone_no").isNotNull()).distinct()
-    hot = frequent_values(leads, "phone")
-    joined = left_join_split_nulls(leads.select(*lead_cols), right, ["phone"], ["phone_no"], hot)
-    out = joined.select(
-        *lead_cols,
-        display_source("utm_source").alias("utm_source"),
-        *UTM_COLS[1:],
-        *extra_cols,
-    )
-    return out.distinct() if distinct else out
+    joined = left_join_split_nulls(left, right, ["phone"], ["phone_no"], hot)
+    return joined.select(*lead_cols, *UTM_COLS, *extra_cols)
 
 
 def exclude_loaded(
