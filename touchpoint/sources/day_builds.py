@@ -70,15 +70,16 @@ def folders(spark: SparkSession, root: str, day_from: str, day_to: str) -> Colum
         of_attempt.setdefault(attempt, []).append(day)
     wanted = F.lit(False)
     for attempt, days in sorted(of_attempt.items()):
-        wanted = wanted | ((F.col("attempt") == attempt) & _stretches(sorted(days)))
+        wanted = wanted | (_stretches(sorted(days)) & (F.col("attempt") == attempt))
     return wanted
 
 
 def _stretches(days: list[str]) -> Column:
-    """``event_date`` lies in ``days`` (sorted): two bounds for each stretch of days."""
+    """``event_date`` lies in ``days`` (sorted): two bounds for each stretch of days, one
+    comparison for a single day."""
     cond, start = F.lit(False), days[0]
     for day, after in zip(days, [*days[1:], None]):
         if after is None or after not in days_between(day, after)[:2]:
-            cond = cond | F.col("event_date").between(start, day)
+            cond = cond | (F.col("event_date") == day if start == day else F.col("event_date").between(start, day))
             start = after
     return cond
