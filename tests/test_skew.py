@@ -8,7 +8,7 @@ from collections import Counter
 from test_attribution import first_paid, last_source, touch_rows
 from touchpoint.operators import attribution as A
 from pyspark.sql import functions as F
-from touchpoint.operators.relational import HOT_SPREAD, exclude_existing, frequent_values, left_join_split_nulls
+from touchpoint.operators.relational import exclude_existing, frequent_values, left_join_split_nulls
 from touchpoint.sources import schemas as S
 
 SCHEMA = (
@@ -108,7 +108,7 @@ def test_latest_touch_per_phone_compares_sources_as_shown(spark):
     assert {(r["phone_no"], r["utm_source"], r["log_time"]) for r in A.latest_touch_per_phone(touches).collect()} == {("1", "Non-Paid", T0), ("2", None, T0)}
 
 
-def test_only_hot_sessions_are_repeated(spark, monkeypatch):
+def test_converting_sessions_are_not_repeated(spark, monkeypatch):
     """400 converting sessions; a third of the touches belong to one of them."""
     data = [("u", f"628{i % 9}", T0 + dt.timedelta(seconds=i), 1 if i % 3 == 0 else 1000 + i, "conv" if i < 600 else "null", "s", "m", "c", "a") for i in range(3000)]
     touches, lists, join = spark.createDataFrame(data, SCHEMA), [], type(spark.range(1)).join
@@ -121,10 +121,14 @@ def test_only_hot_sessions_are_repeated(spark, monkeypatch):
     monkeypatch.setattr(type(touches), "join", spy)
     kept = A._converting(touches, None)
     assert rows(kept.select(touches.columns)) == Counter(r for r in data if r[3] == 1 or r[2] < T0 + dt.timedelta(seconds=600))
-    assert lists == [401 + HOT_SPREAD - 1]
-    lists.clear()
-    A._converting(touches.where("ga_session_id > 1"), None)
-    assert lists == [400]
+    assert lists == [401]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A.first_paid_touch(touches)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # dealt by session and phone after the join, so that a skewed join may be split
+    assert "hashpartitioning(ga_session_id" in plan[: plan.index("SortMergeJoin")]
 
 
 def test_joined_leads_are_distinct_without_another_gathering(spark):

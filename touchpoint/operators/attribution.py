@@ -43,7 +43,6 @@ from touchpoint.functions.timeutil import (
 )
 from touchpoint.functions.utm import display_source, extract_utm, is_non_paid
 from touchpoint.operators.relational import (
-    HOT_SPREAD,
     exclude_existing,
     frequent_values,
     left_join_split_nulls,
@@ -321,16 +320,12 @@ def _converting(touches: DataFrame, conv: DataFrame | None,
                 session_keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """The touches of converting sessions (given, or read off ``conv_flag``). The ranking
     groups contain the session, so cutting before ranking gives the same choice and
-    ranks only these sessions. Sessions that hold over 1 % of the touches are spread over
-    HOT_SPREAD salts; all others meet unsalted, so the list of converting sessions is
-    repeated for those few only, however it is joined (broadcast or shuffled)."""
+    ranks only these sessions. The list of converting sessions is not repeated. A hash of
+    the session is a further join key: rows dealt by it are dealt anew for the ranking (by
+    session and phone), which lets Spark's adaptive skew join split a hot session."""
     sessions = conversion_sessions(touches, session_keys) if conv is None else _present(conv, session_keys).distinct()
-    hot = frequent_values(touches, "ga_session_id")
-    is_hot = F.array_contains(hot, F.col("ga_session_id"))
-    spread = F.pmod(F.xxhash64("phone_no", "log_time", *UTM_COLS), F.lit(HOT_SPREAD)).cast("int")
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    salted = touches.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
-    return salted.join(sessions.withColumn("_salt", F.explode(salts)), [*session_keys, "_salt"], "left_semi").drop("_salt")
+    mixed = F.xxhash64(*session_keys)
+    return touches.withColumn("_mix", mixed).join(sessions.withColumn("_mix", mixed), [*session_keys, "_mix"], "left_semi").drop("_mix")
 
 
 def _best_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
